@@ -43,17 +43,18 @@ def number_rows(df: DataFrame, group: list[str], order: list[Column], seq: str,
 
 
 def with_group_size(df: DataFrame, keys: list[str], name: str, where: Column | None = None,
-                    spread: str = "seq") -> DataFrame:
+                    spread: str = "seq", base: DataFrame | None = None) -> DataFrame:
     """Add the number of rows per key, counting only the rows that satisfy ``where``.
 
     Counts are pre-aggregated and only repeated keys (count > 1) are joined back, so the lookup is small.  Rows
     outside ``where`` (empty titles, say) get a private key part from ``spread``: they match nothing and do not
-    pile up in one partition.
+    pile up in one partition.  ``base`` is a narrower table with the same keys to count on, so that the wide
+    branch of a long job is not computed twice.
     """
     inside = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    counts = ((df if base is None else base).where(inside).groupBy(*keys).agg(F.count("*").alias("_cnt"))
+              .where("_cnt > 1").withColumn("_spread", F.lit(-1).cast("bigint")))
     work = df.withColumn("_spread", F.when(inside, F.lit(-1)).otherwise(F.col(spread)).cast("bigint"))
-    counts = (work.where(inside).groupBy(*keys).agg(F.count("*").alias("_cnt")).where("_cnt > 1")
-              .withColumn("_spread", F.lit(-1).cast("bigint")))
     return (work.join(counts, [*keys, "_spread"], "left")
             .withColumn(name, F.coalesce(F.col("_cnt"), F.lit(1)).cast("bigint"))
             .select(*df.columns, name))

@@ -34,6 +34,11 @@ def any_pattern(patterns) -> str:
     return "|".join(f"(?:{edges(p)})" for p in patterns)
 
 
+def let(c: Column, body) -> Column:
+    """Evaluate ``c`` once and use it many times inside ``body``: keeps long column rules small."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -84,9 +89,10 @@ def letters_and_digits(c: Column) -> Column:
 
 def script_of(c: Column) -> Column:
     """'ar', 'la' or '' by the majority of letters; ties go to Arabic."""
-    ar = F.length(F.regexp_replace(text(c), r"[^\x{0600}-\x{06FF}]", ""))
-    la = F.length(F.regexp_replace(text(c), "[^A-Za-z]", ""))
-    return F.when((ar == 0) & (la == 0), "").when(ar >= la, "ar").otherwise("la")
+    counts = F.struct(F.length(F.regexp_replace(text(c), r"[^\x{0600}-\x{06FF}]", "")).alias("ar"),
+                      F.length(F.regexp_replace(text(c), "[^A-Za-z]", "")).alias("la"))
+    return let(counts, lambda n: F.when((n["ar"] == 0) & (n["la"] == 0), "").when(n["ar"] >= n["la"], "ar")
+               .otherwise("la"))
 
 
 def western_digits(c: Column) -> Column:

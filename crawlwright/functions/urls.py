@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlwright import constants as K
-from crawlwright.functions.text import any_pattern, literal_array, text
+from crawlwright.functions.text import any_pattern, let, literal_array, text
 
 _SCHEME_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*"
 _LANG = "^(?:" + "|".join(K.LANG_CODES) + ")(?:[-_][a-z]{2})?$"
@@ -26,8 +26,7 @@ def normalize_url(c: Column) -> Column:
 
 def percent_decode(c: Column) -> Column:
     """Decode valid %XX sequences and leave every other character, '+' included, as it is."""
-    safe = F.regexp_replace(F.replace(text(c), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.when(F.contains(text(c), F.lit("%")), F.url_decode(safe)).otherwise(text(c))
+    return F.url_decode(F.regexp_replace(F.replace(text(c), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _no_breaks(c: Column) -> Column:
@@ -70,9 +69,8 @@ def drop_lang(segs: Column) -> Column:
     return F.when(is_lang(F.try_element_at(segs, F.lit(1))), F.slice(segs, 2, F.size(segs))).otherwise(segs)
 
 
-def key_from(host_c: Column, segs: Column) -> Column:
+def key_from(host_c: Column, segs: Column, low: Column) -> Column:
     """Stable page key from a normalised host and the segments without language prefix."""
-    low = F.transform(segs, F.lower)
     last = F.coalesce(F.try_element_at(low, F.lit(-1)), F.lit(""))
     kind = F.regexp_extract(last, K.KEY_ID_PATTERN, 1)
     number = F.regexp_extract(last, K.KEY_ID_PATTERN, 2)
@@ -86,8 +84,9 @@ def key_from(host_c: Column, segs: Column) -> Column:
 
 def url_key(c: Column) -> Column:
     """One-expression key; prefer ``add_url_parts`` when more than the key is needed."""
-    u = clean_url(c)
-    return F.when(text(c) == "", F.lit("")).otherwise(key_from(host(u), drop_lang(all_segments(c))))
+    bound = F.struct(host(clean_url(c)).alias("h"), let(all_segments(c), drop_lang).alias("s"))
+    key = let(bound, lambda b: let(F.transform(b["s"], F.lower), lambda low: key_from(b["h"], b["s"], low)))
+    return F.when(text(c) == "", F.lit("")).otherwise(key)
 
 
 def add_url_parts(df: DataFrame, url_col: str, prefix: str = "") -> DataFrame:
@@ -97,16 +96,14 @@ def add_url_parts(df: DataFrame, url_col: str, prefix: str = "") -> DataFrame:
     df = df.withColumns({
         f"{p}has_lang": F.coalesce(is_lang(F.try_element_at(F.col(f"_{p}all"), F.lit(1))), F.lit(False)),
         f"{p}segs": drop_lang(F.col(f"_{p}all"))})
-    return df.withColumns({
-        f"{p}low": F.transform(F.col(f"{p}segs"), F.lower),
-        f"{p}url_key": F.when(text(F.col(url_col)) == "", F.lit("")).otherwise(
-            key_from(F.col(f"{p}host"), F.col(f"{p}segs")))}).drop(f"_{p}all")
+    df = df.withColumn(f"{p}low", F.transform(F.col(f"{p}segs"), F.lower))
+    return df.withColumn(f"{p}url_key", F.when(text(F.col(url_col)) == "", F.lit("")).otherwise(
+        key_from(F.col(f"{p}host"), F.col(f"{p}segs"), F.col(f"{p}low")))).drop(f"_{p}all")
 
 
 def same_page_key(c: Column) -> Column:
     """Host and lower-case segments without the id rules: tells a real move from a cosmetic one."""
-    u = clean_url(c)
-    return F.concat(host(u), F.lit("/"), F.lower(F.array_join(drop_lang(all_segments(c)), "/")))
+    return F.concat(host(clean_url(c)), F.lit("/"), F.lower(F.array_join(let(all_segments(c), drop_lang), "/")))
 
 
 def is_id_segment(seg: Column) -> Column:
@@ -133,12 +130,10 @@ def match_path(c: Column) -> Column:
 
 
 def is_tag_url(c: Column) -> Column:
-    low = percent_decode(F.lower(text(c)))
-    segs = F.filter(F.split(raw_path(low), "/"), lambda s: s != "")
-    stem = "^(?:" + "|".join(K.TAG_STEMS) + ")[-_]"
-    return (F.coalesce(F.arrays_overlap(segs, literal_array(K.TAG_WORDS)), F.lit(False))
-            | F.exists(segs, lambda s: s.rlike(stem))
-            | query_of(low).rlike("|".join(K.TAG_QUERY_KEYS)))
+    word = "^(?:(?:" + "|".join(K.TAG_STEMS) + ")[-_].*|" + "|".join(K.TAG_WORDS) + ")$"
+    return let(percent_decode(F.lower(text(c))), lambda low: (
+        F.exists(F.split(raw_path(low), "/"), lambda s: s.rlike(word))
+        | query_of(low).rlike("|".join(K.TAG_QUERY_KEYS))))
 
 
 def is_product_subpage_from(low: Column) -> Column:
@@ -147,21 +142,18 @@ def is_product_subpage_from(low: Column) -> Column:
 
 
 def is_product_subpage(c: Column) -> Column:
-    return is_product_subpage_from(F.transform(drop_lang(all_segments(c)), F.lower))
+    return let(F.transform(let(all_segments(c), drop_lang), F.lower), is_product_subpage_from)
 
 
 def crawl_reject_reason(c: Column, site_host: Column, platform: Column | None = None) -> Column:
     """Why a link is not followed ('' = it is).  Platform-only rules need ``platform``."""
     low_path = percent_decode(F.lower(raw_path(c)))
-    segs = F.split(F.regexp_replace(low_path, "^/+|/+$", ""), "/")
     scheme = F.lower(F.regexp_extract(text(c), "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1))
     out = (F.when(~scheme.isin("http", "https"), "scheme")
            .when(host(c) != site_host, "other_host")
            .when(is_tag_url(c), "tag")
-           .when(low_path.rlike(r"\.(?:" + "|".join(K.BLOCKED_EXTENSIONS) + ")$"), "extension")
-           .when(F.arrays_overlap(segs, literal_array(K.EXCLUDED_SEGMENTS)), "excluded_segment")
-           .when(F.contains(low_path, F.lit("/cdn-cgi/")) | F.contains(low_path, F.lit("/email-protection")),
-                 "cdn_or_email")
+           .otherwise(let(low_path, _path_reject)))
+    out = (F.when(out != "", out)
            .when(is_product_subpage(c), "product_subpage"))
     if platform is not None:
         path = percent_decode(raw_path(c))
@@ -174,6 +166,13 @@ def crawl_reject_reason(c: Column, site_host: Column, platform: Column | None =
     return out.otherwise("")
 
 
+def _path_reject(p: Column) -> Column:
+    segs = F.split(F.regexp_replace(p, "^/+|/+$", ""), "/")
+    return (F.when(p.rlike(r"\.(?:" + "|".join(K.BLOCKED_EXTENSIONS) + ")$"), "extension")
+            .when(F.arrays_overlap(segs, literal_array(K.EXCLUDED_SEGMENTS)), "excluded_segment")
+            .when(p.rlike("/cdn-cgi/|/email-protection"), "cdn_or_email").otherwise(""))
+
+
 def decisive_from(low: Column) -> Column:
     """Page type that the URL alone proves, or ''."""
     first = F.coalesce(F.try_element_at(low, F.lit(1)), F.lit(""))

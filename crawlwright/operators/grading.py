@@ -161,15 +161,25 @@ def without_brand(title: Column, brand: Column) -> Column:
     return F.regexp_replace(v, r"^[ |\-–—•·]+|[ |\-–—•·]+$", "")
 
 
-def text_quality(audit: DataFrame, brands: DataFrame | None = None) -> DataFrame:
-    """Quality codes of title and description; fatal codes force status 'missing' and length 0."""
-    brands = detect_brand(audit) if brands is None else brands
+def _stripped_texts(df: DataFrame) -> DataFrame:
     up = F.col("available")
-    df = audit.join(brands, "site", "left").withColumns({
-        "_t": F.when(up, strip(F.col("title"))).otherwise(""),
-        "_d": F.when(up, strip(F.col("meta_desc"))).otherwise(""), "brand": F.coalesce("brand", F.lit(""))})
-    df = with_group_size(df, ["site", "_t"], "title_shared", F.col("_t") != "")
-    df = with_group_size(df, ["site", "_d"], "_desc_shared", F.col("_d") != "")
+    return df.withColumns({"_t": F.when(up, strip(F.col("title"))).otherwise(""),
+                           "_d": F.when(up, strip(F.col("meta_desc"))).otherwise("")})
+
+
+def text_quality(audit: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Quality codes of title and description; fatal codes force status 'missing' and length 0.
+
+    ``base`` is the ungraded table that ``audit`` comes from: brand and duplicate counts read it, so every lookup
+    is one column-pruned scan next to the main branch.
+    """
+    base = audit if base is None else base
+    brands = detect_brand(base)
+    texts = _stripped_texts(base.select("site", "available", "title", "meta_desc"))
+    up = F.col("available")
+    df = _stripped_texts(audit.join(brands, "site", "left")).withColumn("brand", F.coalesce("brand", F.lit("")))
+    df = with_group_size(df, ["site", "_t"], "title_shared", F.col("_t") != "", base=texts)
+    df = with_group_size(df, ["site", "_d"], "_desc_shared", F.col("_d") != "", base=texts)
     t, d, brand = F.col("_t"), F.col("_d"), F.col("brand")
     tq = (F.when(~up | (t == ""), "q_na").when(is_placeholder(t), "q_placeholder")
           .when(letters_and_digits(t) == "", "q_symbols")
@@ -205,8 +215,9 @@ def name_vocabulary(audit: DataFrame, name_col: str = "display_name") -> DataFra
             .groupBy("site").agg(F.collect_list("token").alias("vocab")))
 
 
-def url_quality(audit: DataFrame, declared_col: str | None = None) -> DataFrame:
+def url_quality(audit: DataFrame, declared_col: str | None = None, base: DataFrame | None = None) -> DataFrame:
     """G4 with F4: adds ``slug`` and ``url_quality``.  Needs ``brand`` from the text quality step."""
+    base = audit if base is None else base
     had = [c for c in audit.columns if c not in ("slug", "url_quality")]
     df = add_url_parts(audit, "url", "u_").withColumn("slug", slug_from(F.col("u_segs")))
     slug, low = F.col("slug"), F.lower(F.col("slug"))
@@ -215,22 +226,23 @@ def url_quality(audit: DataFrame, declared_col: str | None = None) -> DataFrame:
     df = df.withColumn("_parent", F.when(slug.rlike(r"(?s)^.*-[0-9]{1,2}$"),
                                          url_key(F.replace(F.col("url"), slug, stem)))
                        .otherwise(F.concat(F.lit("-"), F.col("seq"))))
-    known = df.select("site", F.col("u_url_key").alias("_parent"), F.lit(True).alias("_has_parent")).distinct()
-    df = df.join(known, ["site", "_parent"], "left").join(name_vocabulary(audit), "site", "left")
-    words = F.transform(F.filter(F.split(slug, "[-_]+"), lambda w: w != ""), lambda w: fold(F.lower(w)))
+    known = (base.select("site", url_key(F.col("url")).alias("_parent")).distinct()
+             .withColumn("_has_parent", F.lit(True)))
+    df = df.join(known, ["site", "_parent"], "left").join(name_vocabulary(base), "site", "left")
     declared = F.lit("") if declared_col is None else strip(F.col(declared_col))
-    shown = strip(F.col("display_name"))
-    name = F.when(declared != "", declared).otherwise(shown)
-    meta = strip(F.col("title"))
-    ref = F.when(name != "", name).otherwise(meta)
-    brand_toks = tokens(F.col("brand"))
-    s_tok = word_tokens(slug)
-    n_tok = F.array_except(F.array_union(tokens(name), tokens(meta)), brand_toks)
-    distinctive = F.array_except(F.array_except(s_tok, F.coalesce(F.col("vocab"), F.array().cast("array<string>"))),
-                                 brand_toks)
-    wrong = ((F.col("page_type") == "product") & (ref != "") & (F.size(s_tok) > 0) & (F.size(n_tok) > 0)
-             & (script_of(slug) == script_of(ref)) & (F.size(distinctive) > 0)
-             & (F.size(F.array_intersect(distinctive, n_tok)) == 0))
+    df = df.withColumns({
+        "_words": F.transform(F.filter(F.split(slug, "[-_]+"), lambda w: w != ""), lambda w: fold(F.lower(w))),
+        "_declared": declared, "_shown": strip(F.col("display_name")), "_meta": strip(F.col("title")),
+        "_brand": tokens(F.col("brand")), "_stok": word_tokens(slug),
+        "vocab": F.coalesce(F.col("vocab"), F.array().cast("array<string>"))})
+    df = df.withColumn("_name", F.when(F.col("_declared") != "", F.col("_declared")).otherwise(F.col("_shown")))
+    df = df.withColumns({
+        "_ref": F.when(F.col("_name") != "", F.col("_name")).otherwise(F.col("_meta")),
+        "_ntok": F.array_except(F.array_union(tokens(F.col("_name")), tokens(F.col("_meta"))), F.col("_brand")),
+        "_own": F.array_except(F.array_except("_stok", "vocab"), F.col("_brand"))})
+    wrong = ((F.col("page_type") == "product") & (F.col("_ref") != "") & (F.size("_stok") > 0) & (F.size("_ntok") > 0)
+             & (F.size("_own") > 0) & ~F.arrays_overlap("_own", "_ntok")
+             & (script_of(slug) == script_of(F.col("_ref"))))
     grade = (F.when(~F.col("available") | (slug == ""), "u_na")
              .when(low.rlike(clone_pattern()), "u_clone")
              .when(F.coalesce(F.col("_has_parent"), F.lit(False)) & (F.col("_parent") != F.col("u_url_key")), "u_clone")
@@ -238,16 +250,18 @@ def url_quality(audit: DataFrame, declared_col: str | None = None) -> DataFrame:
              .when(slug.rlike(NO_LETTERS) | low.rlike(K.GENERIC_SLUG_PATTERN), "u_generic")
              .when(F.contains(slug, F.lit("_")), "u_underscore")
              .when(slug.rlike("[A-Z]"), "u_uppercase")
-             .when((F.size(words) > 2) & (F.size(F.array_distinct(words)) < F.size(words)), "u_repeat")
+             .when((F.size("_words") > 2) & (F.size(F.array_distinct("_words")) < F.size("_words")), "u_repeat")
              .when(wrong, "u_wrongname").otherwise("u_ok"))
     return df.withColumn("url_quality", grade).select(*had, "slug", "url_quality")
 
 
 # --- duplicate content -------------------------------------------------------------------------------
-def duplicate_content(audit: DataFrame) -> DataFrame:
+def duplicate_content(audit: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Flag reachable pages that share title and description; ``dup_pages`` is the size of the group."""
+    base = audit if base is None else base
     both = (F.col("available") & (strip(F.col("title")) != "") & (strip(F.col("meta_desc")) != ""))
-    df = with_group_size(audit.withColumn("_both", both), ["site", "title", "meta_desc"], "dup_pages", F.col("_both"))
+    df = with_group_size(audit.withColumn("_both", both), ["site", "title", "meta_desc"], "dup_pages", F.col("_both"),
+                         base=base.withColumn("_both", both))
     return df.withColumns({"dup_content": F.col("_both") & (F.col("dup_pages") >= 2),
                            "dup_pages": F.when(F.col("_both"), F.col("dup_pages")).otherwise(0).cast("bigint")}
                           ).drop("_both")
@@ -290,6 +304,7 @@ def grade_audit(audit: DataFrame, images: DataFrame | None = None) -> DataFrame:
     df = grade_lengths(audit).withColumn(
         "content_status", F.when(~F.col("available"), "na").when(F.col("word_count") >= K.THIN_WORDS, "good")
         .otherwise("thin"))
-    return score_pages(duplicate_content(url_quality(text_quality(df))), images)
+    df = url_quality(text_quality(df, base=audit), base=audit)
+    return score_pages(duplicate_content(df, base=audit), images)
 
 
