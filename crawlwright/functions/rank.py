@@ -58,3 +58,42 @@ def with_group_size(df: DataFrame, keys: list[str], name: str, where: Column | N
     return (work.join(counts, [*keys, "_spread"], "left")
             .withColumn(name, F.coalesce(F.col("_cnt"), F.lit(1)).cast("bigint"))
             .select(*df.columns, name))
+
+
+def number_by_range(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``row_number`` over (group, order) for any sort key, strings included.
+
+    Rows are range-partitioned by the sort key, sorted inside their partition and written once (so that a lost
+    executor cannot move a range border), then every partition learns where its part of a group starts.
+    """
+    from crawlwright.session import cut
+
+    by = [*[F.col(g) for g in group], *order]
+    mask = F.lit((1 << 33) - 1)
+    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({
+        "_pid": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(mask)}))
+    parts = placed.groupBy("_pid", *group).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))
+    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_pid")
+    parts = parts.select("_pid", *group, "_first", (F.sum("_n").over(
+        w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
+    return (placed.join(parts, ["_pid", *group])
+            .withColumn(name, (F.col("_start") + F.col("_pos") - F.col("_first") + 1).cast("bigint"))
+            .select(*df.columns, name))
+
+
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
+    """First ``k`` rows per key.  Spark keeps at most ``k`` rows per key and task before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k).withColumn(
+        name, F.col(name).cast("bigint"))
+
+
+def flag_keys(df: DataFrame, keys: list[str], flagged: DataFrame, name: str, where: Column, spread: str = "seq"
+              ) -> DataFrame:
+    """Boolean column: does the row satisfy ``where`` and is its key among ``flagged``?  Other rows carry a
+    private key part, so they spread evenly and match nothing."""
+    inside = F.coalesce(where, F.lit(False))
+    marks = flagged.select(*keys).distinct().withColumns({"_spread": F.lit(-1).cast("bigint"), name: F.lit(True)})
+    work = df.withColumn("_spread", F.when(inside, F.lit(-1)).otherwise(F.col(spread)).cast("bigint"))
+    return work.join(marks, [*keys, "_spread"], "left").withColumn(
+        name, F.coalesce(F.col(name), F.lit(False))).select(*df.columns, name)

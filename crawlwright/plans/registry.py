@@ -16,6 +16,11 @@ def query(name: str, oracle: str | None = None):
     def keep(fn):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = build(oracle)
+            ORACLES[name] = oracle
         return fn
     return keep
+
+
+def oracle_texts() -> dict[str, str]:
+    """DuckDB texts with the views they need in front."""
+    return {name: build(sql) for name, sql in ORACLES.items()}

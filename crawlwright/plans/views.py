@@ -101,6 +101,14 @@ def fx_audit_images(spark: SparkSession, d: str) -> DataFrame:
           FROM {documents} LATERAL VIEW explode(sequence(0L, doc_id % 3)) e AS k)""", documents="documents")
 
 
+def fx_audit_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The audit with some dead links outside every known folder (generic links)."""
+    return fx_audit(spark, d).selectExpr(
+        "site", "seq", "page_type", """CASE WHEN seq % 44 = 0 THEN replace(url, '/categories/', '/') ELSE url END AS url""",
+        "title", "meta_desc", "display_name", "word_count", "available", "fetch_code", "in_map", "linked", "indexable",
+        "final_url", "lang", "CASE WHEN seq % 44 = 0 THEN 'unknown' ELSE page_type END AS link_type", "'' AS chain")
+
+
 def fx_sitemaps(spark: SparkSession, d: str) -> DataFrame:
     """Sitemap text as landed in parts: one row per part of a file."""
     return _sql(spark, d, """
@@ -160,7 +168,8 @@ def fx_products(spark: SparkSession, d: str) -> DataFrame:
         SELECT concat('s', p_partkey % 5) AS site, p_partkey AS seq, 'product' AS page_type, true AS available,
                concat('https://s', p_partkey % 5, '.example.com/products/',
                       CASE p_partkey % 50 WHEN 7 THEN 'copy-of-' ELSE '' END,
-                      replace(p_name, ' ', '-'), '-', p_partkey) AS url,
+                      CASE WHEN p_partkey % 50 = 9 THEN 'blue-bolt' WHEN p_partkey % 50 = 11 THEN '6deef1ae'
+                           ELSE replace(p_name, ' ', '-') END, '-', p_partkey) AS url,
                concat(p_name, ' ', lower(p_type)) AS display_name,
                CASE WHEN p_partkey % 3 = 0 THEN repeat(concat(p_name, ' '), 4) ELSE lower(p_type) END AS product_desc,
                concat(p_name, ' ', lower(p_type), ' ', lower(p_brand), ' | store') AS title
