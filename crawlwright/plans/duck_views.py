@@ -18,7 +18,8 @@ for _name in ("fx_images", "fx_fetch_log", "fx_audit", "fx_sitemaps", "fx_sitema
     _src = inspect.getsource(getattr(V, _name))
     _m = re.search(r'_sql\(spark, d, (r?)"""(.*?)"""', _src, re.S)
     _sql = _m.group(2) if _m.group(1) else _m.group(2).encode().decode("unicode_escape")
-    view(_name, re.sub(r"FROM \{(\w+)\}|JOIN \{(\w+)\}", lambda m: m.group(0).replace("{", "").replace("}", ""), _sql))
+    view(_name, re.sub(r"FROM \{(\w+)\}|JOIN \{(\w+)\}", lambda m: m.group(0).replace("{", "").replace("}", ""), _sql)
+         .replace("{{", "{").replace("}}", "}"))
 
 view("fx_banner_images", """SELECT site, seq, page_url, page_type,
     CASE WHEN tie % 20 < 8 THEN 'https://cdn.example.com/banner.jpg' ELSE image_url END AS image_url, alt, tie

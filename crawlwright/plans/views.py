@@ -156,9 +156,9 @@ def fx_robots(spark: SparkSession, d: str) -> DataFrame:
 def fx_feed(spark: SparkSession, d: str) -> DataFrame:
     return _sql(spark, d, """
         SELECT concat('s', p_partkey % 5) AS site, p_partkey AS seq,
-               concat('{"products":[{"handle":"', replace(p_name, ' ', '-'), '-', p_partkey, '","title":"', p_name,
+               concat('{{"products":[{{"handle":"', replace(p_name, ' ', '-'), '-', p_partkey, '","title":"', p_name,
                       '","body_html":"<p>', p_name, '&nbsp;', lower(p_type), ' &amp; ', lower(p_brand),
-                      '</p>"}]}') AS json_text
+                      '</p>"}}]}}') AS json_text
         FROM {part}""", part="part")
 
 
@@ -224,11 +224,11 @@ def fx_html(spark: SparkSession, d: str) -> DataFrame:
             '<meta property="og:description" content="og ', p_name, '"><meta name="description" content="', p_name,
             ' &amp; ', lower(p_type), '"><meta name="', CASE p_partkey % 9 WHEN 0 THEN 'robots' ELSE 'viewport' END,
             '" content="noindex"><link rel="canonical" href="/products/', p_partkey - p_partkey % 3, '">',
-            '<link rel="next" href="?page=2"><script type="application/ld+json">{"@graph":[{"@type":"BreadcrumbList",',
-            '"itemListElement":[{"name":"Home"},{"item":{"name":"', p_type, '"}},{"name":"', p_name, '"}]},',
-            '{"@type":["Product"],"name":"', p_name, '","sku":"', p_partkey, '","brand":{"name":"', p_brand,
-            '"},"image":["https://cdn.example.com/i/', p_partkey, '_800x800.jpg"],"description":"<b>', p_name,
-            '</b>&nbsp;fine"}]}</script></head><body><header id="site-header"><a href="/home-', p_partkey % 7,
+            '<link rel="next" href="?page=2"><script type="application/ld+json">{{"@graph":[{{"@type":"BreadcrumbList",',
+            '"itemListElement":[{{"name":"Home"}},{{"item":{{"name":"', p_type, '"}}}},{{"name":"', p_name, '"}}]}},',
+            '{{"@type":["Product"],"name":"', p_name, '","sku":"', p_partkey, '","brand":{{"name":"', p_brand,
+            '"}},"image":["https://cdn.example.com/i/', p_partkey, '_800x800.jpg"],"description":"<b>', p_name,
+            '</b>&nbsp;fine"}}]}}</script></head><body><header id="site-header"><a href="/home-', p_partkey % 7,
             '">h</a></header><nav><h1>menu</h1></nav><h1>', p_name, ' <i>', lower(p_type), '</i></h1>',
             '<p>Total ', p_size, ' products in this list</p>',
             '<a href="../products/', p_partkey + 1, '#x">next</a><a href="mailto:a@b.c">m</a>',
@@ -237,7 +237,7 @@ def fx_html(spark: SparkSession, d: str) -> DataFrame:
             '<img srcset="https://cdn.example.com/cdn-cgi/image/w=620,q=85/g/', p_partkey,
             '.webp 620w, https://cdn.example.com/big.webp 1240w" alt=" ', lower(p_type), '">',
             '<img src="https://cdn.example.com/logo.png" alt="logo"><img src=""><noscript><img src="/n/', p_partkey,
-            '.png"></noscript><script>var d={"u":"https:\\/\\/s', p_partkey % 5,
-            '.example.com\\/products\\/emb-', p_partkey, '"};</script><div class="load-more"></div></body></html>')
+            '.png"></noscript><script>var d={{"u":"https:\\/\\/s', p_partkey % 5,
+            '.example.com\\/products\\/emb-', p_partkey, '"}};</script><div class="load-more"></div></body></html>')
             AS html
         FROM {part}""", part="part")

@@ -14,6 +14,7 @@ def local_session(cores: str = "8", app: str = "crawlwright", **conf: str) -> Sp
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "8g")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for key, value in conf.items():
