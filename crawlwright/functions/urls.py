@@ -82,23 +82,34 @@ def key_from(host_c: Column, segs: Column, low: Column) -> Column:
                 F.concat(host_c, F.lit("/"), F.array_join(segs, "/")), "/+$", ""))))
 
 
+def url_parts(c: Column) -> Column:
+    """Struct ``host, has_lang, segs, low, url_key`` of one URL.
+
+    One expression in which every step is bound once: a filter that the optimizer pushes below it copies the
+    parsing once, not once per use of every intermediate column.
+    """
+    first = F.struct(host(clean_url(c)).alias("host"), all_segments(c).alias("all"))
+    second = let(first, lambda b: F.struct(
+        b["host"].alias("host"),
+        F.coalesce(is_lang(F.try_element_at(b["all"], F.lit(1))), F.lit(False)).alias("has_lang"),
+        drop_lang(b["all"]).alias("segs")))
+    return let(second, lambda p: let(F.transform(p["segs"], F.lower), lambda low: F.struct(
+        p["host"].alias("host"), p["has_lang"].alias("has_lang"), p["segs"].alias("segs"), low.alias("low"),
+        F.when(text(c) == "", F.lit("")).otherwise(key_from(p["host"], p["segs"], low)).alias("url_key"))))
+
+
+PARTS = ("host", "has_lang", "segs", "low", "url_key")
+
+
 def url_key(c: Column) -> Column:
-    """One-expression key; prefer ``add_url_parts`` when more than the key is needed."""
-    bound = F.struct(host(clean_url(c)).alias("h"), let(all_segments(c), drop_lang).alias("s"))
-    key = let(bound, lambda b: let(F.transform(b["s"], F.lower), lambda low: key_from(b["h"], b["s"], low)))
-    return F.when(text(c) == "", F.lit("")).otherwise(key)
+    """The page key alone."""
+    return url_parts(c)["url_key"]
 
 
 def add_url_parts(df: DataFrame, url_col: str, prefix: str = "") -> DataFrame:
-    """Add ``host, segs, low, has_lang, url_key`` (with a prefix) for one URL column."""
-    p = prefix
-    df = df.withColumns({f"{p}host": host(clean_url(F.col(url_col))), f"_{p}all": all_segments(F.col(url_col))})
-    df = df.withColumns({
-        f"{p}has_lang": F.coalesce(is_lang(F.try_element_at(F.col(f"_{p}all"), F.lit(1))), F.lit(False)),
-        f"{p}segs": drop_lang(F.col(f"_{p}all"))})
-    df = df.withColumn(f"{p}low", F.transform(F.col(f"{p}segs"), F.lower))
-    return df.withColumn(f"{p}url_key", F.when(text(F.col(url_col)) == "", F.lit("")).otherwise(
-        key_from(F.col(f"{p}host"), F.col(f"{p}segs"), F.col(f"{p}low")))).drop(f"_{p}all")
+    """Add ``host, has_lang, segs, low, url_key`` (with a prefix) for one URL column."""
+    df = df.withColumn("_parts", url_parts(F.col(url_col)))
+    return df.withColumns({prefix + n: F.col("_parts")[n] for n in PARTS}).drop("_parts")
 
 
 def same_page_key(c: Column) -> Column:

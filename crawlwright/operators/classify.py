@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 from crawlwright.functions.rank import first_per
-from crawlwright.functions.text import (NO_LETTERS, folded_set, fold_arabic, literal_array, squeeze, text)
-from crawlwright.functions.urls import (add_url_parts, clean_url, decisive_from, is_tag_url, listing_kind_from,
-                                        normalize_url, percent_decode, url_key)
+from crawlwright.functions.text import folded_set, fold_arabic, let, literal_array, text
+from crawlwright.functions.urls import (clean_url, decisive_from, is_tag_url, listing_kind_from, normalize_url,
+                                        percent_decode, url_key, url_parts)
 
 POLICY_TOKENS = folded_set([part for w in K.POLICY_WORDS for part in w.split("-")])
 
@@ -66,25 +66,22 @@ def page_type_from(low: Column, key: Column, home_key: Column, tag_url: Column,
 def classify_pages(df: DataFrame, url_col: str = "url", home_url: Column | None = None,
                    signal: Column | None = None, name: str = "page_type") -> DataFrame:
     """Add the page type of ``url_col``.  ``home_url`` is the site's home, ``signal`` what the HTML declares."""
-    had = [c for c in df.columns if c != name]
-    work = add_url_parts(df, url_col, "c_")
     home = F.lit("") if home_url is None else url_key(normalize_url(home_url))
-    work = work.withColumns({"_tag": is_tag_url(clean_url(F.col(url_col))), "_home": home})
-    kind = page_type_from(F.col("c_low"), F.col("c_url_key"), F.col("_home"), F.col("_tag"),
-                          F.lit("") if signal is None else signal)
-    return work.withColumn(name, kind).select(*had, name)
+    known = F.struct(url_parts(F.col(url_col)).alias("p"), is_tag_url(clean_url(F.col(url_col))).alias("tag"),
+                     home.alias("home"), (F.lit("") if signal is None else signal).alias("signal"))
+    return df.withColumn(name, let(known, lambda k: page_type_from(
+        k["p"]["low"], k["p"]["url_key"], k["home"], k["tag"], k["signal"])))
 
 
 def decisive_type(df: DataFrame, url_col: str = "url", name: str = "decisive_type") -> DataFrame:
     """C2."""
-    had = df.columns
-    return add_url_parts(df, url_col, "c_").withColumn(name, decisive_from(F.col("c_low"))).select(*had, name)
+    return df.withColumn(name, let(url_parts(F.col(url_col))["low"], decisive_from))
 
 
 def regrade_saved(audit: DataFrame) -> DataFrame:
     """Stored rows get today's decisive type and content grade."""
     had = audit.columns
-    work = add_url_parts(audit, "url", "c_").withColumn("_t", decisive_from(F.col("c_low")))
+    work = decisive_type(audit, "url", "_t")
     return work.withColumns({
         "page_type": F.when(F.col("available") & ~F.col("page_type").isin("home", "broken") & (F.col("_t") != ""),
                             F.col("_t")).otherwise(F.col("page_type")),
@@ -95,20 +92,21 @@ def regrade_saved(audit: DataFrame) -> DataFrame:
 
 def listing_kind(df: DataFrame, url_col: str = "url", name: str = "listing_kind") -> DataFrame:
     """C4."""
-    had = df.columns
-    return add_url_parts(df, url_col, "c_").withColumn(name, listing_kind_from(F.col("c_low"))).select(*had, name)
+    return df.withColumn(name, let(url_parts(F.col(url_col))["low"], listing_kind_from))
 
 
 def platform_of(html: Column, headers: Column, url: Column) -> Column:
     blob = F.concat_ws(" ", F.lower(F.substring(text(html), 1, K.PLATFORM_SCAN_CHARS)), F.lower(text(headers)),
                        F.lower(text(url)))
-    out = None
-    for platform, signs in K.PLATFORM_SIGNS:
-        hit = F.contains(blob, F.lit(signs[0]))
-        for s in signs[1:]:
-            hit = hit | F.contains(blob, F.lit(s))
-        out = F.when(hit, platform) if out is None else out.when(hit, platform)
-    return out.otherwise("unknown")
+    def first_sign(b: Column) -> Column:
+        out = None
+        for platform, signs in K.PLATFORM_SIGNS:
+            hit = F.contains(b, F.lit(signs[0]))
+            for s in signs[1:]:
+                hit = hit | F.contains(b, F.lit(s))
+            out = F.when(hit, platform) if out is None else out.when(hit, platform)
+        return out.otherwise("unknown")
+    return let(blob, first_sign)
 
 
 def detect_platform(home_pages: DataFrame, hints: DataFrame | None = None) -> DataFrame:
@@ -131,22 +129,23 @@ def language_of(html_lang: Column, sample: Column) -> Column:
 def fixed_title_from(url: Column, low: Column, title: Column, page_type: Column, lang: Column) -> Column:
     """The known title of policy, contact and blog-index pages, or ''."""
     english = F.lower(text(lang)).startswith("en")
-    hay = F.concat_ws(" ", F.array_join(low, " "), F.lower(percent_decode(url)), F.lower(text(title)))
+    whole = F.concat_ws(" ", F.array_join(low, " "), F.lower(percent_decode(url)), F.lower(text(title)))
     blog_index = (F.size(low) == 1) & F.coalesce(F.try_element_at(low, F.lit(1)).isin(*K.BLOG_SEGMENTS), F.lit(False))
     out = (F.when(page_type.isin("product", "category", "home", "blog"), "")
            .when(blog_index, F.when(english, K.BLOG_INDEX_TITLE[1]).otherwise(K.BLOG_INDEX_TITLE[0])))
+    return out.otherwise(let(whole, lambda hay: _titled(hay, english)))
+
+
+def _titled(hay: Column, english: Column) -> Column:
+    out = None
     for words, arabic, latin in K.FIXED_TITLES:
-        hit = F.contains(hay, F.lit(words[0]))
-        for w in words[1:]:
-            hit = hit | F.contains(hay, F.lit(w))
-        out = out.when(hit, F.when(english, latin).otherwise(arabic))
+        hit, name = hay.rlike("|".join(words)), F.when(english, latin).otherwise(arabic)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("")
 
 
 def fixed_page_title(audit: DataFrame, name: str = "fixed_title") -> DataFrame:
-    had = [c for c in audit.columns if c != name]
-    return (add_url_parts(audit, "url", "c_")
-            .withColumn(name, fixed_title_from(F.col("url"), F.col("c_low"), F.col("title"), F.col("page_type"),
-                                               F.col("lang"))).select(*had, name))
+    return audit.withColumn(name, let(url_parts(F.col("url"))["low"], lambda low: fixed_title_from(
+        F.col("url"), low, F.col("title"), F.col("page_type"), F.col("lang"))))
 
 
