@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 from crawlwright.functions.rank import first_per, number_rows
-from crawlwright.functions.text import lookup, text
+from crawlwright.functions.text import let, lookup, text
 from crawlwright.functions.urls import (clean_url, match_path, normalize_url, path_only, percent_decode, same_page_key,
                                         url_key)
 
@@ -22,32 +22,37 @@ def classify_fetch(fetch_log: DataFrame, sites: DataFrame) -> DataFrame:
     """
     had = [c for c in fetch_log.columns if c not in ("fetch_code", "available", "moved", "chain", "final_url")]
     homes = sites.select("site", url_key(normalize_url(F.col("home_url"))).alias("_home"))
-    df = fetch_log.join(homes, "site", "left").withColumns({
-        "_req_key": url_key(clean_url(F.col("req_url"))), "_final": clean_url(F.col("final_url")),
-        "_moved": same_page_key(F.col("final_url")) != same_page_key(F.col("req_url")),
-        "_ctype": F.lower(text(F.col("content_type"))),
-        "_hops": F.coalesce(F.col("hops"), F.array().cast("array<int>"))})
-    df = df.withColumns({
-        "_chain": F.when(F.size("_hops") > 0, F.array_join(F.array_append(
-            F.col("_hops").cast("array<string>"), F.col("status").cast("string")), ARROW)).otherwise(""),
-        "_home_final": url_key(F.col("_final")) == F.col("_home"),
-        "_home_canon": F.when(text(F.col("canonical_url")) != "",
-                              url_key(clean_url(F.col("canonical_url"))) == F.col("_home")).otherwise(False)})
-    lost = (F.col("_req_key") != F.col("_home")) & (F.col("_home_final") | F.col("_home_canon"))
-    code = (F.when(F.col("status").isNull(), K.FETCH_CONN_FAILED)
-            .when(F.col("status") != 200, F.concat(F.lit("http_"), F.col("status")))
-            .when((F.col("_ctype") != "") & ~F.contains(F.col("_ctype"), F.lit("html")), K.FETCH_NOT_HTML)
-            .when(lost, K.FETCH_DELETED_HOME).otherwise(K.FETCH_OK))
-    df = df.withColumn("fetch_code", code)
-    c = F.col("fetch_code")
-    quiet = c.isin(K.FETCH_CONN_FAILED, K.FETCH_NOT_HTML)
-    return df.select(
-        *had, "fetch_code", (c == K.FETCH_OK).alias("available"), F.coalesce("_moved", F.lit(False)).alias("moved"),
-        F.when(quiet, "").when(c == K.FETCH_DELETED_HOME, F.col("_final"))
-        .otherwise(F.when(F.col("_moved"), F.col("_final")).otherwise("")).alias("final_url"),
-        F.when(quiet, "").when(c == K.FETCH_DELETED_HOME, F.when(F.col("_chain") != "", F.col("_chain"))
-                               .otherwise("canonical" + ARROW + "home"))
-        .when((c == K.FETCH_OK) & ~F.col("_moved"), "").otherwise(F.col("_chain")).alias("chain"))
+    known = F.struct(
+        F.col("_home").alias("home"), url_key(clean_url(F.col("req_url"))).alias("req_key"),
+        clean_url(F.col("final_url")).alias("final"),
+        (same_page_key(F.col("final_url")) != same_page_key(F.col("req_url"))).alias("moved"),
+        (url_key(clean_url(F.col("final_url"))) == F.col("_home")).alias("home_final"),
+        F.when(text(F.col("canonical_url")) != "", url_key(clean_url(F.col("canonical_url"))) == F.col("_home"))
+        .otherwise(False).alias("home_canon"),
+        F.when(F.size("hops") > 0, F.array_join(F.array_append(
+            F.col("hops").cast("array<string>"), F.col("status").cast("string")), ARROW)).otherwise("").alias("chain"))
+    status, ctype = F.col("status"), F.lower(text(F.col("content_type")))
+
+    def judge(k: Column) -> Column:
+        lost = (k["req_key"] != k["home"]) & (k["home_final"] | k["home_canon"])
+        code = (F.when(status.isNull(), K.FETCH_CONN_FAILED)
+                .when(status != 200, F.concat(F.lit("http_"), status))
+                .when((ctype != "") & ~F.contains(ctype, F.lit("html")), K.FETCH_NOT_HTML)
+                .when(lost, K.FETCH_DELETED_HOME).otherwise(K.FETCH_OK))
+        return let(code, lambda c: outcome(k, c))
+
+    def outcome(k: Column, c: Column) -> Column:
+        quiet = c.isin(K.FETCH_CONN_FAILED, K.FETCH_NOT_HTML)
+        gone_home = c == K.FETCH_DELETED_HOME
+        chain = F.when(gone_home & (k["chain"] == ""), "canonical" + ARROW + "home").otherwise(k["chain"])
+        return F.struct(
+            c.alias("fetch_code"), (c == K.FETCH_OK).alias("available"),
+            F.coalesce(k["moved"], F.lit(False)).alias("moved"),
+            F.when(~quiet & (gone_home | k["moved"]), k["final"]).otherwise("").alias("final_url"),
+            F.when(quiet | ((c == K.FETCH_OK) & ~k["moved"]), "").otherwise(chain).alias("chain"))
+
+    df = fetch_log.join(homes, "site", "left").withColumn("_r", let(known, judge))
+    return df.select(*had, *[F.col("_r")[n].alias(n) for n in ("fetch_code", "available", "moved", "final_url", "chain")])
 
 
 def redirect_report(fetched: DataFrame) -> DataFrame:
