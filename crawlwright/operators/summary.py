@@ -140,16 +140,15 @@ def template_reading_checks(audit: DataFrame, images: DataFrame) -> DataFrame:
         df = df.join(part, "site", "left")
     df = df.na.fill(0)
     no_img = F.col("prod_urls") - F.col("with_images")
+    def sign(name: str, n: Column, hit: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), n.alias("n"), hit.alias("hit"))
+    many, live_n = F.col("n_prod") >= 10, F.col("n_live")
     checks = F.array(
-        F.struct(F.lit("fewer_images_than_products").alias("check"), F.col("n_images").alias("n"),
-                 ((F.col("n_prod") >= 10) & (F.col("n_images") < F.col("n_prod"))).alias("hit")),
-        F.struct(F.lit("products_without_images"), no_img,
-                 (F.col("n_prod") >= 10) & (F.col("n_images") > 0) & (no_img > F.col("n_prod") * 0.3)),
-        F.struct(F.lit("truncated_image_urls"), F.col("truncated"), F.col("truncated") > 0),
-        F.struct(F.lit("one_title_on_most_pages"), F.col("top_title"),
-                 (F.col("n_live") >= 20) & (F.col("top_title") > F.col("n_live") * 0.5)),
-        F.struct(F.lit("one_description_on_most_pages"), F.col("top_desc"),
-                 (F.col("n_live") >= 20) & (F.col("top_desc") > F.col("n_live") * 0.5)))
+        sign("fewer_images_than_products", F.col("n_images"), many & (F.col("n_images") < F.col("n_prod"))),
+        sign("products_without_images", no_img, many & (F.col("n_images") > 0) & (no_img > F.col("n_prod") * 0.3)),
+        sign("truncated_image_urls", F.col("truncated"), F.col("truncated") > 0),
+        sign("one_title_on_most_pages", F.col("top_title"), (live_n >= 20) & (F.col("top_title") > live_n * 0.5)),
+        sign("one_description_on_most_pages", F.col("top_desc"), (live_n >= 20) & (F.col("top_desc") > live_n * 0.5)))
     return (df.select("site", F.explode(checks).alias("c")).where("c.hit")
             .select("site", F.col("c.check").alias("check"), F.col("c.n").cast("bigint").alias("n")))
 
@@ -162,11 +161,11 @@ def self_checks(facts: DataFrame) -> DataFrame:
     """
     n_ok = F.col("live_pages")
     tried = n_ok + F.col("unreachable_pages") + F.col("suspicious_home")
-    pct = F.round(n_ok / tried * 100, 1)
+    pct = F.round(F.try_divide(n_ok, tried) * 100, 1)
     gap = F.col("store_total") - F.col("products")
     tolerance = F.greatest(F.lit(1), F.bround(F.col("store_total") * 0.01, 0))
-    unk = F.col("unclassified") / n_ok * 100
-    pics = F.col("products_with_images") / F.col("product_pages") * 100
+    unk = F.try_divide(F.col("unclassified"), n_ok) * 100
+    pics = F.try_divide(F.col("products_with_images"), F.col("product_pages")) * 100
 
     def row(name: str, shown: Column, level: Column, value: Column) -> Column:
         return F.struct(F.lit(name).alias("check"), F.when(shown, level).alias("level"), value.cast("double").alias("value"))

@@ -16,6 +16,7 @@ from crawlwright.plans.duck import view
 from crawlwright.plans.q_graph import site_platforms
 from crawlwright.plans.q_urls import graded
 from crawlwright.plans.registry import query
+from crawlwright.session import cut
 from crawlwright.sources.tables import read_pages, read_table
 
 
@@ -25,6 +26,11 @@ def masked(spark, d):
     return S.fix_masks(df)
 
 
+def silver(spark, d):
+    """The graded, masked audit written once: work lists read it two or three times."""
+    return cut(masked(spark, d))
+
+
 def unique(spark, d):
     df = G.grade_alt(V.fx_audit_images(spark, d)).withColumn("image_format", image_format(F.col("image_url")))
     return I.unique_images(df)
@@ -226,12 +232,12 @@ _prio = "row_number() OVER (PARTITION BY site ORDER BY seo_score NULLS LAST, seq
 
 @query("j5_titles_list", f"SELECT seq, {_issue_sql('title', 'Title', '50–60', 60)} AS issues, {_prio} AS priority FROM audit_mask WHERE title_fix")
 def _(spark, d):
-    return W.titles_list(masked(spark, d)).select("seq", "issues", "priority")
+    return W.titles_list(silver(spark, d)).select("seq", "issues", "priority")
 
 
 @query("j5_descs_list", f"SELECT seq, {_issue_sql('desc', 'Description', '120–160', 160)} AS issues, {_prio} AS priority FROM audit_mask WHERE desc_fix")
 def _(spark, d):
-    return W.descs_list(masked(spark, d)).select("seq", "issues", "priority")
+    return W.descs_list(silver(spark, d)).select("seq", "issues", "priority")
 
 
 _ord = D.lookup("alt_status", K.ALT_ORDER, "9")
@@ -262,7 +268,7 @@ view("fix_rows", f"""SELECT *, concat_ws(' · ', {_len_sql('title', 'Title')}, C
 
 @query("j6_fix_list", f"SELECT seq, issues, {_prio} AS priority FROM fix_rows WHERE issues <> ''")
 def _(spark, d):
-    return W.fix_list(masked(spark, d)).select("seq", "issues", "priority")
+    return W.fix_list(silver(spark, d)).select("seq", "issues", "priority")
 
 
 @query("j7_localize", f"""SELECT seq, CASE page_type {_lab['page_type']} END AS page_type, CASE title_status {_lab['status']} END AS title_status,
@@ -278,7 +284,7 @@ def _(spark, d):
     LEFT JOIN (SELECT site, count(*) AS images FROM aimg_uni WHERE alt_status <> 'alt_ok' GROUP BY 1) USING (site)
     LEFT JOIN (SELECT site, count(*) AS broken FROM fx_audit WHERE fetch_code = 'http_404' GROUP BY 1) USING (site)""")
 def _(spark, d):
-    m = masked(spark, d)
+    m = silver(spark, d)
     broken = V.fx_audit(spark, d).where("fetch_code = 'http_404'")
     return W.work_units(m.where("title_fix"), m.where("desc_fix"), unique(spark, d).where("alt_status <> 'alt_ok'"), broken)
 
@@ -375,7 +381,7 @@ def _(spark, d):
 # --- ranks, samples, distributions, sets -----------------------------------------------------------------------
 @query("g12_priority_rank", f"SELECT seq, {_prio} AS priority FROM audit_scored")
 def _(spark, d):
-    return W.priority_rank(graded(spark, d).select("site", "seq", "seo_score")).select("seq", "priority")
+    return W.priority_rank(cut(graded(spark, d).select("site", "seq", "seo_score"))).select("seq", "priority")
 
 
 @query("g14_page_sample", """SELECT site, seq, pos FROM (SELECT site, seq, row_number() OVER (PARTITION BY site ORDER BY md5('42#' || seq), seq) AS pos
@@ -444,7 +450,7 @@ def _(spark, d):
       ELSE {D.slug('u_alls')} END AS nm, CASE WHEN title_fix THEN fixed_title ELSE '' END AS fixed FROM audit_mask) GROUP BY 1, 2
     HAVING bool_or(title_fix OR desc_fix)""")
 def _(spark, d):
-    m = masked(spark, d)
+    m = silver(spark, d)
     return W.items_from_scan(m.where("title_fix"), m.where("desc_fix"), m).select("site", "url", "fixed_title", "name", "need")
 
 

@@ -16,6 +16,7 @@ def local_session(cores: str = "8", app: str = "crawlwright", **conf: str) -> Sp
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "8g")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for key, value in conf.items():
         builder = builder.config(key, value)
