@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,17 +264,3 @@ def settle_bids(bids: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
     return done if done is not None else bids.select("site", "seq", "url", "slug").limit(0)
-
-
-def similar_texts(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks between normalised texts, for pairs that blocking has already joined."""
-    import re
-    from difflib import SequenceMatcher
-
-    def norm(t):
-        return re.sub(r"[\W_]+", "", str(t or "")).lower()
-    return pd.Series([SequenceMatcher(None, norm(x), norm(y)).ratio() if norm(x) and norm(y) else 0.0
-                      for x, y in zip(a, b)])
-
-
-text_ratio = F.pandas_udf(similar_texts, "double")

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from crawlwright import constants as K
 from crawlwright.functions.rank import first_per, number_rows
@@ -18,7 +19,7 @@ from crawlwright.session import cut
 SIMILAR = 0.8
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def too_similar(a: pd.Series, b: pd.Series) -> pd.Series:
     """Do two texts share four fifths of their letters in order?  Lengths rule most pairs out at once."""
     def norm(t):
