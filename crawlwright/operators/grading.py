@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 from crawlwright.functions.rank import with_group_size
-from crawlwright.functions.text import (NO_LETTERS, any_pattern, edges, fold, folded_set, let, letters_and_digits,
+from crawlwright.functions.text import (ARABIC, NO_LETTERS, any_pattern, edges, fold, folded_set, let, letters_and_digits,
                                         lookup, script_of, squeeze, strip, text, text_length, tokens, western_digits,
                                         word_tokens)
 from crawlwright.functions.urls import (add_url_parts, clone_pattern, is_product_subpage, is_tag_url, slug_from,
@@ -45,23 +45,26 @@ def regrade_lengths(audit: DataFrame) -> DataFrame:
 
 # --- alt texts -----------------------------------------------------------------------------------
 def alt_status(alt: Column) -> Column:
-    """E2."""
-    def with_words(txt: Column) -> Column:
+    """E2.  Cheap tests first; words are cut only for texts that reach them, folded only where Arabic occurs."""
+    def judge(txt: Column) -> Column:
+        return (F.when(txt == "", "alt_missing")
+                .when(F.lower(txt).rlike(r"\.(jpg|jpeg|png|webp|gif|svg)$") | txt.rlike(NO_LETTERS), "alt_generic")
+                .otherwise(let(words_of(txt), lambda ws: by_words(txt, ws))))
+
+    def words_of(txt: Column) -> Column:
         bare = F.transform(F.split(F.lower(txt), " "), lambda w: F.regexp_replace(
             w, r"^[.,،؛:!?|\-()\[\]]+|[.,،؛:!?|\-()\[\]]+$", ""))
-        words = F.transform(F.filter(bare, lambda w: w != ""), fold)
-        return let(words, lambda ws: judge(txt, ws))
+        words = F.filter(bare, lambda w: w != "")
+        return F.when(txt.rlike(ARABIC), F.transform(words, fold)).otherwise(words)
 
-    def judge(txt: Column, words: Column) -> Column:
+    def by_words(txt: Column, words: Column) -> Column:
         n, commas = F.size(words), F.length(F.regexp_replace(txt, "[^,،]", ""))
-        return (F.when(txt == "", "alt_missing")
-                .when(F.lower(txt).rlike(r"\.(jpg|jpeg|png|webp|gif|svg)$") | txt.rlike(NO_LETTERS), "alt_generic")
-                .when(F.forall(words, lambda w: w.isin(*GENERIC_ALT)), "alt_generic")
+        return (F.when(F.forall(words, lambda w: w.isin(*GENERIC_ALT)), "alt_generic")
                 .when(F.length(txt) > K.ALT_MAX, "alt_long")
                 .when((commas >= 4) & (n < 3 * commas), "alt_stuffed")
                 .when((n >= 6) & (F.size(F.array_distinct(words)) * 2 < n), "alt_stuffed")
                 .otherwise("alt_ok"))
-    return let(squeeze(alt), with_words)
+    return let(squeeze(alt), judge)
 
 
 def grade_alt(images: DataFrame) -> DataFrame:

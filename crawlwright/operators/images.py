@@ -10,6 +10,7 @@ from crawlwright.functions.rank import first_per, flag_keys, number_by_range
 from crawlwright.functions.text import folded_set, has_arabic, literal_array, lookup, strip, tokens, word_tokens
 from crawlwright.functions.urls import image_stem, raw_host
 from crawlwright.operators.grading import GENERIC_ALT, name_vocabulary
+from crawlwright.session import cut
 
 STORE_GENERIC = tuple(dict.fromkeys(GENERIC_ALT + folded_set(K.STORE_WORDS) + K.STORE_WORDS))
 SET_TOKENS = tuple(dict.fromkeys(folded_set(K.SET_WORDS) + K.SET_WORDS))
@@ -92,6 +93,7 @@ def wrong_product_alts(images: DataFrame, products: DataFrame, names: DataFrame)
     had = images.columns
     named = products.where(F.col("available") & (F.col("page_type") == "product")).select(
         "site", F.col("url").alias("page_url"), "seq", strip(F.col("name")).alias("name")).where("name <> ''")
+    named = cut(named)      # read by the counts, the vocabulary and the token sets
     sites = named.groupBy("site").agg(F.count("*").alias("n")).where("n >= 2").select("site")
     vocab = name_vocabulary(named.withColumns({"page_type": F.lit("product"), "display_name": F.col("name")}))
     common = (sites.join(vocab, "site", "left").join(store_tokens(names), "site", "left")
@@ -102,6 +104,7 @@ def wrong_product_alts(images: DataFrame, products: DataFrame, names: DataFrame)
         (F.coalesce(F.arrays_overlap(tokens(F.col("name")), literal_array(SET_TOKENS)), F.lit(False))
          | F.coalesce(F.arrays_overlap(tokens(F.col("page_url")), literal_array(SET_TOKENS)), F.lit(False)))
         .alias("is_set"))
+    prods = cut(prods)      # read three times below
     # candidate names: one row per distinct token set, with the first product that carries it
     cand = (prods.where(F.size("own") >= 3).groupBy("site", F.col("own").alias("toks"))
             .agg(F.min("seq").alias("cseq")))

@@ -48,11 +48,15 @@ def suggest_alternatives(audit: DataFrame) -> DataFrame:
     dropped; pages with the same type and token set are one candidate (the first of them), dead links with the same
     question are asked once; and a match is looked up through rare tokens first.
     """
+    from crawlwright.session import cut
+
     live = audit.where(F.col("available") & F.col("page_type").isin(*K.CONTENT_TYPES)
                        & (F.trim(text(F.col("final_url"))) == "") & F.coalesce("indexable", F.lit(True)))
     live = add_url_parts(live.select("site", "seq", "url", "page_type", "display_name"), "url", "k_")
     cands = live.select("site", "seq", "url", F.col("page_type").alias("ctype"), "k_low",
                         F.array_sort(_page_tokens(slug_from(F.col("k_segs")), F.col("display_name"))).alias("toks"))
+    # the candidate table is read four times below: parse and cut the URLs once
+    cands = cut(cands)
     total = cands.groupBy("site").agg(F.count("*").alias("n_cands"))
     dfreq = (cands.select("site", F.explode("toks").alias("t")).groupBy("site", "t").agg(F.count("*").alias("df"))
              .join(total, "site").where(F.col("df") > F.greatest(F.lit(3.0), F.col("n_cands") * 0.33)))
@@ -66,6 +70,8 @@ def suggest_alternatives(audit: DataFrame) -> DataFrame:
         "want": F.array_sort(F.array_except(_page_tokens(slug_from(F.col("k_segs"))), F.coalesce("common", none))),
         "generic": (decisive_from(F.col("k_low")) == "") & (F.col("link_type") != "product")})
 
+    broken = cut(broken)
+
     # a category id survives any rename: the first live category with that id is certain
     by_id = (cands.where("ctype = 'category'").select("site", "seq", "url", F.explode(_category_id(F.col("k_low"))).alias("cid"))
              .groupBy("site", "cid").agg(F.min_by("url", "seq").alias("id_url")))

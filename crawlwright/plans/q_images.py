@@ -11,12 +11,14 @@ from crawlwright.plans import duck as D
 from crawlwright.plans import views as V
 from crawlwright.plans.duck import view
 from crawlwright.plans.registry import query
+from crawlwright.session import cut
 from crawlwright.sources.tables import read_table
 
 
 def images(spark, d):
-    return G.grade_alt(V.fx_images(spark, d)).withColumn("own_image", F.expr(
-        "CASE WHEN seq % 10 = 1 THEN true WHEN seq % 10 = 2 THEN false END"))
+    """The graded image table, written once: the alt checks read it several times."""
+    return cut(G.grade_alt(V.fx_images(spark, d)).withColumn("own_image", F.expr(
+        "CASE WHEN seq % 10 = 1 THEN true WHEN seq % 10 = 2 THEN false END")))
 
 
 def image_pages(spark, d):
@@ -129,7 +131,7 @@ view("img_match", """SELECT site, alt, alt_t, arg_min(toks, cseq) AS other FROM
         ON c.site = i.site AND c.image_url = i.image_url) WHERE alt_status = 'alt_wrong_product'""")
 def _(spark, d):
     names = store_names(spark, d)
-    step = I.store_name_alts(I.alt_duplicates(images(spark, d)), names)
+    step = cut(I.store_name_alts(I.alt_duplicates(images(spark, d)), names))
     return (I.wrong_product_alts(step, page_products(spark, d), names).where("alt_status = 'alt_wrong_product'")
             .select("site", "page_url", "image_url", "seq", "alt_status"))
 

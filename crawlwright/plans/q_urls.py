@@ -13,6 +13,7 @@ from crawlwright.plans import duck as D
 from crawlwright.plans import duck_views as DV
 from crawlwright.plans import views as V
 from crawlwright.plans.registry import query
+from crawlwright.session import cut
 from crawlwright.sources.tables import read_pages, read_table
 
 
@@ -25,8 +26,9 @@ def audit(spark, d):
 
 
 def graded(spark, d):
+    """The page grades.  The audit rows are written once: seven lookups and the main branch read them."""
     images = G.grade_alt(V.fx_audit_images(spark, d))
-    return G.grade_audit(audit(spark, d), images)
+    return G.grade_audit(cut(audit(spark, d)), images)
 
 
 @query("a1_read_pages", "SELECT page_id, url, length(html) AS html_chars FROM pages")
@@ -299,14 +301,16 @@ def _(spark, d):
 @query("g3_text_quality", """SELECT seq, brand, title_quality, desc_quality, title_status, title_len, desc_status, desc_len,
     title_shared, desc_shared FROM audit_q""")
 def _(spark, d):
-    return G.text_quality(G.grade_lengths(audit(spark, d))).select(
+    base = cut(audit(spark, d))
+    return G.text_quality(G.grade_lengths(base), base=base).select(
         "seq", "brand", "title_quality", "desc_quality", "title_status", "title_len", "desc_status", "desc_len",
         "title_shared", "desc_shared")
 
 
 @query("g4_url_quality", "SELECT seq, slug, url_quality FROM audit_u")
 def _(spark, d):
-    return G.url_quality(G.text_quality(G.grade_lengths(audit(spark, d)))).select("seq", "slug", "url_quality")
+    base = cut(audit(spark, d))
+    return G.url_quality(G.text_quality(G.grade_lengths(base), base=base), base=base).select("seq", "slug", "url_quality")
 
 
 @query("g5_duplicate_content", "SELECT seq, dup_content, dup_pages FROM audit_dup")

@@ -9,8 +9,17 @@ PAGE_COLUMNS = {"page_id": "bigint", "url": "string", "html": "string", "content
                 "robots_header": "string"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a table that arrives in fewer splits than the cluster has cores (one small file, say).
+
+    A table of many files or row groups has splits enough and is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def with_columns_filled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -23,4 +32,4 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A1: landed pages ``(page_id, url, html, ...)`` whose content type is HTML or unknown."""
     df = with_columns_filled(spark.read.parquet(path), PAGE_COLUMNS)
     kind = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
-    return df.where((kind == "") | F.contains(kind, F.lit("html"))).select(*PAGE_COLUMNS)
+    return spread(df.where((kind == "") | F.contains(kind, F.lit("html"))).select(*PAGE_COLUMNS))
