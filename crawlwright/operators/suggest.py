@@ -97,18 +97,32 @@ def _best_candidates(asked: DataFrame, cands: DataFrame, common: DataFrame) -> D
         .where(F.size("ct") > 0).groupBy("site", "ctype", "ct").agg(F.min_by("url", "seq").alias("url"),
                                                                     F.min("seq").alias("cseq")))
     index = offers.select("site", F.explode("ct").alias("t"), "ctype", "ct", "url", "cseq")
-    # rare tokens first; a two-word match must show among all but one of them (see _probes)
     freq = index.groupBy("site", "t").agg(F.count("*").alias("df"))
     ranked = (asked.select("site", "want", "generic", "allowed", "base", F.explode("base").alias("t"))
               .join(freq, ["site", "t"], "left").groupBy("site", "want", "generic", "allowed", "base")
               .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("r")))
-    probes = ranked.select("site", "want", "generic", "allowed", "base", F.explode(_probes()).alias("p")).select(
-        "site", "want", "generic", "allowed", "base", F.col("p.t").alias("t"))
+    ask = ("site", "want", "generic", "allowed", "base")
+
+    def lookups(which) -> DataFrame:
+        return ranked.select(*ask, F.explode(which).alias("p")).select(*ask, F.col("p.t").alias("t"))
+    # two or more shared words: through the rare words of the question
+    several = lookups(_rare_words()).join(index, ["site", "t"])
+    # one shared word is enough for generic links and one-word questions.  All one-word matches of a word and type
+    # rank alike but for the size of the page's word set, its variant words and its order, so the best of each is
+    # enough: no posting list is paired with the questions.
+    variants = F.array_sort(F.array_intersect(F.col("ct"), literal_array(VARIANTS)))
+    row = F.struct("ct", "url", "cseq")
+    reps = index.groupBy("site", "t", "ctype", variants.alias("v")).agg(
+        F.min_by(row, F.struct(F.size("ct"), F.col("cseq"))).alias("small"), F.min_by(row, F.col("cseq")).alias("early"))
+    reps = reps.select("site", "t", "ctype", F.explode(F.array("small", "early")).alias("c")).select(
+        "site", "t", "ctype", "c.ct", "c.url", "c.cseq")
+    single = F.when(F.col("generic") | (F.size("want") == 1), F.col("r"))
+    probes = several.unionByName(lookups(single).join(reps, ["site", "t"]))
     hit = F.size(F.array_intersect("base", "ct"))
     n_base = F.size("base")
     variant = F.size(F.array_intersect(F.array_intersect(F.col("want"), literal_array(VARIANTS)), F.col("ct")))
     pos = F.array_position("allowed", F.col("ctype"))
-    pairs = (probes.join(index, ["site", "t"]).where(pos > 0).withColumns({
+    pairs = (probes.where(pos > 0).withColumns({
         "hit": hit, "score": hit / n_base, "variant": variant, "pos": pos}))
     g = F.col("generic")
     pairs = pairs.where(~(g & (F.col("ctype") == "product") & ((F.col("hit") < 3) | (F.col("score") < 0.75))))
@@ -127,17 +141,15 @@ def _best_candidates(asked: DataFrame, cands: DataFrame, common: DataFrame) -> D
         "site", "want", "generic", "allowed", F.col("b.url").alias("suggested_url"), "suggestion_conf")
 
 
-def _probes():
-    """Which base tokens to look up.
+def _rare_words():
+    """The base words that every match of two or more words must hold one of.
 
-    A specific link is answered only by two or more shared tokens covering half of the base, so a winner shares
-    at least ``h = max(2, ceil(n / 2))`` tokens and must hold one of the ``n - h + 1`` rarest.  Generic links and
-    one-word questions can be answered by a single token and need them all.
+    A specific link is answered only by two or more shared words covering half of the base, a generic one also by
+    two: with ``h`` needed words of ``n``, one of the ``n - h + 1`` rarest is among them.
     """
     n = F.size("r")
-    h = F.greatest(F.lit(2), F.ceil(n / 2).cast("int"))
-    narrow = ~F.col("generic") & (F.size("want") > 1)
-    return F.slice("r", F.lit(1), F.when(narrow, n - h + 1).otherwise(n))
+    h = F.when(F.col("generic"), F.lit(2)).otherwise(F.greatest(F.lit(2), F.ceil(n / 2).cast("int")))
+    return F.slice("r", F.lit(1), F.greatest(n - h + 1, F.lit(0)))
 
 
 def annotate_broken(audit: DataFrame, found_on: DataFrame, suggestions: DataFrame) -> DataFrame:

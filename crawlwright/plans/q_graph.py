@@ -350,8 +350,8 @@ def _(spark, d):
     return S.suggest_alternatives(V.fx_audit_mixed(spark, d))
 
 
-view("dead_found", """SELECT site, dst_key, n_pages, array_to_string(list_transform(samples, lambda x:
-      translate(regexp_replace(x, '^https://[^/]*', ''), chr(10), '')), ' | ') || CASE WHEN n_pages > 3 THEN ' (+' || (n_pages - 3) || ')' ELSE '' END AS found_on
+view("dead_found", f"""SELECT site, dst_key, n_pages, array_to_string(list_transform(samples, lambda x:
+      {D.path('x')}), ' | ') || CASE WHEN n_pages > 3 THEN ' (+' || (n_pages - 3) || ')' ELSE '' END AS found_on
     FROM (SELECT b.site, b.url_key AS dst_key, count(*) AS n_pages, list(a.url ORDER BY a.seq)[1:3] AS samples
       FROM sug_keyed a JOIN sug_keyed b ON b.seq = a.seq - (a.seq // 20) % 5 * 20 AND a.seq <> b.seq GROUP BY 1, 2)""")
 
