@@ -14,6 +14,7 @@ from crawlwright.plans import views as V
 from crawlwright.plans.duck import view
 from crawlwright.plans.q_images import fetched
 from crawlwright.plans.registry import query
+from crawlwright.session import cut
 from crawlwright.sources.tables import read_pages, read_table
 
 
@@ -72,9 +73,10 @@ def _(spark, d):
 
 
 def links(spark, d):
+    """The edge list, written once: it is narrow, the HTML it comes from is not."""
     p = pages(spark, d)
     urls = p.select("page_id", F.col("url").alias("src_url"))
-    return P.page_links(p).join(urls, "page_id").select("site", "dst_key", "src_url", F.col("page_id").alias("seq"))
+    return cut(P.page_links(p).join(urls, "page_id").select("site", "dst_key", "src_url", F.col("page_id").alias("seq")))
 
 
 view("ref_index", """SELECT site, dst_key, count(*) AS n_pages, list(src_url ORDER BY seq, src_url)[1:3] AS samples FROM (
