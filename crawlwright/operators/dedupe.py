@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 from crawlwright.functions.rank import first_per
-from crawlwright.functions.urls import add_url_parts, url_key
+from crawlwright.functions.urls import url_key, url_parts
+from crawlwright.session import cut
 
 
 def dedupe_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -19,15 +20,13 @@ def dedupe_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     canonical target go, unless a site of ten or more pages would lose over half of them: such canonicals are
     broken, everything stays and the report says so.
     """
-    had = pages.columns
-    keyed = add_url_parts(pages, "url", "k_").withColumns({
-        "_down": ~F.col("available"), "_ck": F.when(F.trim(F.coalesce("canonical_url", F.lit(""))) != "",
-                                                    url_key(F.col("canonical_url")))})
-    keyed = keyed.withColumns({"_ck": F.coalesce("_ck", "k_url_key"), "_pk": F.col("k_url_key"),
-                               "_lang": F.col("k_has_lang")})
-    order = [F.col("_down"), F.col("_lang"), F.col("seq")]
-    one = first_per(keyed.select("site", *[c for c in had if c != "site"], "_down", "_ck", "_pk", "_lang"),
-                    ["site", "_pk"], order)
+    canon = F.trim(F.coalesce("canonical_url", F.lit("")))
+    keyed = pages.select("site", "seq", "available", canon.alias("_c"), url_parts(F.col("url")).alias("_p"))
+    keyed = keyed.select("site", "seq", (~F.col("available")).alias("_down"), F.col("_p.has_lang").alias("_lang"),
+                         F.col("_p.url_key").alias("_pk"),
+                         F.when(F.col("_c") != "", url_key(F.col("_c"))).otherwise(F.col("_p.url_key")).alias("_ck"))
+    # keys only: the wide rows meet the verdict once, at the end
+    one = cut(first_per(keyed, ["site", "_pk"], [F.col("_down"), F.col("_lang"), F.col("seq")]))
     # the first reachable page of every canonical target that has more than one
     slim = one.where("NOT _down").groupBy("site", "_ck").agg(
         F.count("*").alias("_n"), F.min_by("_pk", F.struct("_lang", "seq")).alias("_first"))
@@ -35,11 +34,10 @@ def dedupe_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     stats = stats.withColumn("canon_broken", F.when((F.col("available_pages") >= 10)
                                                     & (F.col("dup_pages") > F.col("available_pages") * 0.5),
                                                     F.col("dup_pages")).otherwise(0).cast("bigint"))
-    tagged = (one.join(slim.where("_n > 1").drop("_n"), ["site", "_ck"], "left")
-              .join(stats.select("site", "canon_broken"), "site", "left"))
-    drop = (~F.col("_down") & F.col("_first").isNotNull() & (F.col("_first") != F.col("_pk"))
-            & (F.coalesce("canon_broken", F.lit(0)) == 0))
-    return tagged.where(~drop).select(*had), stats
+    later = (one.where("NOT _down").join(slim.where("_n > 1").drop("_n"), ["site", "_ck"]).where("_first <> _pk")
+             .join(stats.where("canon_broken = 0").select("site"), "site", "left_semi").select("site", "seq"))
+    kept = one.select("site", "seq").join(later, ["site", "seq"], "left_anti")
+    return pages.join(kept, ["site", "seq"], "left_semi"), stats
 
 
 def retryable(code):

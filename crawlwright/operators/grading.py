@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from crawlwright import constants as K
-from crawlwright.functions.rank import with_group_size
 from crawlwright.functions.text import (ARABIC, NO_LETTERS, any_pattern, edges, fold, folded_set, let, letters_and_digits,
                                         lookup, script_of, squeeze, strip, text, text_length, tokens, western_digits,
                                         word_tokens)
-from crawlwright.functions.urls import (add_url_parts, clone_pattern, is_product_subpage, is_tag_url, slug_from,
-                                        url_key)
+from crawlwright.functions.urls import (clone_pattern, is_product_subpage, is_tag_url, slug_from, url_key, url_parts)
 
 GENERIC_ALT = folded_set(K.GENERIC_ALT_WORDS)
 
@@ -95,6 +97,36 @@ def is_promotional(c: Column) -> Column:
     return t.rlike(any_pattern(K.PROMO_PATTERNS))
 
 
+@F.pandas_udf(StringType())
+def promo_phrase(titles: pd.Series) -> pd.Series:
+    """The promotional wording of a title as it is written there, with the word next to it where both form one
+    phrase ('coupon discount'); '' when there is none."""
+    def python_form(p: str) -> str:
+        return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m.group(1), 16)), p)
+    digits = str.maketrans(K.EASTERN_DIGITS, K.WESTERN_DIGITS)
+    patterns = [re.compile(python_form(p)) for p in K.PROMO_PATTERNS]
+    width = re.compile(K.WIDTH_NOT_OFFER_PATTERN)
+
+    def find(raw) -> str:
+        raw = raw or ""
+        low = raw.translate(digits).lower()
+        # keep every position: blank out a width, do not shorten the text
+        low = width.sub(lambda m: " " * len(m.group(0)), low)
+        hit = next((m for m in (p.search(low) for p in patterns) if m), None)
+        if hit is None:
+            return ""
+        start = hit.start() + len(hit.group(0)) - len(hit.group(0).lstrip())
+        end = start + len(hit.group(0).strip())
+        before = re.search(r"(\S+)\s+$", low[:start])
+        if before and before.group(1) in K.PROMO_LEFT_WORDS:
+            start = before.start()
+        after = re.match(r"\s*و?\s*\S+", low[end:])
+        if after and re.search(K.PROMO_RIGHT_PATTERN, after.group(0)):
+            end += after.end()
+        return raw[start:end].strip(" -|،,")
+    return titles.map(find)
+
+
 def few_letters(c: Column) -> Column:
     return F.length(F.regexp_replace(text(c), r"[^\p{L}\p{Nl}\p{No}]+", "")) < 3
 
@@ -172,19 +204,64 @@ def _stripped_texts(df: DataFrame) -> DataFrame:
                            "_d": F.when(up, strip(F.col("meta_desc"))).otherwise("")})
 
 
-def text_quality(audit: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Quality codes of title and description; fatal codes force status 'missing' and length 0.
+def page_flags(base: DataFrame) -> DataFrame:
+    """``(site, seq, title_shared, desc_shared, dup_pages, has_parent)`` for the rows that have any.
 
-    ``base`` is the ungraded table that ``audit`` comes from: brand and duplicate counts read it, so every lookup
-    is one column-pruned scan next to the main branch.
+    Title, description, the pair of both and the parent key of a numbered slug are looked up in one narrow pass:
+    every row offers the keys it has, counts are pre-aggregated per key, and only keys that repeat come back.  The
+    wide table then meets all flags in a single join on (site, seq).
     """
+    t = _stripped_texts(base.select("site", "seq", "available", "title", "meta_desc", "url"))
+    both = F.col("available") & (strip(F.col("title")) != "") & (strip(F.col("meta_desc")) != "")
+    keys = F.array_compact(F.array(
+        F.when(F.col("_t") != "", F.struct(F.lit("t").alias("kind"), F.col("_t").alias("key"))),
+        F.when(F.col("_d") != "", F.struct(F.lit("d").alias("kind"), F.col("_d").alias("key"))),
+        F.when(both, F.struct(F.lit("c").alias("kind"),
+                              F.to_json(F.struct("title", "meta_desc")).alias("key")))))
+    offers = t.select("site", "seq", F.explode(keys).alias("k")).select("site", "seq", "k.kind", "k.key")
+    counts = offers.groupBy("site", "kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = offers.join(counts, ["site", "kind", "key"]).select("site", "seq", "kind", "n")
+
+    urls = base.select("site", "seq", "url", url_parts(F.col("url")).alias("p"))
+    urls = urls.select("site", "seq", "url", F.col("p.url_key").alias("own"), let(F.col("p.segs"), slug_from).alias("slug"))
+    stem = F.regexp_extract("slug", r"(?s)^(.*)-[0-9]{1,2}$", 1)
+    numbered = urls.where(F.col("slug").rlike(r"(?s)^.*-[0-9]{1,2}$")).select(
+        "site", "seq", "own", url_key(F.replace(F.col("url"), F.col("slug"), stem)).alias("key")).where("key <> own")
+    parents = numbered.join(urls.select("site", F.col("own").alias("key")).distinct(), ["site", "key"], "left_semi")
+    rows = shared.unionByName(parents.select("site", "seq", F.lit("p").alias("kind"), F.lit(1).cast("bigint").alias("n")))
+
+    def pick(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("n")))
+    return rows.groupBy("site", "seq").agg(
+        pick("t").alias("_tn"), pick("d").alias("_dn"), pick("c").alias("_cn"), pick("p").isNotNull().alias("_has_parent"))
+
+
+def site_words(base: DataFrame) -> DataFrame:
+    """``(site, brand, vocab)``: what the text and URL grades need to know about a site."""
+    return detect_brand(base).join(name_vocabulary(base), "site", "full_outer")
+
+
+def with_lookups(audit: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Join the site words and the page flags; a table that already has them stays as it is.
+
+    ``base`` is the ungraded table that ``audit`` comes from, so every lookup is a column-pruned scan of its own.
+    """
+    if "_has_parent" in audit.columns:
+        return audit
     base = audit if base is None else base
-    brands = detect_brand(base)
-    texts = _stripped_texts(base.select("site", "available", "title", "meta_desc"))
+    return (audit.join(page_flags(base), ["site", "seq"], "left").join(site_words(base), "site", "left")
+            .withColumns({"brand": F.coalesce("brand", F.lit("")), "vocab": F.coalesce("vocab", F.array().cast("array<string>")),
+                          "_has_parent": F.coalesce("_has_parent", F.lit(False))}))
+
+
+LOOKUPS = ("_tn", "_dn", "_cn", "_has_parent", "vocab")
+
+
+def text_quality(audit: DataFrame, base: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """Quality codes of title and description; fatal codes force status 'missing' and length 0."""
+    df = _stripped_texts(with_lookups(audit, base)).withColumns({
+        "title_shared": F.coalesce("_tn", F.lit(1)), "_desc_shared": F.coalesce("_dn", F.lit(1))})
     up = F.col("available")
-    df = _stripped_texts(audit.join(brands, "site", "left")).withColumn("brand", F.coalesce("brand", F.lit("")))
-    df = with_group_size(df, ["site", "_t"], "title_shared", F.col("_t") != "", base=texts)
-    df = with_group_size(df, ["site", "_d"], "_desc_shared", F.col("_d") != "", base=texts)
     t, d, brand = F.col("_t"), F.col("_d"), F.col("brand")
     tq = (F.when(~up | (t == ""), "q_na").when(is_placeholder(t), "q_placeholder")
           .when(letters_and_digits(t) == "", "q_symbols")
@@ -201,7 +278,7 @@ def text_quality(audit: DataFrame, base: DataFrame | None = None) -> DataFrame:
         fatal = F.col(f"{kind}_quality").isin(*K.QUALITY_FATAL)
         fix[f"{kind}_status"] = F.when(fatal, "missing").otherwise(F.col(f"{kind}_status"))
         fix[f"{kind}_len"] = F.when(fatal, F.lit(0)).otherwise(F.col(f"{kind}_len")).cast("bigint")
-    return df.withColumns(fix).drop("_t", "_d", "_desc_shared")
+    return df.withColumns(fix).drop("_t", "_d", "_desc_shared", *(() if keep else LOOKUPS))
 
 
 # --- URL quality -----------------------------------------------------------------------------------
@@ -220,26 +297,17 @@ def name_vocabulary(audit: DataFrame, name_col: str = "display_name") -> DataFra
             .groupBy("site").agg(F.collect_list("token").alias("vocab")))
 
 
-def url_quality(audit: DataFrame, declared_col: str | None = None, base: DataFrame | None = None) -> DataFrame:
-    """G4 with F4: adds ``slug`` and ``url_quality``.  Needs ``brand`` from the text quality step."""
-    base = audit if base is None else base
-    had = [c for c in audit.columns if c not in ("slug", "url_quality")]
-    df = add_url_parts(audit, "url", "u_").withColumn("slug", slug_from(F.col("u_segs")))
+def url_quality(audit: DataFrame, declared_col: str | None = None, base: DataFrame | None = None, keep: bool = False
+                ) -> DataFrame:
+    """G4 with F4: adds ``slug`` and ``url_quality``."""
+    had = [c for c in audit.columns if c not in ("slug", "url_quality", *(() if keep else LOOKUPS))]
+    df = with_lookups(audit, base).withColumn("slug", let(url_parts(F.col("url"))["segs"], slug_from))
     slug, low = F.col("slug"), F.lower(F.col("slug"))
-    stem = F.regexp_extract(slug, r"(?s)^(.*)-[0-9]{1,2}$", 1)
-    # rows that cannot have a parent get a private key, so that they do not pile up in one join partition
-    df = df.withColumn("_parent", F.when(slug.rlike(r"(?s)^.*-[0-9]{1,2}$"),
-                                         url_key(F.replace(F.col("url"), slug, stem)))
-                       .otherwise(F.concat(F.lit("-"), F.col("seq"))))
-    known = (base.select("site", url_key(F.col("url")).alias("_parent")).distinct()
-             .withColumn("_has_parent", F.lit(True)))
-    df = df.join(known, ["site", "_parent"], "left").join(name_vocabulary(base), "site", "left")
     declared = F.lit("") if declared_col is None else strip(F.col(declared_col))
     df = df.withColumns({
         "_words": F.transform(F.filter(F.split(slug, "[-_]+"), lambda w: w != ""), lambda w: fold(F.lower(w))),
         "_declared": declared, "_shown": strip(F.col("display_name")), "_meta": strip(F.col("title")),
-        "_brand": tokens(F.col("brand")), "_stok": word_tokens(slug),
-        "vocab": F.coalesce(F.col("vocab"), F.array().cast("array<string>"))})
+        "_brand": tokens(F.col("brand")), "_stok": word_tokens(slug)})
     df = df.withColumn("_name", F.when(F.col("_declared") != "", F.col("_declared")).otherwise(F.col("_shown")))
     df = df.withColumns({
         "_ref": F.when(F.col("_name") != "", F.col("_name")).otherwise(F.col("_meta")),
@@ -250,7 +318,7 @@ def url_quality(audit: DataFrame, declared_col: str | None = None, base: DataFra
              & (script_of(slug) == script_of(F.col("_ref"))))
     grade = (F.when(~F.col("available") | (slug == ""), "u_na")
              .when(low.rlike(clone_pattern()), "u_clone")
-             .when(F.coalesce(F.col("_has_parent"), F.lit(False)) & (F.col("_parent") != F.col("u_url_key")), "u_clone")
+             .when(F.col("_has_parent"), "u_clone")
              .when(low.rlike(edges(K.MALFORMED_SLUG_PATTERN)), "u_malformed")
              .when(slug.rlike(NO_LETTERS) | low.rlike(K.GENERIC_SLUG_PATTERN), "u_generic")
              .when(F.contains(slug, F.lit("_")), "u_underscore")
@@ -263,13 +331,15 @@ def url_quality(audit: DataFrame, declared_col: str | None = None, base: DataFra
 # --- duplicate content -------------------------------------------------------------------------------
 def duplicate_content(audit: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Flag reachable pages that share title and description; ``dup_pages`` is the size of the group."""
-    base = audit if base is None else base
-    both = (F.col("available") & (strip(F.col("title")) != "") & (strip(F.col("meta_desc")) != ""))
-    df = with_group_size(audit.withColumn("_both", both), ["site", "title", "meta_desc"], "dup_pages", F.col("_both"),
-                         base=base.withColumn("_both", both))
-    return df.withColumns({"dup_content": F.col("_both") & (F.col("dup_pages") >= 2),
-                           "dup_pages": F.when(F.col("_both"), F.col("dup_pages")).otherwise(0).cast("bigint")}
-                          ).drop("_both")
+    had = [c for c in audit.columns if c not in LOOKUPS]
+    if "_cn" in audit.columns:
+        df = audit
+    else:
+        flags = page_flags(audit if base is None else base)
+        df = audit.join(flags.select("site", "seq", "_cn"), ["site", "seq"], "left")
+    both = F.col("available") & (strip(F.col("title")) != "") & (strip(F.col("meta_desc")) != "")
+    n = F.when(both, F.coalesce("_cn", F.lit(1))).otherwise(0).cast("bigint")
+    return df.withColumns({"dup_pages": n, "dup_content": n >= 2}).select(*had, "dup_pages", "dup_content")
 
 
 # --- scores ------------------------------------------------------------------------------------------
@@ -309,7 +379,7 @@ def grade_audit(audit: DataFrame, images: DataFrame | None = None) -> DataFrame:
     df = grade_lengths(audit).withColumn(
         "content_status", F.when(~F.col("available"), "na").when(F.col("word_count") >= K.THIN_WORDS, "good")
         .otherwise("thin"))
-    df = url_quality(text_quality(df, base=audit), base=audit)
-    return score_pages(duplicate_content(df, base=audit), images)
+    df = url_quality(text_quality(with_lookups(df, audit), keep=True), keep=True)
+    return score_pages(duplicate_content(df), images)
 
 

@@ -310,18 +310,18 @@ def _(spark, d):
 @query("g4_url_quality", "SELECT seq, slug, url_quality FROM audit_u")
 def _(spark, d):
     base = cut(audit(spark, d))
-    return G.url_quality(G.text_quality(G.grade_lengths(base), base=base), base=base).select("seq", "slug", "url_quality")
+    return G.url_quality(G.grade_lengths(base), base=base).select("seq", "slug", "url_quality")
 
 
 @query("g5_duplicate_content", "SELECT seq, dup_content, dup_pages FROM audit_dup")
 def _(spark, d):
-    return G.duplicate_content(audit(spark, d)).select("seq", "dup_content", "dup_pages")
+    return G.duplicate_content(cut(audit(spark, d))).select("seq", "dup_content", "dup_pages")
 
 
 @query("g5_duplicate_groups", """SELECT site, title, meta_desc, count(*) AS pages, min(seq) AS first_seq FROM audit_dup
     WHERE dup_content GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return (G.duplicate_content(audit(spark, d)).where("dup_content").groupBy("site", "title", "meta_desc")
+    return (G.duplicate_content(cut(audit(spark, d))).where("dup_content").groupBy("site", "title", "meta_desc")
             .agg(F.count("*").alias("pages"), F.min("seq").alias("first_seq")))
 
 

@@ -126,18 +126,25 @@ def _(spark, d):
     return site_titles(read_pages(spark, f"{d}/pages.parquet"))
 
 
-@query("j3_template_reading_checks", """SELECT site, name AS "check", n FROM (
-    SELECT site, unnest([{'name': 'fewer_images_than_products', 'n': n_images, 'hit': n_prod >= 10 AND n_images < n_prod},
-      {'name': 'products_without_images', 'n': prod_urls - with_images, 'hit': n_prod >= 10 AND n_images > 0 AND prod_urls - with_images > n_prod * 0.3},
-      {'name': 'one_title_on_most_pages', 'n': 0, 'hit': false}], recursive := true) FROM (
-      SELECT a.site, count(*) FILTER (page_type = 'product') AS n_prod, count(DISTINCT CASE WHEN page_type = 'product' THEN url END) AS prod_urls,
-        count(DISTINCT CASE WHEN page_type = 'product' AND seq % 5 = 3 THEN url END) AS with_images,
-        any_value(n_images) AS n_images FROM fx_audit a JOIN (SELECT site, count(DISTINCT image_url) AS n_images FROM fx_audit_images
-          WHERE tie % 5 = 3 GROUP BY 1) i ON i.site = a.site WHERE available GROUP BY 1)) WHERE hit""")
-def _(spark, d):
-    images = V.fx_audit_images(spark, d).where("tie % 5 = 3")
-    a = V.fx_audit(spark, d)
-    return S.template_reading_checks(a.join(images.select("site").distinct(), "site", "left_semi"), images)
+_TAUDIT = """SELECT concat('s', l_orderkey % 4) AS site, l_orderkey AS seq, concat('https://x/', l_orderkey) AS url, 'product' AS page_type,
+    true AS available, CASE WHEN l_orderkey % 4 = 1 AND l_orderkey % 3 <> 0 THEN 'same' ELSE concat('t', l_orderkey) END AS title,
+    CASE WHEN l_orderkey % 4 = 2 THEN 'one text' ELSE '' END AS meta_desc FROM {lineitem} GROUP BY l_orderkey"""
+_TIMAGES = """SELECT concat('s', l_orderkey % 4) AS site, concat('https://x/', l_orderkey) AS page_url, CASE l_orderkey % 4
+    WHEN 0 THEN concat('https://c/', l_partkey % 5, '.jpg') WHEN 1 THEN concat('https://m/cdn-cgi/image/w=', l_linenumber)
+    ELSE concat('https://c/', l_orderkey, '-', l_linenumber, '.jpg') END AS image_url FROM {lineitem} WHERE l_orderkey % 4 <> 3 OR l_orderkey % 3 = 0"""
+
+
+@query("j3_template_reading_checks", f"""WITH a AS ({_TAUDIT.replace('{lineitem}', 'lineitem')}), i AS ({_TIMAGES.replace('{lineitem}', 'lineitem')}),
+    f AS (SELECT site, count(*) AS p, count(*) - count(*) FILTER (url IN (SELECT page_url FROM i)) AS noimg,
+        max(tn) FILTER (title <> '') AS tt, max(dn) FILTER (meta_desc <> '') AS td FROM (SELECT *, count(*) OVER (PARTITION BY site, title) AS tn,
+        count(*) OVER (PARTITION BY site, meta_desc) AS dn FROM a) GROUP BY 1),
+    g AS (SELECT site, count(DISTINCT image_url) AS n, count(DISTINCT CASE WHEN contains(image_url, 'cdn-cgi') THEN image_url END) AS cut FROM i GROUP BY 1)
+    SELECT site, name AS "check", v AS n FROM f JOIN g USING (site), LATERAL (VALUES ('fewer_images_than_products', n, p >= 10 AND n < p),
+      ('products_without_images', noimg, p >= 10 AND noimg > p * 0.3), ('truncated_image_urls', cut, cut > 0),
+      ('one_title_on_most_pages', tt, p >= 20 AND tt > p * 0.5), ('one_description_on_most_pages', td, p >= 20 AND td > p * 0.5)) c(name, v, hit) WHERE hit""")
+def _(spark, d):
+    li = read_table(spark, d, "lineitem")
+    return S.template_reading_checks(spark.sql(_TAUDIT, lineitem=li), spark.sql(_TIMAGES, lineitem=li))
 
 
 _FACTS = """SELECT concat('s', o_custkey % 400) AS site, max(CASE o_orderkey % 5 WHEN 0 THEN 'salla' WHEN 1 THEN 'rmz' ELSE 'zid' END) AS platform,

@@ -13,6 +13,7 @@ def local_session(cores: str = "8", app: str = "crawlwright", **conf: str) -> Sp
                .config("spark.sql.shuffle.partitions", cores)
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "8g")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from crawlwright.operators import extract as X
 from crawlwright.sources import sitemaps as SM
 
-M = "https://midhal-oud.store"
+M = "https://oud-shop.store"
 
 
-def facts(spark, html, url=M + "/", site="midhal-oud.store"):
+def facts(spark, html, url=M + "/", site="oud-shop.store"):
     return X.read_pages_html(spark.createDataFrame([(site, 1, url, html)], "site string, page_id long, url string, html string"))
 
 
@@ -25,10 +25,10 @@ def test_unescape_keeps_emoji_and_drops_half_pairs():
 
 
 def test_resized_lazy_and_noscript_images(spark):
-    h = "".join(f'<img srcset="https://media.zid.store/cdn-cgi/image/w=620,q=85/b/p{i}.jpg 620w, '
-                f'https://media.zid.store/cdn-cgi/image/w=1240/b/p{i}.jpg 1240w">' for i in range(3))
+    h = "".join(f'<img srcset="https://media.example.store/cdn-cgi/image/w=620,q=85/b/p{i}.jpg 620w, '
+                f'https://media.example.store/cdn-cgi/image/w=1240/b/p{i}.jpg 1240w">' for i in range(3))
     got = [r["image_url"] for r in X.page_images(facts(spark, h)).orderBy("image_pos").collect()]
-    assert got == [f"https://media.zid.store/b/p{i}.jpg" for i in range(3)]
+    assert got == [f"https://media.example.store/b/p{i}.jpg" for i in range(3)]
     h = '<img src="data:x" data-lazyload="https://c.com/a.jpg"><img src=""><noscript><img src="https://c.com/c.jpg"></noscript>'
     assert [r["image_url"] for r in X.page_images(facts(spark, h)).orderBy("image_pos").collect()] == ["https://c.com/a.jpg", "https://c.com/c.jpg"]
 

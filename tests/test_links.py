@@ -7,7 +7,7 @@ from crawlwright.operators import graph as H
 from crawlwright.operators import redirects as R
 from crawlwright.operators import suggest as S
 
-A = "https://matjar-afkar.com"
+A = "https://ideas-shop.com"
 COLS = ("site string, seq long, url string, page_type string, link_type string, available boolean, display_name string, fetch_code string, "
         "chain string, final_url string, indexable boolean")
 
@@ -81,7 +81,7 @@ def test_suggestions_equal_brute_force(spark):
 
 
 def test_url_changes(spark):
-    root = "https://midhal-oud.store/products/"
+    root = "https://oud-shop.store/products/"
     rows = [("copy-of-copy-of-مبخرة-خشبية", "مبخرة خشبية بنقش ذهبي"), ("بوكس-المها-1", "بوكس فيروز"), ("بوكس-المها", "بوكس المها"),
             ("مبخرة-حائلية-لون-فضي-1", "مبخرة حائلية خشبية"), ("6deef1ae", "مجموعة لك ولها"), ("مبخره-خشبيه-صغيره", "مبخرة خشبية صغيرة"),
             ("عطر-100-مل", "عطر 100 مل")]

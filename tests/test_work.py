@@ -68,7 +68,7 @@ def test_service_phases_like_the_rule(spark):
 
 def test_title_suffix(spark):
     def mode(hits, n):
-        df = spark.createDataFrame([("s", i, f"item {i}" + (" | مدهال عود" if i < hits else "")) for i in range(n)], "site string, seq long, title string")
+        df = spark.createDataFrame([("s", i, f"item {i}" + (" | متجر عودي" if i < hits else "")) for i in range(n)], "site string, seq long, title string")
         r = T.detect_title_suffix(df).first()
         return r["mode"], r["core_min"], r["core_max"]
     assert mode(25, 48)[0] == "add" and mode(95, 98) == ("auto", 38, 48) and mode(0, 10) == ("none", 50, 60)
