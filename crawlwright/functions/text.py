@@ -75,7 +75,9 @@ def fold(token: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Ordered tokens of a text: lower-case Latin letters and digits, or folded Arabic words."""
     parts = F.transform(F.split(F.lower(text(c)), TOKEN_SPLIT), lambda t: F.regexp_replace(t, TOKEN_DROP, ""))
-    return F.transform(F.filter(parts, lambda t: F.length(t) >= 2), fold)
+    # texts without Arabic letters skip the folding of every token
+    return let(F.filter(parts, lambda t: F.length(t) >= 2),
+               lambda ts: F.when(has_arabic(c), F.transform(ts, fold)).otherwise(ts))
 
 
 def word_tokens(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 from crawlwright.functions.rank import first_per, flag_keys, number_by_range
-from crawlwright.functions.text import folded_set, has_arabic, literal_array, lookup, strip, tokens, word_tokens
+from crawlwright.functions.text import folded_set, has_arabic, let, literal_array, lookup, strip, tokens, word_tokens
 from crawlwright.functions.urls import image_stem, raw_host
 from crawlwright.operators.grading import GENERIC_ALT, name_vocabulary
 from crawlwright.session import cut
@@ -71,11 +71,13 @@ def store_tokens(names: DataFrame) -> DataFrame:
 def store_name_alts(images: DataFrame, names: DataFrame) -> DataFrame:
     """An alt made only of store tokens, generic words and numbers says nothing about the picture."""
     had = images.columns
-    df = images.join(store_tokens(names), "site", "left").withColumns({
-        "_toks": word_tokens(F.col("alt")), "store": F.coalesce("store", F.array().cast("array<string>"))})
-    rest = F.array_except(F.array_except("_toks", "store"), literal_array(STORE_GENERIC))
-    only_store = (F.size("_toks") > 0) & (F.size(rest) == 0) & F.arrays_overlap("_toks", "store")
-    hit = F.col("alt_status").isin("alt_ok", "alt_duplicate", "alt_page_dup") & F.coalesce(only_store, F.lit(False))
+    df = images.join(store_tokens(names), "site", "left")
+
+    def only_store(toks):
+        rest = F.array_except(F.array_except(toks, F.col("store")), literal_array(STORE_GENERIC))
+        return (F.size(toks) > 0) & (F.size(rest) == 0) & F.arrays_overlap(toks, F.col("store"))
+    hit = (F.col("store").isNotNull() & F.col("alt_status").isin("alt_ok", "alt_duplicate", "alt_page_dup")
+           & let(word_tokens(F.col("alt")), only_store))
     return df.withColumn("alt_status", F.when(hit, "alt_generic").otherwise(F.col("alt_status"))).select(*had)
 
 
