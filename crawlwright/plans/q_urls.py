@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 from crawlwright.functions import text as T
-from crawlwright.functions.urls import add_url_parts, clean_image_url, image_format, image_stem
+from crawlwright.functions.urls import add_url_parts, image_format
 from crawlwright.operators import classify as C
 from crawlwright.operators import grading as G
 from crawlwright.operators import pages as P
@@ -329,5 +329,3 @@ def _(spark, d):
 def _(spark, d):
     return graded(spark, d).select("seq", "seo_score", "images_missing_alt", "images_weak_alt")
 
-
-_ = (clean_image_url, image_stem)
