@@ -68,3 +68,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline.py``."""
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
