@@ -84,11 +84,11 @@ windows AS (
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split WHERE len(words) >= 50)),
 firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
 gone AS (
-  SELECT doc_id, list(DISTINCT p) AS at FROM (
+  SELECT doc_id, list(DISTINCT p) AS spots FROM (
     SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (w) WHERE first < doc_id) GROUP BY doc_id)
-SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN at IS NULL THEN words ELSE
-         list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(at, i)), i -> words[i]) END, ' ')) AS kept_sha256
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(spots), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN spots IS NULL THEN words ELSE
+         list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(spots, i)), i -> words[i]) END, ' ')) AS kept_sha256
 FROM split LEFT JOIN gone USING (doc_id)""")
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlwright.llm.substrings import removed_words
