@@ -78,7 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_substring_dedup", r"""
 WITH split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
 windows AS (
   SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS w
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split WHERE len(words) >= 50)),
@@ -88,8 +88,35 @@ gone AS (
     SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (w) WHERE first < doc_id) GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(spots), 0)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN spots IS NULL THEN words ELSE
-         list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(spots, i)), i -> words[i]) END, ' ')) AS kept_sha256
+         [words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(spots, i)] END, ' ')) AS kept_sha256
 FROM split LEFT JOIN gone USING (doc_id)""")
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlwright.llm.substrings import removed_words
     return removed_words(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontaminate", r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+grams AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)),
+spots AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n)),
+found AS (SELECT doc_id, i, n, item_id FROM spots JOIN grams USING (gram, n)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.decontaminate import contamination
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
