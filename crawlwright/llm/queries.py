@@ -130,3 +130,10 @@ FROM (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlwright.llm.warc import archived
     return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.pieces import encode_texts
+    pieces = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
+    return pieces.select("doc_id", "pieces.n_pieces", "pieces.ids_sha256", "pieces.parity", "pieces.round_trip")
