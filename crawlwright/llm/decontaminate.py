@@ -53,7 +53,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     return found.join(grams, ["gram", "n"]).select("doc_id", "_text", "at", "n", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items, contaminated)`` for every row of ``docs``.
 
     A document word inside any occurrence of a window is hit; ``items`` are the sorted ids of the items with an occurring
@@ -61,7 +61,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     have no words; items without words have no windows, and without any item nothing is contaminated.  Repeated rows and rows
     without a doc_id are judged each by its own text.  Items without an id count for hits but are not listed.
     """
-    per_doc = (hits(docs, benchmark, window).select("doc_id", "_text", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("p"),
+    per_doc = (hits(docs, benchmark, window, broadcast_bytes).select("doc_id", "_text", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("p"),
                                                    "items")
                .groupBy("doc_id", "_text", "p").agg(F.flatten(F.collect_set("items")).alias("items"))
                .groupBy("doc_id", "_text").agg(F.count("*").alias("n_hit"), F.collect_set("items").alias("items"))
@@ -77,9 +77,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                       ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    marked = hits(docs, benchmark, window)
+    marked = hits(docs, benchmark, window, broadcast_bytes)
     per_doc = (marked.select("doc_id", "_text", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("p"))
                .distinct().groupBy("doc_id", "_text").agg(F.count("*").alias("n_hit")).select(
                    F.xxhash64("doc_id", "_text").alias("_bad_key"), F.col("doc_id").alias("_bad_doc"), F.col("_text").alias("_bad_text"),

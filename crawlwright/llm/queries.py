@@ -73,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlwright.llm.simhash import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 @query("op7_substring_dedup", r"""
@@ -137,3 +137,35 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlwright.llm.pieces import encode_texts
     pieces = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
     return pieces.select("doc_id", "pieces.n_pieces", "pieces.ids_sha256", "pieces.parity", "pieces.round_trip")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.toxicity import score, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    out = score(docs, train(docs, labels))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.quality import grade_of, score, train
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = score(docs, train(docs, labels.select("doc_id", grade_of(labels).alias("grade"))))
+    return out.select("doc_id", "quality_score.expected_grade", "quality_score.tail", "quality_score.kept")
+
+
+@query("op9_topk", """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 10""")
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.topk import search
+    return search(table(spark, sf_dir, "embeddings"))

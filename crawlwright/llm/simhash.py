@@ -108,16 +108,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
+    """``(doc_id, fingerprint, component_id, text_key)`` for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included.  Null and empty texts have fingerprint
     zero and link like any other.  Repeated rows stay; a row without a doc_id links but names no component, so a component of
-    such rows alone has a null id.  An empty table gives an empty result.  Other columns are not read.
+    such rows alone has a null id.  ``text_key`` is a hash of the text that tells rows with one doc_id apart.  An empty table
+    gives an empty result.  Other columns are not read.
     """
-    marked = stash(docs.select("doc_id", _fingerprints(utf8("text")).alias("fp")), "simhash-fingerprints")
+    marked = stash(docs.select("doc_id", F.xxhash64("text").alias("text_key"), _fingerprints(utf8("text")).alias("fp")), "simhash-fingerprints")
     fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     stars = components(links(fps.select("fp")))
     rooted = fps.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose component holds a smaller doc_id: one document of each group stays.
+
+    A row without a doc_id goes if its component has a numbered document and stays otherwise.  Equal rows with one doc_id are
+    one document and stay together.
+    """
+    gone = (near_duplicates(docs).where("component_id is not null and (doc_id is null or component_id < doc_id)")
+            .select(F.col("doc_id").alias("_gone_doc"), F.col("text_key").alias("_gone_text")).distinct())
+    own = F.xxhash64(docs["text"])
+    return docs.join(gone, (own == F.col("_gone_text")) & docs["doc_id"].eqNullSafe(F.col("_gone_doc")), "left_anti")
