@@ -4,7 +4,8 @@ Words become 64-bit symbols.  Rounds of recompression then name maximal runs of
 (left half and right half of the alphabet by a bit of the symbol's hash).  A name depends on its content only, so it is global
 without a dictionary: equal substrings get equal interior symbols in every document.  Each boundary between two symbols carries
 the word interval that it depends on; a window sees the boundary if it holds that interval.  What a window sees depends on
-its own words only, so every occurrence of a window picks the same boundary: the first one that it sees at the highest level.
+its own words only, so every occurrence of a window picks the same boundary: of those that it sees at the highest level, the
+one whose interval has the least name.
 
 Pass 1 cuts a document's windows into cells (neighbouring windows that pick the same boundary) and gives every cell a key (the
 name of the boundary's interval) and a context (the name of all words of its windows).  Documents are processed in blocks of a
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 from crawlwright.llm.common import blocks_for
 
 WINDOW = 50
-LEVELS = 8
+LEVELS = 4
 LEAST_INTERVAL = 12  # words; windows whose boundary depends on fewer are keyed by all their words instead
 BLOCK_BYTES = 4 << 20
 NO_ID = -(1 << 63)
@@ -120,11 +121,10 @@ class Parsed:
             return none, none, none.astype(_U), none.astype(_U), none
         pick_low, pick_high = np.full(len(starts), -1), np.full(len(starts), -1)
         for low, high in recompress(self.hashed, self.edges):
-            i = np.searchsorted(low, starts)  # the first boundary that depends on nothing before the window
-            seen = i < len(low)
-            i = np.minimum(i, len(low) - 1)
-            seen &= high[i] <= starts + WINDOW
-            pick_low, pick_high = np.where(seen, low[i], pick_low), np.where(seen, high[i], pick_high)
+            i, end = np.searchsorted(low, starts), np.searchsorted(high, starts + WINDOW, side="right")
+            seen = np.flatnonzero(i < end)  # the boundaries i to end depend on nothing outside the window
+            best = _least(self.names.of(np.maximum(low, 0), np.minimum(high, len(self.words)), 0), i[seen], end[seen])
+            pick_low[seen], pick_high[seen] = low[best], high[best]
         single = pick_high - pick_low < LEAST_INTERVAL
         new = np.ones(len(starts), bool)
         new[1:] = (single[1:] | single[:-1] | (starts[1:] != starts[:-1] + 1) | (pick_low[1:] != pick_low[:-1])
@@ -143,6 +143,23 @@ class Parsed:
         return at, self.names.of(at, at + WINDOW, 0), self.names.of(at, at + WINDOW, 1), np.repeat(doc, end - begin)
 
 
+def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the least value of each non-empty range is (the first of equals), by minima over powers of two."""
+    if not len(begin):
+        return begin
+    depth = np.frexp((end - begin).astype(float))[1] - 1
+    out, best = np.zeros(len(begin), np.int64), np.arange(len(values))
+    for k in range(int(depth.max()) + 1):
+        if k:
+            half = 1 << (k - 1)
+            left, right = best[:-half], best[half:]
+            best = np.where(values[left] <= values[right], left, right)
+        at = np.flatnonzero(depth == k)
+        left, right = best[begin[at]], best[end[at] - (1 << k)]
+        out[at] = np.where(values[left] <= values[right], left, right)
+    return out
+
+
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     total = int(size.sum())
     return np.repeat(begin - np.concatenate((np.zeros(1, np.int64), np.cumsum(size)[:-1])), size) + np.arange(total) if total else np.zeros(0, np.int64)
