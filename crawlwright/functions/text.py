@@ -102,11 +102,27 @@ def western_digits(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """The named and numeric entities that occur in titles and headings; ``&amp;`` last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-                         ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Named (HTML 4 and ``&apos;``) and numeric entities in one pass; unknown ones stay as they are.
+
+    ``&nbsp;`` becomes a plain space.  Text between ampersands is looked up piece by piece, so ``&amp;lt;`` gives ``&lt;``.
+    """
+    from html.entities import name2codepoint
+
+    named = F.create_map(*[F.lit(x) for name, code in sorted((name2codepoint | {"apos": 39}).items())
+                           for x in (name, " " if code == 160 else chr(code))])
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed = F.when(F.substring(name, 2, 1).isin("x", "X"), F.substring(name, 3, 8)).otherwise(F.conv(F.substring(name, 2, 9), 10, 16))
+        code = F.lpad(hexed, 8, "0")
+        valid = (code > "00000000") & (F.upper(code) <= "0010FFFF") & ~F.upper(code).between("0000D800", "0000DFFF")
+        char = F.when(name.startswith("#") & valid, F.decode(F.unhex(code), "UTF-32")).when(~name.startswith("#"), F.try_element_at(named, name))
+        char = F.when(char == "\u00a0", " ").otherwise(char)
+        return F.coalesce(F.when(name != "", F.concat(char, F.substring(piece, F.length(name) + 2, F.length(piece)))), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text(c), "&")
+    decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), ""))
+    return F.when(F.contains(text(c), F.lit("&")), decoded).otherwise(c)
 
 
 def literal_array(values) -> Column:

@@ -232,10 +232,21 @@ def resolve_href(base: Column, href: Column) -> Column:
 
 
 def _fold_dots(c: Column) -> Column:
-    """Fold up to four ``folder/../`` steps, enough for real links."""
-    for _ in range(4):
-        c = F.regexp_replace(c, r"(?<=[^/:]/|^)(?!\.\.)[^/]+/\.\./", "")
-    return c
+    """Take ``.`` and ``..`` segments out of a URL's path, however many there are; the root has no parent."""
+    parts = F.struct(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)(?s:(.*))$", 1).alias("root"),
+                     F.split(F.regexp_extract(c, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)", 1), "/").alias("segs"),
+                     F.regexp_extract(c, r"(?s)^[^?#]*(.*)$", 1).alias("rest"))
+
+    def step(done: Column, seg: Column) -> Column:
+        return (F.when(seg == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(seg == ".", done)
+                .otherwise(F.array_append(done, seg)))
+
+    def whole(p: Column) -> Column:
+        kept = F.aggregate(p["segs"], F.array().cast("array<string>"), step)
+        end = F.when(F.element_at(p["segs"], -1).isin(".", ".."), "/").otherwise("")
+        return F.concat(p["root"], F.array_join(kept, "/"), end, p["rest"])
+
+    return F.when(c.rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)"), let(parts, whole)).otherwise(c)
 
 
 def image_format(c: Column) -> Column:

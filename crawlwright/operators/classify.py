@@ -96,7 +96,7 @@ def listing_kind(df: DataFrame, url_col: str = "url", name: str = "listing_kind"
 
 
 def platform_of(html: Column, headers: Column, url: Column) -> Column:
-    blob = F.concat_ws(" ", F.lower(F.substring(text(html), 1, K.PLATFORM_SCAN_CHARS)), F.lower(text(headers)),
+    blob = F.concat_ws(" ", F.lower(text(html)), F.lower(text(headers)),
                        F.lower(text(url)))
     def first_sign(b: Column) -> Column:
         out = None

@@ -216,7 +216,7 @@ def types_of(node) -> set:
 
 def plain(s) -> str:
     t = re.sub(r"<[^>]+>", " ", str(s or "")).replace("&nbsp;", " ").replace("&amp;", "&")
-    return collapse(t)[:K.PRODUCT_DESC_CHARS]
+    return collapse(t)
 
 
 def product_facts(nodes, fallback: str) -> dict:
@@ -354,7 +354,7 @@ def page_audit(facts: DataFrame) -> DataFrame:
         F.when(F.col("word_count") >= K.THIN_WORDS, "good").otherwise("thin").alias("content_status"),
         F.when(F.col("canonical") == "", "canon_missing").when(same, "canon_same").otherwise("canon_diff").alias("canonical_status"),
         F.when((F.col("canonical") != "") & ~same, clean_url(F.col("canonical"))).otherwise("").alias("canonical_url"),
-        language_of(F.col("html_lang"), F.concat_ws(" ", "title", F.substring("body_text", 1, 500))).alias("lang"),
+        language_of(F.col("html_lang"), F.concat_ws(" ", "title", "body_text")).alias("lang"),
         F.substring("body_text", 1, K.EXCERPT_CHARS).alias("excerpt"), "declared_name", "sku", "brand", "category",
         "product_desc", F.size("product_images").cast("bigint").alias("declared_images"),
         F.size("images").cast("bigint").alias("total_images"), "scroll_marker")
@@ -395,16 +395,16 @@ def listing_next(facts: DataFrame) -> DataFrame:
 
 
 def declared_count(body, item_count=None):
-    """An explicit total anywhere, else the structured number, else the largest of five phrasings near the top."""
+    """An explicit total, else the structured number, else the largest of five phrasings; digits of either script."""
     ints = lambda arr: F.filter(F.transform(arr, lambda x: F.try_to_number(
         F.regexp_replace(western_digits(x), ",", ""), F.lit("99999999999")).cast("bigint")),
-        lambda n: (n > 0) & (n < K.COUNT_LIMIT))
+        lambda n: n > 0)
     def strong(b):
         pat = edges(K.STRONG_COUNT_PATTERN)
         return ints(F.transform(F.regexp_extract_all(b, F.lit(pat), F.lit(0)),
                                 lambda m: F.regexp_extract(m, "([0-9,٠-٩]*[0-9٠-٩][0-9,٠-٩]*)", 1)))
-    head = F.substring(text(body), 1, K.COUNT_SCAN_CHARS)
-    loose = [ints(F.regexp_extract_all(head, F.lit(edges(p)), F.lit(1))) for p in K.COUNT_PATTERNS]
+    western = western_digits(body)
+    loose = [ints(F.regexp_extract_all(western, F.lit(edges(p)), F.lit(1))) for p in K.COUNT_PATTERNS]
     every = loose[0]
     for arr in loose[1:]:
         every = F.concat(every, arr)

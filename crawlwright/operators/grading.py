@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from crawlwright import constants as K
 from crawlwright.functions.text import (ARABIC, NO_LETTERS, any_pattern, edges, fold, folded_set, let, letters_and_digits,
@@ -97,34 +93,16 @@ def is_promotional(c: Column) -> Column:
     return t.rlike(any_pattern(K.PROMO_PATTERNS))
 
 
-@F.pandas_udf(StringType())
-def promo_phrase(titles: pd.Series) -> pd.Series:
-    """The promotional wording of a title as it is written there, with the word next to it where both form one
-    phrase ('coupon discount'); '' when there is none."""
-    def python_form(p: str) -> str:
-        return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m.group(1), 16)), p)
-    digits = str.maketrans(K.EASTERN_DIGITS, K.WESTERN_DIGITS)
-    patterns = [re.compile(python_form(p)) for p in K.PROMO_PATTERNS]
-    width = re.compile(K.WIDTH_NOT_OFFER_PATTERN)
-
-    def find(raw) -> str:
-        raw = raw or ""
-        low = raw.translate(digits).lower()
-        # keep every position: blank out a width, do not shorten the text
-        low = width.sub(lambda m: " " * len(m.group(0)), low)
-        hit = next((m for m in (p.search(low) for p in patterns) if m), None)
-        if hit is None:
-            return ""
-        start = hit.start() + len(hit.group(0)) - len(hit.group(0).lstrip())
-        end = start + len(hit.group(0).strip())
-        before = re.search(r"(\S+)\s+$", low[:start])
-        if before and before.group(1) in K.PROMO_LEFT_WORDS:
-            start = before.start()
-        after = re.match(r"\s*و?\s*\S+", low[end:])
-        if after and re.search(K.PROMO_RIGHT_PATTERN, after.group(0)):
-            end += after.end()
-        return raw[start:end].strip(" -|،,")
-    return titles.map(find)
+def promo_phrase(title: Column) -> Column:
+    """The promotional wording of a title as it is written there, with a neighbour that belongs to it ('coupon discount'),
+    or ''.  Patterns are tried in order; each is one regular expression with optional words at both sides."""
+    raw, low = text(title), F.lower(western_digits(title))
+    offers = F.regexp_replace(low, K.WIDTH_NOT_OFFER_PATTERN, " ")
+    found = [F.regexp_extract(offers, f"(?:(?:{'|'.join(K.PROMO_LEFT_WORDS)})\\s*)?(?:{p})(?:\\s*و?\\s*(?:{K.PROMO_RIGHT_PATTERN})\\S*)?", 0)
+             for p in K.PROMO_PATTERNS]
+    first = F.coalesce(*[F.when(f != "", F.trim(f)) for f in found], F.lit(""))
+    cut = let(first, lambda f: F.when(f != "", F.substring(raw, F.greatest(F.instr(low, f), F.lit(1)), F.length(f))).otherwise(""))
+    return F.regexp_replace(cut, "^[ |،,-]+|[ |،,-]+$", "")
 
 
 def few_letters(c: Column) -> Column:

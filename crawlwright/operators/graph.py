@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,11 @@ def flag_in_map_linked(pages: DataFrame, sitemap_keys: DataFrame, linked_keys: D
                      (F.coalesce("_rl", no) | F.coalesce("_fl", no)).alias("linked"))
 
 
-def frontier(links: DataFrame, seen: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """newly discovered keys, first link each; ``max_pages`` is the crawl budget per site."""
+def frontier(links: DataFrame, seen: DataFrame) -> DataFrame:
+    """every newly discovered key with its first link and its place ``pos`` in the site's queue."""
     fresh = links.select("site", "key", "url", "seq").join(seen.select("site", "key"), ["site", "key"], "left_anti")
     fresh = first_per(fresh, ["site", "key"], [F.col("seq"), F.col("url")])
-    if max_pages is None:
-        return fresh
-    return number_rows(fresh, ["site"], [], "seq", "pos", ties=["url", "key"]).where(F.col("pos") <= max_pages)
+    return number_rows(fresh, ["site"], [], "seq", "pos", ties=["url", "key"])
 
 
 def referrer_index(links: DataFrame, samples: int = 3) -> DataFrame:
@@ -88,15 +88,18 @@ def coverage_report(audit: DataFrame, sitemap_report: DataFrame | None = None) -
     }).drop("unlisted")
 
 
-def coverage_tables(audit: DataFrame) -> dict[str, DataFrame]:
-    """H3: the rows behind the counters."""
+def coverage_tables(audit: DataFrame, sitemap_report: DataFrame | None = None) -> dict[str, DataFrame]:
+    """H3: the rows behind the counters.  A site whose sitemap was read in part has no ``unlisted`` rows."""
+    whole = audit
+    if sitemap_report is not None:
+        whole = audit.join(sitemap_report.where("partial").select("site").distinct(), "site", "left_anti")
     m, up, linked = F.col("in_map"), F.col("available"), F.col("linked")
     prod, content = F.col("page_type") == "product", F.col("page_type").isin(*K.CONTENT_TYPES)
     cols = ("site", "seq", "url", "page_type")
     return {"dead": audit.where(m & ~up & _gone()).select(*cols, "fetch_code"),
             "orphan": audit.where(m & up & ~linked & ~prod).select(*cols),
             "scroll_only": audit.where(m & up & ~linked & prod).select(*cols),
-            "unlisted": audit.where(~m & up & content).select(*cols)}
+            "unlisted": whole.where(~m & up & content).select(*cols)}
 
 
 def reconcile_counts(audit: DataFrame, sitemap_urls: DataFrame, mapping: DataFrame | None = None,
@@ -194,7 +197,7 @@ def home_redirect_suspicion(fetched: DataFrame, sitemap_counts: DataFrame) -> Da
         F.col("home_redirects") > F.greatest(F.coalesce("sitemap_urls", F.lit(0)), F.lit(1)) * 0.15)).alias("suspicious"))
 
 
-def reachability(edges: DataFrame, roots: DataFrame, max_rounds: int = 8) -> DataFrame:
+def reachability(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """H8: pages reachable from the roots, with the number of clicks.
 
     Breadth-first: the frontier meets the edge table on (site, src), known pages leave by an anti-join, and every
@@ -204,7 +207,7 @@ def reachability(edges: DataFrame, roots: DataFrame, max_rounds: int = 8) -> Dat
     front = roots.select("site", F.col("key").alias("dst")).distinct().withColumn("clicks", F.lit(0).cast("bigint"))
     seen = cut(front)
     front = seen
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):  # ends with an empty frontier: known pages are never entered again
         step = (front.select("site", F.col("dst").alias("src")).join(edges, ["site", "src"]).select("site", "dst")
                 .distinct().join(seen.select("site", "dst"), ["site", "dst"], "left_anti")
                 .withColumn("clicks", F.lit(depth).cast("bigint")))
@@ -227,12 +230,12 @@ def guessed_listing_seeds(sites: DataFrame, fetch_log: DataFrame) -> DataFrame:
             .select("site", "url").distinct())
 
 
-def blog_roots(audit: DataFrame, limit: int = K.MAX_BLOG_ROOTS) -> DataFrame:
-    """Reachable archive pages with a blog segment, shortest path first, at most 30 per site."""
+def blog_roots(audit: DataFrame) -> DataFrame:
+    """Reachable archive pages with a blog segment; ``pos`` orders them by path length."""
     df = add_url_parts(audit.where(F.col("available") & (F.col("page_type") == "archive")), "url", "k_")
     df = df.where(F.exists("k_low", lambda s: s.isin(*K.BLOG_SEGMENTS)))
     df = df.groupBy("site", "url").agg(F.min(F.size("k_segs")).cast("bigint").alias("depth"), F.min("seq").alias("seq"))
-    return top_k(df, ["site"], [F.col("depth"), F.col("seq"), F.col("url")], limit, "pos")
+    return number_rows(df, ["site"], [F.col("depth")], "seq", "pos", ties=["url"])
 
 
 def listing_products(links: DataFrame, page_types: DataFrame, listings: DataFrame) -> DataFrame:

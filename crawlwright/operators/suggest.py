@@ -68,7 +68,8 @@ def suggest_alternatives(audit: DataFrame) -> DataFrame:
     broken = broken.join(total.select("site"), "site", "left_semi").join(common, "site", "left").withColumns({
         "cid": F.try_element_at(_category_id(F.col("k_low")), F.lit(-1)),
         "want": F.array_sort(F.array_except(_page_tokens(slug_from(F.col("k_segs"))), F.coalesce("common", none))),
-        "generic": (decisive_from(F.col("k_low")) == "") & (F.col("link_type") != "product")})
+        "link_type": F.coalesce("link_type", F.when(decisive_from(F.col("k_low")) == "", "unknown").otherwise(decisive_from(F.col("k_low"))))})
+    broken = broken.withColumn("generic", (decisive_from(F.col("k_low")) == "") & (F.col("link_type") != "product"))
 
     broken = cut(broken)
 

@@ -23,21 +23,21 @@ def priority_rank(df: DataFrame, name: str = "priority") -> DataFrame:
 def _issue(kind: str, label: str, ideal: str, cap: int) -> Column:
     status, n = F.col(f"{kind}_status"), F.col(f"{kind}_len")
     quality, shared = F.col(f"{kind}_quality"), F.col(f"{kind}_shared")
-    size = (F.when(status == "missing", f"{label} missing")
-            .when(status == "very_short", F.concat(F.lit(f"{label} too short ("), n, F.lit(f" chars — ideal {ideal})")))
-            .when(status == "acceptable", F.concat(F.lit(f"{label} below ideal ("), n, F.lit(f" chars — ideal {ideal})")))
-            .when(status == "long", F.concat(F.lit(f"{label} too long ("), n, F.lit(f" chars — max {cap})"))))
+    size = (F.when(status == "missing", f"No {label} found")
+            .when(status == "very_short", F.concat(F.lit(f"{label} has too few characters ("), n, F.lit(f" characters, aim for {ideal})")))
+            .when(status == "acceptable", F.concat(F.lit(f"{label} could be longer ("), n, F.lit(f" characters, aim for {ideal})")))
+            .when(status == "long", F.concat(F.lit(f"{label} has too many characters ("), n, F.lit(f" characters, at most {cap})"))))
     names = K.LABELS_EN["quality"]
     if kind == "title":
-        brand = F.when(quality == "q_brand_only", "Title is only the store name")
-        dup = (F.when(shared >= 2, F.concat(F.lit("Title duplicated on "), shared, F.lit(" pages")))
+        brand = F.when(quality == "q_brand_only", "Title says nothing but the store name")
+        dup = (F.when(shared >= 2, F.concat(F.lit("Title shared by "), shared, F.lit(" pages")))
                .when(quality == "q_duplicate", names["q_duplicate"]))
         parts, known = [size, brand, dup], ("q_duplicate", "q_brand_only", "q_promo", "q_ok", "q_na")
     else:
-        dup = F.when(quality == "q_duplicate", F.concat(F.lit("Description duplicated on "), shared, F.lit(" pages")))
+        dup = F.when(quality == "q_duplicate", F.concat(F.lit("Description shared by "), shared, F.lit(" pages")))
         parts, known = [size, dup], ("q_duplicate", "q_ok", "q_na")
     other = F.when(~quality.isin(*known), F.concat(F.lit(f"{label}: "), lookup(quality, names.items())))
-    return F.when(quality.isin(*K.QUALITY_FATAL), f"{label} is only symbols or a template placeholder").otherwise(
+    return F.when(quality.isin(*K.QUALITY_FATAL), f"{label} holds no words of its own").otherwise(
         F.concat_ws(DOT, *parts, other))
 
 

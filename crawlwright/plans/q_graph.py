@@ -64,12 +64,12 @@ def _(spark, d):
 
 @query("f3_frontier", """SELECT site, key, url, pos FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq, url, key) AS pos FROM (
     SELECT site, dst_key AS key, arg_min(dst_url, row(page_id, dst_url)) AS url, min(page_id) AS seq FROM page_links
-    WHERE dst_key NOT IN (SELECT dst_key FROM page_links WHERE length(dst_key) % 3 = 0) GROUP BY 1, 2)) WHERE pos <= 5""")
+    WHERE dst_key NOT IN (SELECT dst_key FROM page_links WHERE length(dst_key) % 3 = 0) GROUP BY 1, 2))""")
 def _(spark, d):
     links = P.page_links(pages(spark, d)).select("site", F.col("dst_key").alias("key"), F.col("dst_url").alias("url"),
                                                  F.col("page_id").alias("seq"))
     seen = links.where(F.length("key") % 3 == 0)
-    return H.frontier(links, seen, 5).select("site", "key", "url", "pos")
+    return H.frontier(links, seen).select("site", "key", "url", "pos")
 
 
 def links(spark, d):
@@ -234,14 +234,14 @@ def _(spark, d):
 
 
 @query("h8_reachability", """WITH RECURSIVE walk(key, clicks) AS (SELECT 0::BIGINT, 0 UNION ALL
-      SELECT 3 * key + k, clicks + 1 FROM walk, (VALUES (1), (2), (5)) v(k) WHERE clicks < 8 AND key IN (SELECT page_id FROM pages))
+      SELECT 3 * key + k, clicks + 1 FROM walk, (VALUES (1), (2), (5)) v(k) WHERE key IN (SELECT page_id FROM pages))
     SELECT 'x' AS site, key::VARCHAR AS key, min(clicks)::BIGINT AS clicks FROM walk GROUP BY 2""")
 def _(spark, d):
     e = read_table(spark, d, "pages").selectExpr(
         "'x' AS site", "string(page_id) AS src",
         "explode(transform(array(1, 2, 5), k -> string(page_id * 3 + k))) AS dst")
     roots = read_table(spark, d, "pages").where("page_id = 0").select(F.lit("x").alias("site"), F.lit("0").alias("key"))
-    return H.reachability(e, roots, 8)
+    return H.reachability(e, roots)
 
 
 _SEED = """SELECT site, seq, status, content_type, concat('https://', site, '.example.com/', CASE seq % 11 WHEN 0 THEN 'products' WHEN 1
@@ -261,7 +261,7 @@ def _(spark, d):
 
 @query("h10_blog_roots", f"""SELECT site, url, depth, pos FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, seq, url)
       AS pos FROM (SELECT 's' || page_id % 2 AS site, url, min(len(segs)) AS depth, min(page_id) AS seq FROM urls_typed
-        WHERE page_type = 'archive' AND list_has_any(low, {D.lst(K.BLOG_SEGMENTS)}) GROUP BY 1, 2)) WHERE pos <= 30""")
+        WHERE page_type = 'archive' AND list_has_any(low, {D.lst(K.BLOG_SEGMENTS)}) GROUP BY 1, 2))""")
 def _(spark, d):
     t = C.classify_pages(V.fx_urls(spark, d)).selectExpr("concat('s', page_id % 2) AS site", "url", "page_id AS seq",
                                                          "page_type", "true AS available")

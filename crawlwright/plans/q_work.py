@@ -222,15 +222,15 @@ def _(spark, d):
 # --- work lists ----------------------------------------------------------------------------------------------
 def _issue_sql(kind, label, ideal, cap):
     s, n, ql, sh = f"{kind}_status", f"{kind}_len", f"{kind}_quality", f"{kind}_shared"
-    parts = [f"""CASE {s} WHEN 'missing' THEN '{label} missing' WHEN 'very_short' THEN '{label} too short (' || {n} || ' chars — ideal {ideal})'
-      WHEN 'acceptable' THEN '{label} below ideal (' || {n} || ' chars — ideal {ideal})' WHEN 'long' THEN '{label} too long (' || {n} || ' chars — max {cap})' END"""]
+    parts = [f"""CASE {s} WHEN 'missing' THEN 'No {label} found' WHEN 'very_short' THEN '{label} has too few characters (' || {n} || ' characters, aim for {ideal})'
+      WHEN 'acceptable' THEN '{label} could be longer (' || {n} || ' characters, aim for {ideal})' WHEN 'long' THEN '{label} has too many characters (' || {n} || ' characters, at most {cap})' END"""]
     if kind == "title":
-        parts += [f"CASE WHEN {ql} = 'q_brand_only' THEN 'Title is only the store name' END",
-                  f"CASE WHEN {sh} >= 2 THEN 'Title duplicated on ' || {sh} || ' pages' WHEN {ql} = 'q_duplicate' THEN 'Duplicated across pages' END"]
+        parts += [f"CASE WHEN {ql} = 'q_brand_only' THEN 'Title says nothing but the store name' END",
+                  f"CASE WHEN {sh} >= 2 THEN 'Title shared by ' || {sh} || ' pages' WHEN {ql} = 'q_duplicate' THEN {D.q(K.LABELS_EN['quality']['q_duplicate'])} END"]
     else:
-        parts += [f"CASE WHEN {ql} = 'q_duplicate' THEN 'Description duplicated on ' || {sh} || ' pages' END",
-                  f"CASE WHEN {ql} = 'q_same_as_title' THEN 'Description: Copy of the title' END"]
-    return (f"CASE WHEN {ql} IN ('q_symbols', 'q_placeholder') THEN '{label} is only symbols or a template placeholder' "
+        parts += [f"CASE WHEN {ql} = 'q_duplicate' THEN 'Description shared by ' || {sh} || ' pages' END",
+                  f"CASE WHEN {ql} = 'q_same_as_title' THEN 'Description: ' || {D.q(K.LABELS_EN['quality']['q_same_as_title'])} END"]
+    return (f"CASE WHEN {ql} IN ('q_symbols', 'q_placeholder') THEN '{label} holds no words of its own' "
             f"ELSE concat_ws(' · ', {', '.join(parts)}) END")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlwright import constants as K
 from crawlwright.functions.text import squeeze, text
 from crawlwright.functions.urls import add_url_parts
 
@@ -16,7 +15,7 @@ PAGE = f"products {ITEM}, collections {ITEM}"
 def plain_text(c):
     t = F.regexp_replace(text(c), "<[^>]+>", " ")
     t = F.replace(F.replace(t, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
-    return F.substring(squeeze(t), 1, K.PRODUCT_DESC_CHARS)
+    return squeeze(t)
 
 
 def read_product_feed(dumps: DataFrame) -> DataFrame:

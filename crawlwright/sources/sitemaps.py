@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -60,11 +61,11 @@ def is_sitemap_loc(c):
     return low.rlike(r"\.xml(\.gz)?$|/sitemap[^/]*$")
 
 
-def expand_sitemap_index(files: DataFrame, roots: DataFrame, max_depth: int = K.SITEMAP_MAX_DEPTH) -> DataFrame:
-    """A4: files reachable from the roots, nested at most four deep, each visited once."""
+def expand_sitemap_index(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """A4: files reachable from the roots, at any depth, each visited once."""
     edges = cut(sitemap_locs(files).where(is_sitemap_loc(F.col("loc"))).select("site", "file_url", "loc").distinct())
     seen = front = cut(roots.select("site", "file_url").distinct().withColumn("depth", F.lit(0).cast("bigint")))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = (front.select("site", "file_url").join(edges, ["site", "file_url"])
                 .select("site", F.col("loc").alias("file_url")).distinct()
                 .join(seen.select("site", "file_url"), ["site", "file_url"], "left_anti")

@@ -64,7 +64,9 @@ def start_resume_store(log: DataFrame, folder: str, **trigger) -> StreamingQuery
 # --- S2 -----------------------------------------------------------------------------------------------
 def reject_alerts(fetches: DataFrame, scan_window: str = "1 day") -> DataFrame:
     """Sites that turned calm in a scan: three refusals or five redirects to the home page."""
-    refused = F.col("fetch_code").isin("http_429", "http_403")
+    refused = F.col("fetch_code") == "http_429"  # a plain 403 is a page's own answer, not a refusal of the scan
+    if "challenge" in fetches.columns:
+        refused = refused | F.coalesce("challenge", F.lit(False))
     home = F.col("fetch_code") == K.FETCH_DELETED_HOME
     counts = fetches.groupBy("site", F.window("ts", scan_window).alias("w")).agg(
         F.count_if(refused).alias("rejects"), F.count_if(home).alias("home_redirects"),
