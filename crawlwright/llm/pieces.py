@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 BATCH_BYTES = 1 << 20
 UNIGRAM, BPE = 1, 2
-NORMAL, UNKNOWN, USER = 1, 2, 4
+NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
 def default_model() -> str:
@@ -63,11 +63,32 @@ def rebuild(model: bytes):
     return out
 
 
+def read_model(path: str | None) -> tuple[bytes, bool]:
+    """(the model, does it put a space before every text)"""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    with open(path or default_model(), "rb") as f:
+        model = f.read()
+    proto = pb.ModelProto()
+    proto.ParseFromString(model)
+    return model, proto.normalizer_spec.add_dummy_prefix
+
+
+def surfaces(model: bytes) -> list[bytes]:
+    """The bytes that each id stands for: a piece with spaces for ▁, one byte for a byte piece, none for a control piece."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    proto = pb.ModelProto()
+    proto.ParseFromString(model)
+    byte = {f"<0x{b:02X}>": bytes([b]) for b in range(256)}
+    special = {CONTROL: b"", UNKNOWN: proto.trainer_spec.unk_surface.encode()}
+    return [special.get(p.type, byte[p.piece] if p.type == BYTE else p.piece.replace("▁", " ").encode()) for p in proto.pieces]
+
+
 @lru_cache(maxsize=2)
 def _loaded(model: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     import sentencepiece
-    return rebuild(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    reference = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return rebuild(model), reference, surfaces(model)
 
 
 def _batches(texts: list[str]) -> Iterator[list[str]]:
@@ -95,11 +116,10 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
     A null text is like an empty one: no pieces, no ids.  Bytes that are not UTF-8 are read as U+FFFD and fail the round trip.
     Whole texts are encoded.  All columns are kept (``pieces`` is replaced); ``ids`` is null without ``keep_ids``.
     """
-    with open(model_path or default_model(), "rb") as f:
-        model = f.read()
+    model, prefix = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, reference = _loaded(model)
+        tokenizer, reference, surface = _loaded(model)
         for batch in batches:
             raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             rows = []
@@ -108,11 +128,11 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
                 truth = reference.encode(part, num_threads=1)
                 same = [a == b for a, b in zip(ids, truth)]
                 ids = truth if not all(same) else ids
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-                rows += [{"n_pieces": len(i), "ids_sha256": hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest(), "parity": s,
-                          "round_trip": b, "ids": i if keep_ids else None} for i, s, b in zip(ids, same, back)]
+                rows += [{"n_pieces": len(i), "ids_sha256": hashlib.sha256(array("i", i).tobytes()).hexdigest(), "parity": p,
+                          "round_trip": b"".join(map(surface.__getitem__, i)), "ids": i if keep_ids else None} for i, p in zip(ids, same)]
             for row, text in zip(rows, raw):
-                row["round_trip"] = row["round_trip"].encode() == text
+                back = row["round_trip"]  # the decoder takes the dummy prefix away
+                row["round_trip"] = (back[1:] if prefix and back.startswith(b" ") else back) == text
             pieces = pa.array(rows, pa.struct([("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("parity", pa.bool_()),
                                                ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pieces], names=[*batch.schema.names[1:], "pieces"])
@@ -124,13 +144,12 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
 
 def decode_ids(docs: DataFrame, ids: str = "ids", model_path: str | None = None) -> DataFrame:
     """``docs`` with a column ``decoded``: the text of an array of ids; a null array gives null, an empty one ''."""
-    with open(model_path or default_model(), "rb") as f:
-        model = f.read()
+    model, _ = read_model(model_path)
 
     @F.pandas_udf(T.StringType())
     def decode(column):
         import pandas as pd
-        tokenizer, _ = _loaded(model)
+        tokenizer, *_ = _loaded(model)
         known = [i is not None for i in column]
         back = iter(tokenizer.decode_batch([[int(x) for x in i] for i in column if i is not None], skip_special_tokens=False))
         return pd.Series([next(back) if k else None for k in known])
