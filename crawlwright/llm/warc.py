@@ -21,7 +21,7 @@ from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlwright.llm.common import scratch_path, stash
+from crawlwright.llm.common import blocks_for, scratch_path, stash
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 1 << 30  # a task starts a new archive beyond this
@@ -148,7 +148,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 source.close()
 
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
-    near = (index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset"))
+    tasks = blocks_for(index, F.col("length"), STRETCH_BYTES)  # by bytes to read: the index itself is tiny
+    near = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
     return near.mapInArrow(read, ddl(RECORDS))
 
 
