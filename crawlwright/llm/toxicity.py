@@ -132,10 +132,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     With one class only, every text gets that class's side of 0.5.
     """
     rows = _sample(docs, labels, sample_rows)
+    each = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0)).cast("int")
     table = (_map(rows, _counts, "label bigint, bucket bigint, n bigint", ["label", "bucket", "n"])
-             .groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas())  # at most two rows a bucket
+             .groupBy(F.col("bucket").cast("int").alias("bucket")).agg(each(0).alias("clean"), each(1).alias("toxic"))
+             .toPandas())  # at most a row of three small numbers a bucket
     counts = np.zeros((2, BUCKETS), np.float32)
-    counts[table["label"].to_numpy(np.int64), table["bucket"].to_numpy(np.int64)] = table["n"]
+    counts[0][table["bucket"]], counts[1][table["bucket"]] = table["clean"], table["toxic"]
+    del table
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
