@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,15 +104,16 @@ def western_digits(c: Column) -> Column:
     return F.translate(text(c), K.EASTERN_DIGITS, K.WESTERN_DIGITS)
 
 
+_ENTITIES = json.dumps({name: " " if code == 160 else chr(code) for name, code in sorted((name2codepoint | {"apos": 39}).items())})
+
+
 def decode_entities(c: Column) -> Column:
     """Named (HTML 4 and ``&apos;``) and numeric entities in one pass; unknown ones stay as they are.
 
     ``&nbsp;`` becomes a plain space.  Text between ampersands is looked up piece by piece, so ``&amp;lt;`` gives ``&lt;``.
     """
-    from html.entities import name2codepoint
-
-    named = F.create_map(*[F.lit(x) for name, code in sorted((name2codepoint | {"apos": 39}).items())
-                           for x in (name, " " if code == 160 else chr(code))])
+    # one literal, folded into a map when the query is planned
+    named = F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
     def one(piece: Column) -> Column:
         name = F.regexp_extract(piece, "^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
@@ -120,9 +124,12 @@ def decode_entities(c: Column) -> Column:
         char = F.when(char == "\u00a0", " ").otherwise(char)
         return F.coalesce(F.when(name != "", F.concat(char, F.substring(piece, F.length(name) + 2, F.length(piece)))), F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text(c), "&")
-    decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), ""))
-    return F.when(F.contains(text(c), F.lit("&")), decoded).otherwise(c)
+    def whole(t: Column) -> Column:
+        pieces = F.split(t, "&")
+        decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), ""))
+        return F.when(F.contains(t, F.lit("&")), decoded).otherwise(t)
+
+    return let(c, whole)
 
 
 def literal_array(values) -> Column:

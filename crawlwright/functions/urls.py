@@ -217,18 +217,21 @@ def listing_kind_from(low: Column) -> Column:
 
 def resolve_href(base: Column, href: Column) -> Column:
     """Resolve a link against its page: absolute, scheme-relative, root-relative, query or relative."""
-    h = F.trim(text(href))
-    root = F.regexp_extract(text(base), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(text(base), r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
-    page = F.regexp_replace(text(base), r"(?s)[?#].*$", "")
-    folder = F.regexp_replace(F.regexp_replace(page, _SCHEME_HOST, ""), "[^/]*$", "")
-    joined = F.concat(root, F.when(folder == "", "/").otherwise(folder), F.regexp_replace(h, r"^(?:\./)+", ""))
-    return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-            .when(h.startswith("//"), F.concat(scheme, h))
-            .when(h.startswith("/"), F.concat(root, h))
-            .when(h.startswith("?"), F.concat(page, h))
-            .when(h == "", text(base))
-            .otherwise(_fold_dots(joined)))
+    def joined(root: Column, page: Column, h: Column) -> Column:
+        folder = F.regexp_replace(F.regexp_replace(page, _SCHEME_HOST, ""), "[^/]*$", "")
+        return F.concat(root, F.when(folder == "", "/").otherwise(folder), F.regexp_replace(h, r"^(?:\./)+", ""))
+
+    def known(b: Column, h: Column) -> Column:
+        root = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+        page = F.regexp_replace(b, r"(?s)[?#].*$", "")
+        return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+                .when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), h))
+                .when(h.startswith("/"), F.concat(root, h))
+                .when(h.startswith("?"), F.concat(page, h))
+                .when(h == "", b)
+                .otherwise(let(joined(root, page, h), _fold_dots)))
+
+    return let(F.struct(text(base).alias("base"), F.trim(text(href)).alias("href")), lambda x: known(x["base"], x["href"]))
 
 
 def _fold_dots(c: Column) -> Column:

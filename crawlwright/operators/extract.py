@@ -1,345 +1,293 @@
-"""Everything a page says, in one Python pass per page.
+"""Everything a page says, as column expressions over its HTML.
 
-Spark partitions the pages and moves Arrow batches; the parser below reads one page at a time with the standard
-library and keeps nothing between pages.
+Markup is read with regular expressions that take a tag with its quoted attributes as one token, so a ``>`` inside a value ends
+nothing.  Every fact is a column of its own: a query that selects the title pays for the title.  Only JSON-LD, whose objects
+nest without a fixed depth, goes through a small Arrow UDF; it sees the JSON-LD blocks and nothing else of the page.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from crawlwright import constants as K
-from crawlwright.functions.text import edges, strip, text, western_digits
+from crawlwright.functions.text import decode_entities, edges, let, literal_array, squeeze, strip, text, western_digits
 from crawlwright.functions.urls import (clean_image_url, clean_url, crawl_reject_reason, image_format, image_stem,
-                                        norm_host_of, url_key)
-from crawlwright.operators.classify import language_of
+                                        norm_host_of, resolve_href, url_key)
+from crawlwright.operators.classify import classify_pages, language_of
 from crawlwright.operators.grading import grade_alt, grade_length, title_h1_match
+from crawlwright.operators.pages import html_title
 
-IMAGE = "struct<pos:int,src:string,alt:string>"
-SCHEMA = (f"site string, page_id bigint, url string, title string, meta_desc string, canonical string, h1 string, "
-          f"html_lang string, noindex boolean, html_signal string, word_count int, body_text string, "
-          f"images array<{IMAGE}>, hrefs array<string>, embedded array<string>, next_pages array<string>, "
-          f"scroll_marker boolean, declared_name string, sku string, brand string, category string, "
-          f"product_desc string, product_images array<string>, item_count int, html_chars int")
+TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# Page furniture by tag and the id or class that marks it.
+FURNITURE = (("header", "site-header|main-header"), ("footer", "site-footer|main-footer"), ("nav", "main-nav|main-navigation"), ("aside", "sidebar"))
+CARDS = "salla-product-card|custom-salla-product-card|salla-products-list"
+NOT_A_LINK = "^(?:mailto:|tel:|javascript:|#)"
+LOW_CONTENT_SHARE = 0.15
+MANY_CHARS = 200
 
-_SPACE = re.compile(r"\s+")
-_HIDDEN = {"script", "style", "noscript"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_BOILER = {("header", "id", "site-header"), ("header", "class", "site-header"), ("header", "class", "main-header"),
-           ("footer", "id", "site-footer"), ("footer", "class", "site-footer"), ("footer", "class", "main-footer"),
-           ("nav", "id", "main-nav"), ("nav", "class", "main-navigation"), ("aside", "id", "sidebar")}
-_EMBEDDED = re.compile(K.EMBEDDED_LINK_PATTERN)
-_NEXT_JSON = re.compile(K.NEXT_PAGE_JSON_PATTERN)
-_ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
-_SCHEMA_ORG = re.compile(r"schema\.org/(Product|Article|BlogPosting|NewsArticle|CollectionPage)", re.I)
-_SIGNALS = (("product", ("Product", "IndividualProduct")), ("article", ("Article", "BlogPosting", "NewsArticle")),
-            ("collection", ("CollectionPage",)))
 
+# --- markup ----------------------------------------------------------------------------------------
+def tags(html: Column, names: str) -> Column:
+    """All start tags of the given names, with their attributes."""
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<(?:{names})(?=[\s/>]){TAG_REST}"), F.lit(0))
 
-def collapse(s) -> str:
-    return _SPACE.sub(" ", s or "").strip()
 
+def attr(tag: Column, name: str) -> Column:
+    """An attribute's decoded value; '' if it is missing."""
+    pattern = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return decode_entities(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
 
-def unescape_script(s: str) -> str:
+
+def _attr_named(tag: Column, name: Column) -> Column:
+    """An attribute whose name is a column: one expression for a whole list of names."""
+    pattern = F.concat(F.lit(r"(?i)\s"), name, F.lit(r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""))
+    return decode_entities(F.regexp_replace(F.coalesce(F.try_element_at(F.regexp_extract_all(tag, pattern, F.lit(1)), F.lit(1)), F.lit("")),
+                                            """^["']|["']$""", ""))
+
+
+def first_filled(values: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.filter(values, lambda v: v != ""), F.lit(1)), F.lit(""))
+
+
+def without(html: Column, names: str) -> Column:
+    """The page without the elements of the given names."""
+    return F.regexp_replace(html, rf"(?is)<({names})(?=[\s/>]){TAG_REST}.*?</\1\s*>", " ")
+
+
+def words_of(html: Column) -> Column:
+    return squeeze(decode_entities(F.regexp_replace(html, rf"<[a-zA-Z/!]{TAG_REST}", " ")))
+
+
+def _cut_furniture(opening: str, name: str):
+    def cut(part: Column) -> Column:
+        return let(F.regexp_instr(part, F.lit(opening)), lambda at: shortened(part, at))
+
+    def shortened(part: Column, at: Column) -> Column:
+        inside = F.substring(part, at, F.length(part))
+        kept = (at == 0) | inside.rlike(r"""(?i)<main(?=[\s>])|\sclass\s*=\s*["'][^"']*product""")
+        return F.when(kept, F.concat(part, F.lit(f"</{name}>"))).otherwise(F.substring(part, F.lit(1), at - 1))
+    return cut
+
+
+def without_furniture(html: Column) -> Column:
+    """The page without marked headers, footers, navigation and side bars.  One that holds the main part or a product stays."""
+    for name, marks in FURNITURE:
+        html = let(html, _without_one(name, rf"""(?is)<{name}(?=\s)[^>]*?\s(?:id|class)\s*=\s*["'](?:[^"']*\s)?(?:{marks})(?=[\s"'])"""))
+    return html
+
+
+def _without_one(name: str, opening: str):
+    def rebuilt(parts: Column) -> Column:
+        head = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), _cut_furniture(opening, name))
+        return F.concat(F.array_join(head, " "), F.lit(" "), F.element_at(parts, -1))
+    return lambda html: F.when(html.rlike(opening), let(F.split(html, rf"(?i)</{name}\s*>"), rebuilt)).otherwise(html)
+
+
+def meta(metas: Column, key: str, value: str) -> Column:
+    """The first filled content of the meta tags whose ``key`` attribute has the value."""
+    return first_filled(F.transform(F.filter(metas, lambda m: F.lower(attr(m, key)) == value), lambda m: attr(m, "content")))
+
+
+def unescape_script(c: Column) -> Column:
     """Undo JSON escapes in script text; UTF-16 pairs become one character, lone halves vanish."""
-    units = _ESCAPED.sub(lambda m: chr(int(m.group(1), 16)), (s or "").replace("\\/", "/"))
-    return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "ignore")
+    low, high = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    pieces = F.regexp_extract_all(F.replace(text(c), F.lit("\\/"), F.lit("/")),
+                                  F.lit(rf"(?s){low}{high}|\\u[0-9a-fA-F]{{4}}|[^\\]++|\\"), F.lit(0))
 
+    def one(p: Column) -> Column:
+        units = F.replace(p, F.lit("\\u"), F.lit(""))
+        char = F.when(p.rlike("^(?:" + low + ")?" + high + "$") | p.rlike(f"^{low}$"),
+                      F.when(F.length(p) == 12, F.decode(F.unhex(units), "UTF-16BE")).otherwise("")).otherwise(F.decode(F.unhex(units), "UTF-16BE"))
+        return F.when(p.rlike(r"^\\u[0-9a-fA-F]{4}"), char).otherwise(p)
 
-def first_candidate(srcset: str) -> str:
+    plain = F.replace(text(c), F.lit("\\/"), F.lit("/"))
+    return F.when(F.contains(text(c), F.lit("\\u")), F.array_join(F.transform(pieces, one), "")).otherwise(plain)
+
+
+# --- images ----------------------------------------------------------------------------------------
+def _usable(value: Column) -> Column:
+    return let(strip(value), lambda v: F.when(v.startswith("data:"), "").otherwise(v))
+
+
+def first_candidate(srcset: Column) -> Column:
     """First URL of a srcset.  Candidates end at white space; commas inside a URL belong to it."""
-    for word in (srcset or "").split():
-        word = word.rstrip(",")
-        if word and not re.fullmatch(r"[\d.]+[wx]", word):
-            return word
-    return ""
-
-
-class PageReader(HTMLParser):
-    """Collects texts, attributes and scripts of one page."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.metas, self.links, self.images, self.ldjson, self.hrefs, self.nexts = [], [], [], [], [], []
-        self.h1s, self.words, self.title, self.lang, self.itemtypes = [], [], None, "", []
-        self.stack, self.boiler, self._picture, self._noscript_for = [], [], [], None
-        self._text, self._capture = [], None
-
-    # -- structure
-    def handle_starttag(self, tag, attrs):
-        a = {k: (v or "") for k, v in reversed(attrs)}
-        if tag == "html" and a.get("lang") and not self.lang:
-            self.lang = a["lang"]
-        if "itemtype" in a:
-            self.itemtypes.append(a["itemtype"])
-        if tag == "meta":
-            self.metas.append(a)
-        if tag in ("link", "a"):
-            self.links.append((tag, a))
-            if "next" in a.get("rel", "").lower().split() and a.get("href"):
-                self.nexts.append(a["href"])
-        if tag in ("a", "salla-button", "div", "button") and a.get("href"):
-            self.hrefs.append(a["href"])
-        if a.get("data-href"):
-            self.hrefs.append(a["data-href"])
-        if tag in ("salla-product-card", "custom-salla-product-card", "salla-products-list"):
-            self._card(a)
-        self.nexts += [a[n] for n in K.NEXT_PAGE_ATTRS if a.get(n)]
-        if tag == "source" and self._picture:
-            self._picture[-1].append(a.get("srcset") or a.get("data-srcset") or "")
-        if tag == "picture":
-            self._picture.append([])
-        if tag in ("img", "salla-image") and not self._in("noscript"):
-            self._image(a)
-        if tag in _VOID:
-            return
-        boiler = any((tag, k, c) in _BOILER for k in ("id", "class") for c in a.get(k, "").split())
-        self.stack.append((tag, boiler))
-        if "product" in a.get("class", "").lower() or tag == "main":
-            # a block that holds the product or the main part is content after all
-            self.stack = [(t, False) for t, _ in self.stack]
-        if tag in ("title", "h1"):
-            self._capture, self._text = tag, []
-        if tag == "script":
-            self._capture, self._text = ("ld" if a.get("type") == "application/ld+json" else "script"), []
-        if tag == "noscript":
-            self._capture, self._text = "noscript", []
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        got = "".join(self._text)
-        if tag == "title" and self._capture == "title":
-            self.title, self._capture = (collapse(got) if self.title is None else self.title), None
-        elif tag == "h1" and self._capture == "h1":
-            self.h1s.append((self._in("header") or self._in("nav"), collapse(got)))
-            self._capture = None
-        elif tag == "script" and self._capture in ("ld", "script"):
-            if self._capture == "ld":
-                self.ldjson.append(got)
-            self._capture = None
-        elif tag == "noscript":
-            self._capture = None
-        if tag == "picture" and self._picture:
-            self._picture.pop()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-
-    def handle_data(self, data):
-        if self._capture in ("ld", "script", "noscript"):
-            self._text.append(data)
-            return
-        if self._capture:
-            self._text.append(data)
-        if not any(t in _HIDDEN for t, _ in self.stack):
-            self.words.append((data, any(b for _, b in self.stack)))
-
-    def _in(self, tag):
-        return any(t == tag for t, _ in self.stack)
-
-    def _card(self, a):
-        self.hrefs += [a[n] for n in ("url", "data-url", "link") if a.get(n)]
-        try:
-            data = json.loads(a.get("product") or "{}")
-            self.hrefs += [u for u in (data.get("url") or data.get("slug"),) if u]
-        except (ValueError, AttributeError):
-            pass
-
-    def _image(self, a):
-        self.images.append({"a": a, "sources": [s for s in (self._picture[-1] if self._picture else [])],
-                            "boiler": any(b for _, b in self.stack), "noscript": None, "at": self.getpos()})
-
-
-def image_source(img) -> str:
-    """Where the picture really is: lazy attributes, picture sources, srcset, src, then the noscript copy."""
-    a = img["a"]
-
-    def usable(v):
-        return v and v.strip() and not v.strip().startswith("data:")
-    for name in K.LAZY_IMAGE_ATTRS:
-        if usable(a.get(name)):
-            return a[name].strip()
-    for value in [*img["sources"], *(a.get(n) for n in ("data-srcset", "data-lazy-srcset", "srcset"))]:
-        if usable(value) and first_candidate(value):
-            return first_candidate(value)
-    if usable(a.get("src")):
-        return a["src"].strip()
-    return img["noscript"] or ""
-
-
-def is_content_image(img, src: str) -> bool:
-    low = src.lower()
-    marks = (img["a"].get("class", "") + " " + img["a"].get("id", "")).lower()
-    path = re.sub(r"^[a-z][a-z0-9+.\-]*://[^/?#]*", "", low)
-    path = re.split(r"[?#]", path)[0]
-    junk = (low.startswith("data:image") or "static." in low or "/static/" in low
-            or set(re.split(r"[^a-z0-9]+", path)) & set(K.JUNK_IMAGE_WORDS)
-            or any(k in marks for k in ("logo", "brand", "favicon"))
-            or low.split("?")[0].endswith((".gif", ".svg", ".ico"))
-            or any(j in low for j in K.JUNK_IMAGE_PARTS))
-    return bool(src) and not junk
-
-
-def ld_nodes(blocks):
-    """Every JSON-LD object of the page, the last branch first, as a stack walk meets them."""
-    for block in blocks:
-        try:
-            stack = [json.loads(block or "{}")]
-        except ValueError:
-            continue
-        while stack:
-            node = stack.pop()
-            if isinstance(node, list):
-                stack += node
-            elif isinstance(node, dict):
-                yield node
-                stack += [v for v in node.values() if isinstance(v, (dict, list))]
-
-
-def types_of(node) -> set:
-    t = node.get("@type")
-    return {str(x) for x in (t if isinstance(t, list) else [t]) if x}
-
-
-def plain(s) -> str:
-    t = re.sub(r"<[^>]+>", " ", str(s or "")).replace("&nbsp;", " ").replace("&amp;", "&")
-    return collapse(t)
-
-
-def product_facts(nodes, fallback: str) -> dict:
-    out = {"declared_name": "", "sku": "", "brand": "", "category": "", "product_desc": "", "product_images": []}
-    product = next((n for n in nodes if "Product" in types_of(n)), None)
-    for n in nodes:
-        if "BreadcrumbList" in types_of(n) and not out["category"]:
-            items = [i for i in (n.get("itemListElement") or []) if isinstance(i, dict)]
-            names = [str(i["item"].get("name") or "") if isinstance(i.get("item"), dict) else str(i.get("name") or "")
-                     for i in items]
-            names = [x for x in names if x.strip()]
-            out["category"] = names[-2].strip() if len(names) >= 2 else ""
-    if product:
-        brand, pics = product.get("brand"), product.get("image")
-        pics = pics if isinstance(pics, list) else [pics] if pics else []
-        pics = [p.get("url") or p.get("contentUrl") if isinstance(p, dict) else p for p in pics]
-        name = product.get("name")
-        out.update(declared_name=collapse(name) if isinstance(name, str) else "", sku=str(product.get("sku") or ""),
-                   brand=str((brand.get("name") if isinstance(brand, dict) else brand) or "").strip(),
-                   product_desc=plain(product.get("description")),
-                   product_images=list(dict.fromkeys(p.strip() for p in pics if isinstance(p, str) and p.strip())))
-    out["product_desc"] = out["product_desc"] or plain(fallback)
-    return out
+    words = F.transform(F.split(strip(srcset), r"\s+"), lambda w: F.regexp_replace(w, ",+$", ""))
+    return first_filled(F.filter(words, lambda w: ~w.rlike(r"^[\d.]+[wx]$")))
 
 
-def html_signal(page: PageReader, og_type: str) -> str:
-    """What the page calls itself: product, article or collection."""
-    marks = {m.group(1).lower() for t in page.itemtypes for m in _SCHEMA_ORG.finditer(t)}
-    declared = set()
-    for block in page.ldjson:
+def page_pictures(html: Column) -> Column:
+    """``array<struct<src, alt, marks>>`` of all pictures in order: a picture element is one, and an image takes the source of the
+    noscript copy that follows it if it has none itself."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<picture(?=[\s>]).*?</picture\s*>|<noscript(?=[\s>]).*?</noscript\s*>|"
+                                             rf"<(?:img|salla-image)(?=[\s/>]){TAG_REST}"), F.lit(0))
+
+    def one(token: Column, after: Column) -> Column:
+        first = F.coalesce(F.try_element_at(tags(token, "img|salla-image"), F.lit(1)), F.lit(""))
+        return let(first, lambda img: _picture(token, after, img))
+
+    def _picture(token: Column, after: Column, img: Column) -> Column:
+        sets = F.concat(F.transform(tags(token, "source"), lambda t: F.coalesce(F.nullif(attr(t, "srcset"), F.lit("")), attr(t, "data-srcset"))),
+                        F.array(*[attr(img, n) for n in ("data-srcset", "data-lazy-srcset", "srcset")]))
+        copy = F.when(F.lower(after).startswith("<noscript"),
+                      first_filled(F.transform(tags(after, "img"), lambda t: _usable(attr(t, "src"))))).otherwise("")
+        return F.struct(first_filled(F.concat(F.transform(literal_array(K.LAZY_IMAGE_ATTRS), lambda n: _usable(_attr_named(img, n))),
+                                              F.transform(sets, lambda s: first_candidate(_usable(s))),
+                                              F.array(_usable(attr(img, "src")), copy))).alias("src"),
+                        strip(attr(img, "alt")).alias("alt"), F.lower(F.concat_ws(" ", attr(img, "class"), attr(img, "id"))).alias("marks"),
+                        (img != "").alias("real"))
+
+    def all_of(tokens: Column) -> Column:
+        rows = F.transform(tokens, lambda t, i: one(t, F.coalesce(F.try_element_at(tokens, i + 2), F.lit(""))))
+        return F.filter(F.zip_with(rows, tokens, lambda r, t: F.when(~F.lower(t).startswith("<noscript"), r)),
+                        lambda r: r.isNotNull() & r["real"])
+
+    return let(found, all_of)
+
+
+def is_content_picture(picture: Column) -> Column:
+    """Not a logo, an icon, a badge, a spacer or anything else that belongs to the template."""
+    low = F.lower(picture["src"])
+    path = F.regexp_replace(F.regexp_replace(low, r"^[a-z][a-z0-9+.\-]*://[^/?#]*", ""), r"(?s)[?#].*$", "")
+    template = (F.arrays_overlap(F.split(path, "[^a-z0-9]+"), literal_array(K.JUNK_IMAGE_WORDS)) | picture["marks"].rlike("logo|brand|favicon")
+                | F.regexp_replace(low, r"(?s)\?.*$", "").rlike(r"\.(?:gif|svg|ico)$")
+                | low.rlike("|".join([r"static\.", "/static/", *[p.replace(".", r"\.") for p in K.JUNK_IMAGE_PARTS]])))
+    return (picture["src"] != "") & ~template
+
+
+# --- JSON-LD ---------------------------------------------------------------------------------------
+_TEXTS = ("name", "sku", "brand", "category", "description")
+DECLARED = StructType([StructField("types", ArrayType(StringType())), *[StructField(n, StringType()) for n in _TEXTS],
+                       StructField("images", ArrayType(StringType())), StructField("offers", BooleanType()), StructField("items", LongType())])
+
+
+def _objects(value) -> Iterator[dict]:
+    """A JSON value's objects: each before those inside it, later siblings first."""
+    if isinstance(value, dict):
+        yield value
+        value = list(value.values())
+    if isinstance(value, list):
+        for inner in reversed(value):
+            yield from _objects(inner)
+
+
+def _kinds(node) -> set[str]:
+    kind = node.get("@type") if isinstance(node, dict) else None
+    return {str(k) for k in (kind if isinstance(kind, list) else [kind]) if k}
+
+
+def _string(value, key: str | None = None) -> str:
+    value = value.get(key) if key and isinstance(value, dict) else value
+    return "" if value is None or isinstance(value, (dict, list)) else str(value)
+
+
+def _declared(blocks) -> dict:
+    values = []
+    for block in blocks if blocks is not None else ():
         try:
-            data = json.loads(block or "{}")
-        except ValueError:
+            values.append(json.loads(block))
+        except (ValueError, RecursionError):
             continue
-        for b in data if isinstance(data, list) else [data]:
-            if isinstance(b, dict):
-                declared |= types_of(b)
-                graph = b.get("@graph")
-                declared |= {t for g in (graph if isinstance(graph, list) else []) if isinstance(g, dict)
-                             for t in types_of(g)}
-    words = {"product": ("product",), "article": ("article", "blog"), "collection": ()}
-    for signal, types in _SIGNALS:
-        if (any(w in og_type for w in words[signal]) or marks & {t.lower() for t in types} or declared & set(types)):
-            return signal
-    return ""
-
-
-def read_page(url: str, html: str, robots_header: str = "") -> dict:
-    """All facts of one page as plain values."""
-    html = html or ""
-    page = PageReader()
-    page.feed(html)
-    page.close()
-    # the noscript copy of a lazy image follows it: pair by position in the text
-    copies = [(m.start(), re.search(r"<img[^>]+src=[\"']([^\"']+)", m.group(1) or ""))
-              for m in re.finditer(r"(?is)<noscript[^>]*>(.*?)</noscript>", html)]
-    starts = [0]
-    for m in re.finditer("\n", html):
-        starts.append(m.end())
-    for k, img in enumerate(page.images):
-        here = starts[img["at"][0] - 1] + img["at"][1]
-        nxt = page.images[k + 1] if k + 1 < len(page.images) else None
-        until = starts[nxt["at"][0] - 1] + nxt["at"][1] if nxt else len(html)
-        hit = next((c for at, c in copies if here < at < until and c), None)
-        img["noscript"] = hit.group(1) if hit and not hit.group(1).startswith("data:") else None
-
-    def meta(key, value):
-        return next((m.get("content", "") for m in page.metas if m.get(key, "").lower() == value and m.get("content")), "")
-    h1 = next((t for inside, t in page.h1s if not inside and t), "") or next((t for _, t in page.h1s if t), "")
-    noindex = any("noindex" in m.get("content", "").lower() for m in page.metas
-                  if m.get("name", "").lower() in ("robots", "googlebot")) or "noindex" in (robots_header or "").lower()
-    canonical = next((a.get("href", "") for tag, a in page.links if tag == "link" and a.get("href")
-                      and "canonical" in a.get("rel", "").lower()), "")
-    everything = collapse(" ".join(t for t, _ in page.words))
-    content = collapse(" ".join(t for t, b in page.words if not b))
-    if len(everything) > 200 and len(content) < 0.15 * len(everything):
-        content, keep_all = everything, True
-    else:
-        keep_all = False
-    pics = []
-    for img in page.images:
-        src = image_source(img)
-        if (keep_all or not img["boiler"]) and is_content_image(img, src):
-            pics.append({"pos": len(pics) + 1, "src": urljoin(url, src), "alt": img["a"].get("alt", "").strip()})
-    nodes = list(ld_nodes(page.ldjson))
-    counts = [n.get("numberOfItems") for n in nodes if types_of(n) & {"ItemList", "CollectionPage"}]
-    counts = [int(c) for c in counts if isinstance(c, (int, float)) and c > 0]
-    hrefs = [urljoin(url, h.strip()) for h in page.hrefs
-             if h.strip() and not h.strip().startswith(("mailto:", "tel:", "javascript:", "#"))]
-    script_text = unescape_script(html)
-    embedded = [urljoin(url, m.group(0).strip()) for m in _EMBEDDED.finditer(script_text)]
-    nexts = page.nexts + [m.group(1) for m in _NEXT_JSON.finditer(script_text)]
-    nexts = [urljoin(url, n.strip()) for n in nexts if n.strip() and not n.strip().startswith(("#", "javascript:"))]
-    low = html.lower()
-    return {"title": page.title or "", "meta_desc": collapse(meta("name", "description") or meta("property", "og:description")),
-            "canonical": urljoin(url, canonical) if canonical else "", "h1": h1 or collapse(meta("property", "og:title")),
-            "html_lang": page.lang, "noindex": noindex,
-            "html_signal": html_signal(page, meta("property", "og:type").lower()),
-            "word_count": len(content.split()), "body_text": content, "images": pics,
-            "hrefs": list(dict.fromkeys(hrefs)), "embedded": list(dict.fromkeys(embedded)),
-            "next_pages": sorted({n for n in nexts if n.rstrip("/") != url.rstrip("/")}),
-            "scroll_marker": any(m in low for m in K.SCROLL_MARKERS),
-            **product_facts(nodes, meta("property", "og:description") or meta("name", "description")),
-            "item_count": counts[0] if counts else None, "html_chars": len(html)}
-
-
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [{"site": r.site, "page_id": r.page_id, "url": r.url, **read_page(r.url, r.html, r.robots_header)}
-                for r in pdf.itertuples(index=False)]
-        yield pd.DataFrame(rows, columns=list(SCHEMA_NAMES))
-
-
-SCHEMA_NAMES = ("site", "page_id", "url", "title", "meta_desc", "canonical", "h1", "html_lang", "noindex", "html_signal",
-                "word_count", "body_text", "images", "hrefs", "embedded", "next_pages", "scroll_marker",
-                "declared_name", "sku", "brand", "category", "product_desc", "product_images", "item_count", "html_chars")
+    outer = [n for v in values for n in (v if isinstance(v, list) else [v]) if isinstance(n, dict)]
+    outer += [n for o in outer if isinstance(o.get("@graph"), list) for n in o["@graph"]]
+    nodes = [n for v in values for n in _objects(v)]
+    of_kind = lambda *kinds: (n for n in nodes if _kinds(n).intersection(kinds))
+    product = next(of_kind("Product"), {})
+    pictures = product.get("image") or []
+    pictures = [p.get("url") or p.get("contentUrl") if isinstance(p, dict) else p for p in (pictures if isinstance(pictures, list) else [pictures])]
+    trails = [[_string(i["item"] if isinstance(i.get("item"), dict) else i, "name").strip() for i in n.get("itemListElement") or [] if isinstance(i, dict)]
+              for n in of_kind("BreadcrumbList")]
+    trails = [[name for name in t if name] for t in trails]
+    counts = [n.get("numberOfItems") for n in of_kind("ItemList", "CollectionPage")]
+    return {"types": sorted(set().union(*map(_kinds, outer))), "name": _string(product.get("name")) if isinstance(product.get("name"), str) else "",
+            "sku": _string(product.get("sku")), "brand": _string(product.get("brand"), "name").strip(),
+            "category": next((t[-2] for t in trails if len(t) > 1), ""), "description": _string(product.get("description")),
+            "images": [p.strip() for p in pictures if isinstance(p, str) and p.strip()], "offers": bool(product.get("offers")),
+            "items": next((int(c) for c in counts if isinstance(c, (int, float)) and c > 0), None)}
+
+
+@F.pandas_udf(DECLARED)
+def declared_facts(blocks: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_declared(b) for b in blocks], columns=[f.name for f in DECLARED.fields]).astype({"items": "Int64"})
+
+
+def plain_text(c: Column) -> Column:
+    bare = F.regexp_replace(text(c), "<[^>]+>", " ")
+    return squeeze(F.replace(F.replace(bare, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&")))
+
+
+# --- one row per page ------------------------------------------------------------------------------
+def _signal(types: Column, marks: Column, og_type: Column) -> Column:
+    """What the page calls itself: product, article or collection."""
+    out = F.lit("")
+    for signal, kinds, word in (("collection", ("CollectionPage",), None), ("article", ("Article", "BlogPosting", "NewsArticle"), "article|blog"),
+                                ("product", ("Product", "IndividualProduct"), "product")):
+        hit = F.arrays_overlap(types, literal_array(kinds)) | marks.rlike(r"(?i)schema\.org/(?:" + "|".join(kinds) + ")")
+        out = F.when((hit | og_type.rlike(word)) if word else hit, signal).otherwise(out)
+    return out
 
 
 def read_pages_html(pages: DataFrame) -> DataFrame:
-    """One row per page with every fact, arrays nested.  Select and filter pages before this step: the optimizer
-    cannot push anything through Python."""
+    """One row per page with every fact, arrays nested: D1's page table before grading."""
     cols = [c if c in pages.columns else F.lit("").alias(c) for c in ("site", "page_id", "url", "html", "robots_header")]
-    return pages.select(*cols).mapInPandas(_read_batches, SCHEMA)
+    url, bare = F.col("url"), F.col("_bare")
+    df = pages.select(*cols).withColumn("html", text(F.col("html")))
+    df = df.withColumn("_bare", F.regexp_replace("html", "(?s)<!--.*?-->", " "))
+    # stage by stage, so that what many facts need is computed once
+    df = df.withColumns({
+        "_any": tags(bare, "[a-zA-Z][a-zA-Z0-9-]*"), "_meta": tags(bare, "meta"), "_links": tags(bare, "link|a"), "_seen": without(bare, "script|style|noscript"), "_script": unescape_script(bare),
+        "_ld": F.regexp_extract_all("_bare", F.lit(r"""(?is)<script(?=\s)[^>]*?type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""), F.lit(1))})
+    df = df.withColumns({"_all": words_of(F.col("_seen")), "_main": words_of(without_furniture(F.col("_seen"))), "_said": declared_facts("_ld")})
+    thin = (F.length("_all") > MANY_CHARS) & (F.length("_main") < LOW_CONTENT_SHARE * F.length("_all"))
+    df = df.withColumns({"_thin": thin, "body_text": F.when(thin, F.col("_all")).otherwise(F.col("_main"))})
+    df = df.withColumn("_pictures", F.filter(page_pictures(F.when(F.col("_thin"), bare).otherwise(without_furniture(bare))), is_content_picture))
+
+    full = lambda arr: F.filter(F.transform(arr, strip), lambda h: h != "")
+    absolute = lambda arr: F.transform(arr, lambda h: resolve_href(url, h))
+    h1 = lambda html: F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<h1(?=[\s>]){TAG_REST}(.*?)</h1\s*>"), F.lit(1)), words_joined)
+    words_joined = lambda t: squeeze(decode_entities(F.regexp_replace(t, f"<[a-zA-Z/!]{TAG_REST}", "")))
+    metas, links = F.col("_meta"), F.col("_links")
+    cards = tags(bare, CARDS)
+    card = F.flatten(F.transform(cards, lambda t: let(attr(t, "product"), lambda j: F.array(
+        *[attr(t, n) for n in ("url", "data-url", "link")], F.coalesce(F.get_json_object(j, "$.url"), F.get_json_object(j, "$.slug"), F.lit(""))))))
+    hrefs = F.filter(full(F.concat(F.transform(tags(bare, "a|salla-button|div|button"), lambda t: attr(t, "href")),
+                                   F.transform(F.col("_any"), lambda t: attr(t, "data-href")), card)), lambda h: ~h.rlike(NOT_A_LINK))
+    nexts = full(F.concat(
+        F.transform(F.filter(links, lambda t: F.lower(attr(t, "rel")).rlike(r"(?:^|\s)next(?:\s|$)")), lambda t: attr(t, "href")),
+        F.flatten(F.transform(F.filter(F.col("_any"), lambda t: t.rlike(r"(?i)\s(?:data-)?next")), lambda t: F.transform(
+            literal_array(K.NEXT_PAGE_ATTRS), lambda n: _attr_named(t, n)))),
+        F.regexp_extract_all("_script", F.lit(K.NEXT_PAGE_JSON_PATTERN), F.lit(1))))
+    same = lambda u: F.regexp_replace(u, "/+$", "") == F.regexp_replace(url, "/+$", "")
+    canonical = first_filled(F.transform(F.filter(links, lambda t: F.lower(t).startswith("<link") & F.contains(F.lower(attr(t, "rel")), F.lit("canonical"))),
+                                         lambda t: attr(t, "href")))
+    robots = F.exists(metas, lambda m: F.lower(attr(m, "name")).isin("robots", "googlebot") & F.contains(F.lower(attr(m, "content")), F.lit("noindex")))
+    og_text, own_text = meta(metas, "property", "og:description"), meta(metas, "name", "description")
+    said = F.col("_said")
+    types = F.concat_ws(" ", F.transform(F.filter(F.col("_any"), lambda t: t.rlike(r"(?i)\sitemtype")), lambda t: attr(t, "itemtype")))
+    either = lambda a, b: F.when(a != "", a).otherwise(b)
+    return df.select(
+        "site", "page_id", "url", html_title(bare).alias("title"), squeeze(either(own_text, og_text)).alias("meta_desc"),
+        F.when(canonical != "", resolve_href(url, canonical)).otherwise("").alias("canonical"),
+        either(either(first_filled(h1(without(F.col("_seen"), "header|nav"))), first_filled(h1(F.col("_seen")))),
+               squeeze(meta(metas, "property", "og:title"))).alias("h1"),
+        first_filled(F.transform(tags(bare, "html"), lambda t: attr(t, "lang"))).alias("html_lang"),
+        (robots | F.contains(F.lower(text(F.col("robots_header"))), F.lit("noindex"))).alias("noindex"),
+        _signal(said["types"], types, F.lower(meta(metas, "property", "og:type"))).alias("html_signal"),
+        F.when(F.col("body_text") == "", 0).otherwise(F.size(F.split("body_text", " "))).alias("word_count"), "body_text",
+        F.transform("_pictures", lambda p, i: F.struct((i + 1).alias("pos"), resolve_href(url, p["src"]).alias("src"), p["alt"].alias("alt"))).alias("images"),
+        F.array_distinct(absolute(hrefs)).alias("hrefs"),
+        F.array_distinct(absolute(full(F.regexp_extract_all("_script", F.lit(K.EMBEDDED_LINK_PATTERN), F.lit(0))))).alias("embedded"),
+        F.array_sort(F.array_distinct(F.filter(absolute(F.filter(nexts, lambda n: ~n.rlike("^(?:#|javascript:)"))), lambda n: ~same(n)))).alias("next_pages"),
+        F.lower("html").rlike("|".join(K.SCROLL_MARKERS)).alias("scroll_marker"), squeeze(said["name"]).alias("declared_name"), said["sku"].alias("sku"),
+        said["brand"].alias("brand"), said["category"].alias("category"),
+        plain_text(either(said["description"], either(og_text, own_text))).alias("product_desc"),
+        F.array_distinct(F.transform(said["images"], clean_image_url)).alias("product_images"), said["offers"].alias("offers"),
+        said["items"].cast("int").alias("item_count"), F.length("html").alias("html_chars"))
 
 
 def page_audit(facts: DataFrame) -> DataFrame:
@@ -356,17 +304,19 @@ def page_audit(facts: DataFrame) -> DataFrame:
         F.when((F.col("canonical") != "") & ~same, clean_url(F.col("canonical"))).otherwise("").alias("canonical_url"),
         language_of(F.col("html_lang"), F.concat_ws(" ", "title", "body_text")).alias("lang"),
         F.substring("body_text", 1, K.EXCERPT_CHARS).alias("excerpt"), "declared_name", "sku", "brand", "category",
-        "product_desc", F.size("product_images").cast("bigint").alias("declared_images"),
+        "product_desc", "offers", F.size("product_images").cast("bigint").alias("declared_images"),
         F.size("images").cast("bigint").alias("total_images"), "scroll_marker")
 
 
-def page_images(facts: DataFrame, page_type: str = "product") -> DataFrame:
-    """One row per content image; ``own_image`` by the file stems the product data names, null without any."""
+def page_images(facts: DataFrame) -> DataFrame:
+    """One row per content image with its page's type; ``own_image`` by the file stems the product data names, null
+    without any."""
     stems = F.transform("product_images", lambda u: image_stem(u))
-    df = facts.select("site", F.col("url").alias("page_url"), F.col("page_id").alias("seq"), stems.alias("_stems"),
+    df = classify_pages(facts, signal=F.col("html_signal")).select(
+        "site", F.col("url").alias("page_url"), "page_type", F.col("page_id").alias("seq"), stems.alias("_stems"),
                       F.explode("images").alias("i"))
     url = clean_image_url(F.col("i.src"))
-    df = df.select("site", "page_url", F.lit(page_type).alias("page_type"), "seq", F.col("i.pos").cast("bigint").alias("image_pos"),
+    df = df.select("site", "page_url", "page_type", "seq", F.col("i.pos").cast("bigint").alias("image_pos"),
                    url.alias("image_url"), F.col("i.alt").alias("alt"), image_format(F.col("i.src")).alias("image_format"),
                    F.when(F.size("_stems") > 0, F.array_contains("_stems", image_stem(url))).alias("own_image"))
     return grade_alt(df)
@@ -413,11 +363,17 @@ def declared_count(body, item_count=None):
 
 
 def listing_payload_text(responses: DataFrame) -> DataFrame:
-    """The readable text of a listing response: HTML as it is, the html field of a JSON reply, else the reply."""
+    """The readable text of a listing response: HTML as it is, the first string field of a JSON reply that holds markup,
+    else the reply without its escapes."""
     body, kind = text(F.col("body")), F.lower(text(F.col("content_type")))
     is_json = F.contains(kind, F.lit("json")) | strip(body).rlike(r"^[\{\[]")
-    field = F.coalesce(*[F.when(F.contains(F.get_json_object(body, f"$.{k}"), F.lit("<")), F.get_json_object(body, f"$.{k}"))
-                         for k in ("html", "content", "data", "products")], body)
-    return responses.withColumn("listing_text", F.replace(F.when(is_json, field).otherwise(body), F.lit("\\/"), F.lit("/")))
 
+    def field(reply: Column) -> Column:
+        found = []
+        for name in ("html", "content", "data", "products"):
+            value = F.try_variant_get(reply, f"$.{name}", "variant")
+            found.append(F.when((F.schema_of_variant(value) == "STRING") & F.contains(value.cast("string"), F.lit("<")), value.cast("string")))
+        return F.coalesce(*found)
 
+    plain = F.replace(body, F.lit("\\/"), F.lit("/"))
+    return responses.withColumn("listing_text", F.when(is_json, F.coalesce(let(F.try_parse_json(body), field), unescape_script(body))).otherwise(plain))

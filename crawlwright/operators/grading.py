@@ -357,7 +357,8 @@ def grade_audit(audit: DataFrame, images: DataFrame | None = None) -> DataFrame:
     df = grade_lengths(audit).withColumn(
         "content_status", F.when(~F.col("available"), "na").when(F.col("word_count") >= K.THIN_WORDS, "good")
         .otherwise("thin"))
-    df = url_quality(text_quality(with_lookups(df, audit), keep=True), keep=True)
+    declared = "declared_name" if "declared_name" in audit.columns else None
+    df = url_quality(text_quality(with_lookups(df, audit), keep=True), declared, keep=True)
     return score_pages(duplicate_content(df), images)
 
 

@@ -67,6 +67,8 @@ def redirect_report(fetched: DataFrame) -> DataFrame:
     df = fetched.withColumns({"status_kind": status, "req_key": url_key(F.col("req_url"))}).where(
         F.col("status_kind").isNotNull())
     one = first_per(df, ["site", "req_key"], [F.col("seq")])
+    if "req_in_map" in one.columns:  # what is said of the requested address, not of its target
+        one = one.withColumns({"in_map": F.col("req_in_map"), "linked": F.col("req_linked")})
     k = F.col("status_kind")
     quiet = k.isin("perm", "temp") & ~F.col("in_map") & ~F.col("linked")
     action = (F.when(quiet, "none_urgent").when(k == "home", "restore_or_redirect")

@@ -20,8 +20,10 @@ def test_escaped_links(spark):
     assert "/products/copy-of-مبخرة" in got and "/products/copy-of-" not in got and "/products/Women-Leaves-Black-" in got
 
 
-def test_unescape_keeps_emoji_and_drops_half_pairs():
-    assert X.unescape_script(r"م 🔥 \ud83d https:\/\/x") == "م 🔥  https://x"
+def test_unescape_keeps_emoji_and_drops_half_pairs(spark):
+    texts = {r"م 🔥 \ud83d https:\/\/x": "م 🔥  https://x", r"\ud83d\udd25 \u0645\u0639 \udd25 \n": "🔥 مع  \\n", "a\\/b": "a/b"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", X.unescape_script(F.col("t"))).collect()} == texts
 
 
 def test_resized_lazy_and_noscript_images(spark):

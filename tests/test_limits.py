@@ -58,3 +58,22 @@ def test_long_feed_texts_and_late_platform_signs(spark):
     assert feeds.read_product_feed(dump).first()["description"].endswith("end")
     late = spark.createDataFrame([("y" * 300_000 + "cdn.salla.network",)], "h string")
     assert late.select(platform_of(F.col("h"), F.lit(""), F.lit(""))).first()[0] == "salla"
+
+
+def test_listing_replies(spark):
+    replies = {'{"html":"<b>\\u0639\\u0637\\u0631<\\/b>"}': "<b>عطر</b>", '{"products":[{"n":"<i>"}],"x":"https:\\/\\/s\\/\\u0639"}': '{"products":[{"n":"<i>"}],"x":"https://s/ع"}',
+               '{"data":{"a":1},"content":"<p>x</p>"}': "<p>x</p>", "{broken <b>": "{broken <b>", "<p>a\\/b</p>": "<p>a/b</p>"}
+    df = spark.createDataFrame([(r, "") for r in replies], "body string, content_type string")
+    assert {r["body"]: r["listing_text"] for r in X.listing_payload_text(df).collect()} == replies
+
+
+def test_image_rows_carry_the_page_type_and_resized_copies_count_once(spark):
+    ld = '{"@type":"Product","name":"n","offers":{"price":1},"image":["https://c.com/cdn-cgi/image/w=1/a.jpg","https://c.com/a.jpg#x"]}'
+    html = f'<img src="/a.jpg"><script type="application/ld+json">{ld}</script>'
+    df = spark.createDataFrame([("s.com", 1, "https://s.com/blog/some-news", html), ("s.com", 2, "https://s.com/x/p12345", html)],
+                               "site string, page_id long, url string, html string")
+    facts = X.read_pages_html(df)
+    assert {r["seq"]: r["page_type"] for r in X.page_images(facts).collect()} == {1: "product", 2: "product"}
+    assert {(r["declared_images"], r["offers"]) for r in X.page_audit(facts).collect()} == {(1, True)}
+    plain = X.read_pages_html(df.withColumn("html", F.lit('<img src="/a.jpg">')))
+    assert {r["seq"]: r["page_type"] for r in X.page_images(plain).collect()} == {1: "blog", 2: "product"}
