@@ -40,30 +40,20 @@ def test_phase_parts(spark):
     assert few == {0: 1, 1: 2}
 
 
-def test_service_phases_like_the_rule(spark):
-    """Plain restatement of the grouping of services into phases, for every set of services and 1-4 phases."""
+def test_service_phases(spark):
+    """Every set of services with 1 to 4 phases: the phases of the services other than broken links, which always come first."""
     import itertools
     tables = {"titles": "titles", "descs": "descs", "images": "alt_weak", "broken": "broken"}
-    rows, want = [], {}
-    for k in range(1, 5):
-        for combo in itertools.combinations(tables, k):
-            rows += [("-".join(combo), tables[s], 0) for s in combo]
-    df = spark.createDataFrame(rows, "site string, table_name string, seq long").cache()
+    phases = {0: {1: "", 2: "", 3: "", 4: ""}, 1: {1: "1", 2: "1", 3: "1", 4: "1"}, 2: {1: "11", 2: "12", 3: "12", 4: "12"},
+              3: {1: "111", 2: "112", 3: "123", 4: "123"}}
+    sets = [c for k in range(1, 5) for c in itertools.combinations(tables, k)]
+    df = spark.createDataFrame([("-".join(c), tables[s], 0) for c in sets for s in c], "site string, table_name string, seq long").cache()
     for n in (1, 2, 3, 4):
         got = {(r["site"], r["table_name"]): r["phase"] for r in W.split_by_service(df, n).collect()}
-        for site, table, _ in rows:
-            main = [s for s in site.split("-") if s != "broken"]
-            m = min(n, max(1, len(main)))
-            size, extra = divmod(len(main), m)
-            groups, start = [], 0
-            for i in range(m):
-                end = start + size + (1 if extra and i < m - extra else 0)
-                groups.append(main[start:end])
-                start = end
-            groups[-1] += main[start:]
-            svc = next(s for s, t in tables.items() if t == table)
-            want[(site, table)] = 1 if svc == "broken" else next(i + 1 for i, g in enumerate(groups) if svc in g)
-        assert got == want, n
+        for c in sets:
+            others = [s for s in c if s != "broken"]
+            want = dict(zip(others, phases[len(others)][n])) | {"broken": "1"}
+            assert {s: str(got[("-".join(c), tables[s])]) for s in c} == {s: want[s] for s in c}, (c, n)
 
 
 def test_title_suffix(spark):
