@@ -40,11 +40,12 @@ def _(spark, d):
 @query("s2_stream_reject_alert", f"""SELECT site, window_start, rejects, home_redirects, first_sign FROM (SELECT site, date_trunc('day', ts) AS window_start,
       count(*) FILTER (fetch_code = 'http_429') AS rejects, count(*) FILTER (fetch_code = 'deleted_home') AS home_redirects,
       min(ts) FILTER (fetch_code IN ('http_429', 'deleted_home')) AS first_sign FROM ({_EV}) GROUP BY 1, 2)
-    WHERE (rejects >= 3 OR home_redirects >= 5) AND window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+    WHERE rejects >= 3 OR home_redirects >= 5""")
 def _(spark, d):
     folder = S.job_folder(spark, "s2")
     out = S.reject_alerts(S.late_tolerant(log_stream(spark, d)))
-    df = S.read_after(S.append_table(out, folder), spark, folder)
+    S.start_versions(out, folder).awaitTermination()
+    df = S.newest_versions(spark, folder, ["site", "window_start"])
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "first_sign")})
 
 
@@ -53,21 +54,22 @@ _H = """count(*) AS fetches, count(*) FILTER (fetch_code = 'ok') AS ok, count(*)
     count(*) FILTER (fetch_code = 'conn_failed') AS connection"""
 
 
-@query("s3_stream_health", f"""SELECT window_start, site, {_H} FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM ({_EV}))
-    WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""")
+@query("s3_stream_health", f"""SELECT window_start, site, {_H} FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM ({_EV})) GROUP BY 1, 2""")
 def _(spark, d):
-    folder = S.job_folder(spark, "s3")
-    out = S.health_counts(S.late_tolerant(log_stream(spark, d)))
-    df = S.read_after(S.append_table(out, folder), spark, folder)
+    return health_stream(spark, d, "s3")
+
+
+def health_stream(spark, d, name, *window):
+    folder = S.job_folder(spark, name)
+    S.start_versions(S.health_counts(S.late_tolerant(log_stream(spark, d)), *window), folder).awaitTermination()
+    df = S.newest_versions(spark, folder, ["site", "window_start"])
     return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end")
 
 
 @query("s3_health_sliding", f"""SELECT window_start, site, {_H} FROM (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_start
     FROM ({_EV})) GROUP BY 1, 2""")
 def _(spark, d):
-    log = read_table(spark, d, "events").selectExpr("concat('s', user_id % 5) AS site", "CAST(ts AS timestamp) AS ts", f"{CODE} AS fetch_code")
-    df = S.health_counts(log, "2 hours", "1 hour")
-    return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end")
+    return health_stream(spark, d, "s3s", "2 hours", "1 hour")
 
 
 @query("s4_stream_page_audit", "SELECT page_id, url_key, title, title_len, title_status FROM page_facts")
@@ -80,5 +82,5 @@ def _(spark, d):
 @query("s5_stream_link_counts", "SELECT site, dst_key, count(*) AS n_pages FROM page_links GROUP BY 1, 2")
 def _(spark, d):
     folder = S.job_folder(spark, "s5")
-    S.start_link_counts(S.landing_stream(spark, d, PAGES, "pages.parquet"), folder).awaitTermination()
-    return S.current_link_counts(spark, folder)
+    S.start_versions(S.link_counts(S.landing_stream(spark, d, PAGES, "pages.parquet")), folder).awaitTermination()
+    return S.newest_versions(spark, folder, ["site", "dst_key"])

@@ -98,21 +98,25 @@ def audit_stream(pages: DataFrame) -> DataFrame:
     return page_facts(pages)
 
 
-def start_link_counts(pages: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Running number of linking pages per target; each batch writes the counts that changed."""
-    counts = page_links(pages).groupBy("site", "dst_key").agg(F.count("*").alias("n_pages"))
-
+def start_versions(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Update-mode table: every batch writes the rows that changed under its own number, so a replayed batch replaces itself and
+    windows that are still open are in the table as well."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(
-            f"{folder}/table/batch={number}")
-    return (counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/progress")
+        batch.withColumn("version", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+    return (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/progress")
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def current_link_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest count per target."""
-    return spark.read.parquet(f"{folder}/table").groupBy("site", "dst_key").agg(
-        F.max_by("n_pages", "version").alias("n_pages"))
+def newest_versions(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The newest row per key of a ``start_versions`` table: versions are decided on keys, then the rows are read."""
+    rows = spark.read.parquet(f"{folder}/table").drop("batch")
+    newest = rows.groupBy(*keys).agg(F.max("version").alias("version"))
+    return rows.join(newest, [*keys, "version"], "left_semi").drop("version")
+
+
+def link_counts(pages: DataFrame) -> DataFrame:
+    """Running number of linking pages per target."""
+    return page_links(pages).groupBy("site", "dst_key").agg(F.count("*").alias("n_pages"))
 
 
 def read_after(query: StreamingQuery, spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
