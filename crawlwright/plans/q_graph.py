@@ -162,13 +162,15 @@ def _(spark, d):
                               mapping.join(others, ["site", "req_key"], "left_anti"))
 
 
-@query("h4_store_totals", """SELECT 's' || p_partkey % 5 AS site, coalesce(max(p_size) FILTER (p_partkey % 6 = 1 AND p_partkey % 5 <> 0), NULL)::BIGINT AS store_total
-    FROM part WHERE p_partkey % 5 NOT IN (0, 3) GROUP BY 1 UNION ALL SELECT 's3', 77::BIGINT""")
-def _(spark, d):
-    a = read_table(spark, d, "part").where("p_partkey % 5 NOT IN (0, 3)").selectExpr(
-        "concat('s', p_partkey % 5) AS site", "true AS available", "p_size AS declared_count",
-        "CASE WHEN p_partkey % 6 = 1 THEN 'https://s.com/ar/Latest-Products' ELSE concat('https://s.com/x', p_partkey) END AS url")
-    feed = read_table(spark, d, "region").limit(1).selectExpr("'s3' AS site", "77 AS products")
+@query("h4_store_totals", """SELECT coalesce(f.site, a.site) AS site, coalesce(f.products, a.declared)::BIGINT AS store_total
+    FROM (SELECT 's' || p_partkey % 15 AS site, max(p_size) FILTER (p_partkey % 7 = 1) AS declared FROM part GROUP BY 1) a
+    FULL JOIN (SELECT 's' || s_suppkey % 10 AS site, count(*) AS products FROM supplier GROUP BY 1) f ON f.site = a.site""")
+def _(spark, d):
+    a = read_table(spark, d, "part").selectExpr(
+        "concat('s', p_partkey % 15) AS site", "true AS available", "p_size AS declared_count",
+        "CASE WHEN p_partkey % 7 = 1 THEN 'https://s.com/ar/Latest-Products' ELSE concat('https://s.com/x', p_partkey) END AS url")
+    feed = read_table(spark, d, "supplier").selectExpr("concat('s', s_suppkey % 10) AS site").groupBy("site").agg(
+        F.count("*").alias("products"))
     return H.store_totals(a, feed)
 
 

@@ -26,8 +26,8 @@ def image_pages(spark, d):
 
 
 def store_names(spark, d):
-    return read_table(spark, d, "part").where("p_partkey < 5").selectExpr(
-        "concat('s', p_partkey % 5) AS site", "concat(p_name, ' ', lower(p_type)) AS name")
+    return read_table(spark, d, "part").selectExpr("concat('s', p_partkey % 5) AS site", "concat(p_name, ' ', lower(p_type)) AS name",
+                                                   "p_partkey").groupBy("site").agg(F.min_by("name", "p_partkey").alias("name"))
 
 
 def page_products(spark, d):
@@ -78,8 +78,8 @@ def _(spark, d):
     return I.alt_duplicates(images(spark, d)).select("site", "page_url", "image_url", "seq", "alt_status")
 
 
-view("img_store", f"""SELECT 's' || p_partkey % 5 AS site, {D.toks("p_name || ' ' || lower(p_type)")} AS store
-    FROM part WHERE p_partkey < 5""")
+view("img_store", f"""SELECT site, {D.toks("name")} AS store
+    FROM (SELECT 's' || p_partkey % 5 AS site, arg_min(p_name || ' ' || lower(p_type), p_partkey) AS name FROM part GROUP BY 1)""")
 _isgen = f"list_contains({D.lst(I.STORE_GENERIC)}, t)"
 view("img_d3", f"""SELECT * EXCLUDE (alt_status, store, tk), CASE WHEN alt_status IN ('alt_ok', 'alt_duplicate', 'alt_page_dup')
       AND len(tk) > 0 AND len(list_filter(tk, lambda t: NOT list_contains(store, t) AND NOT {_isgen})) = 0

@@ -193,9 +193,9 @@ def _fixed_sql():
 DV.view("audit_fixed", f"SELECT *, {_fixed_sql()} AS fixed_title FROM audit_scored")
 
 
-@query("c7_fixed_page_title", "SELECT seq, fixed_title FROM audit_fixed WHERE page_type = 'info'")
+@query("c7_fixed_page_title", "SELECT seq, fixed_title FROM audit_fixed")
 def _(spark, d):
-    return C.fixed_page_title(audit(spark, d).where("page_type = 'info'")).select("seq", "fixed_title")
+    return C.fixed_page_title(audit(spark, d)).select("seq", "fixed_title")
 
 
 @query("c7_fixed_page_title_urls", f"""SELECT page_id, {_fixed_sql()} AS fixed_title FROM (
@@ -244,7 +244,7 @@ _PROMO = D.has(f"regexp_replace(lower(translate(title, '{K.EASTERN_DIGITS}', '{K
     count(*) FILTER (promo) AS promo FROM (
       SELECT source AS site, {DV.placeholder('title')} AS ph, {D.strip('title')} <> '' AND {D.ld('title')} = '' AS sy,
         length({D.sub('title', r'[^\p{L}\p{Nl}\p{No}]+')}) < 3 AS few, {_PROMO} AS promo
-      FROM (SELECT source, substring(text, 1, 70) AS title FROM documents
+      FROM (SELECT source, text AS title FROM documents
             UNION ALL SELECT source, '{{{{' || split_part(text, ' ', 1) || '}}}} 20% off' FROM documents
             UNION ALL SELECT source, '*** ' || doc_id % 3 FROM documents
             UNION ALL SELECT source, 'page ' || doc_id FROM documents
@@ -252,7 +252,7 @@ _PROMO = D.has(f"regexp_replace(lower(translate(title, '{K.EASTERN_DIGITS}', '{K
 def _(spark, d):
     docs = read_table(spark, d, "documents")
     t = docs.select(F.col("source").alias("site"), F.explode(F.array(
-        F.substring("text", 1, 70), F.concat(F.lit("{{"), F.split_part("text", F.lit(" "), F.lit(1)), F.lit("}} 20% off")),
+        F.col("text"), F.concat(F.lit("{{"), F.split_part("text", F.lit(" "), F.lit(1)), F.lit("}} 20% off")),
         F.concat(F.lit("*** "), F.col("doc_id") % 3), F.concat(F.lit("page "), "doc_id"),
         F.lit("عرض الشال 50 سم"))).alias("title"))
     return G.text_flags(t).groupBy("site").agg(

@@ -172,18 +172,17 @@ view("self_chk", _CHK)
 
 
 def facts(spark, d):
-    return spark.sql(_FACTS, orders=read_table(spark, d, "orders")).where("live_pages > 0")
+    return spark.sql(_FACTS, orders=read_table(spark, d, "orders"))
 
 
-@query("j4_self_checks", """SELECT site, ord::BIGINT AS ord, "check", level, value FROM self_chk WHERE site IN
-    (SELECT site FROM (%s) WHERE live_pages > 0)""" % _FACTS.replace("{orders}", "orders"))
+@query("j4_self_checks", """SELECT site, ord::BIGINT AS ord, "check", level, value FROM self_chk""")
 def _(spark, d):
     return S.self_checks(facts(spark, d))
 
 
 @query("j4_verdicts", """SELECT site, count(*) FILTER (level = 'fail') AS fails, count(*) FILTER (level = 'warn') AS warns,
     CASE WHEN count(*) FILTER (level = 'fail') > 0 THEN 'blocked' WHEN count(*) FILTER (level = 'warn') > 0 THEN 'review' ELSE 'ready' END AS verdict
-    FROM self_chk WHERE site IN (SELECT site FROM (%s) WHERE live_pages > 0) GROUP BY 1""" % _FACTS.replace("{orders}", "orders"))
+    FROM self_chk GROUP BY 1""")
 def _(spark, d):
     return S.verdicts(S.self_checks(facts(spark, d)))
 

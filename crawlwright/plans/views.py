@@ -66,9 +66,9 @@ def fx_audit(spark: SparkSession, d: str) -> DataFrame:
                       CASE doc_id % 5 WHEN 0 THEN 'categories/' WHEN 1 THEN 'blog/' WHEN 2 THEN 'pages/'
                            ELSE 'products/' END,
                       lower(split_part(text, ' ', 1)), '-', lower(split_part(text, ' ', 2)), '-', doc_id) AS url,
-               trim(substring(split_part(text, chr(10), 1), 1, 70)) AS title,
-               trim(substring(split_part(text, chr(10), 2), 1, 200)) AS meta_desc,
-               trim(substring(split_part(text, '.', 1), 1, 60)) AS display_name,
+               trim(split_part(text, chr(10), 1)) AS title,
+               trim(split_part(text, chr(10), 2)) AS meta_desc,
+               trim(split_part(text, '.', 1)) AS display_name,
                CAST(length(text) - length(replace(text, ' ', '')) + 1 AS bigint) AS word_count,
                doc_id % 11 <> 0 AS available,
                CASE WHEN doc_id % 11 <> 0 THEN 'ok' WHEN doc_id % 22 = 0 THEN 'http_404' ELSE 'http_429' END
@@ -205,10 +205,10 @@ def fx_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Assistant turns as proposed texts, with the turn before as the current text."""
     return _sql(spark, d, """
         SELECT concat('s', conv_id % 5) AS site, conv_id, turn AS seq, concat(conv_id, '-', turn) AS id,
-               trim(substring(split_part(text, '.', 1), 1, 70)) AS title,
-               trim(substring(text, 1, 165)) AS description,
-               trim(substring(split_part(prev, '.', 1), 1, 70)) AS current_title,
-               trim(substring(prev, 1, 165)) AS current_desc, prev AS source_text
+               trim(split_part(text, '.', 1)) AS title,
+               trim(text) AS description,
+               trim(split_part(prev, '.', 1)) AS current_title,
+               trim(prev) AS current_desc, prev AS source_text
         FROM (SELECT c.conv_id, c.turn, c.text, p.text AS prev
               FROM {conversations} c JOIN {conversations} p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
               WHERE c.role = 'assistant')""", conversations="conversations")
