@@ -97,13 +97,18 @@ def _status(notes: Column) -> Column:
 def validate_suggestions(rows: DataFrame, ratio: bool = True) -> DataFrame:
     """K2: notes per title and description, and the status.
 
-    ``rows``: site, seq, id, title, description, current_title, current_desc, source_text, fixed_title, need.
+    ``rows``: site, seq, id, title, description, current_title, current_desc, source_text, fixed_title, need.  With a column
+    ``suffix`` (K1) titles are judged as they will show, the suffix at their end; ``name`` also tells pages about offers.
     """
     df = _repeats(_repeats(rows, ["site"], "title", "_tdup"), ["site"], "description", "_ddup")
     allowed = numbers_in(F.concat_ws(" ", "current_title", "current_desc", "source_text"))
-    offers = F.concat_ws(" ", "current_title", "id").rlike(K.OFFER_PAGE_PATTERN)
-    df = df.withColumns({"_allowed": allowed, "_offers": offers})
-    t, d = F.col("title"), F.col("description")
+    offers = F.concat_ws(" ", *[c for c in ("name", "current_title", "id") if c in rows.columns]).rlike(K.OFFER_PAGE_PATTERN)
+    shown = F.col("title")
+    if "suffix" in rows.columns:
+        suffix = text(F.col("suffix"))
+        shown = F.when(strip(shown).endswith(suffix), strip(shown)).otherwise(F.concat(strip(shown), suffix))
+    df = df.withColumns({"_allowed": allowed, "_offers": offers, "_shown": shown})
+    t, d = F.col("_shown"), F.col("description")
 
     def strange(c):
         return F.size(F.array_except(numbers_in(c), F.col("_allowed"))) > 0
@@ -120,7 +125,7 @@ def validate_suggestions(rows: DataFrame, ratio: bool = True) -> DataFrame:
         "title_notes": F.when(want_t, F.array_join(title_notes, ",")).otherwise(""),
         "desc_notes": F.when(F.contains("need", F.lit("desc")), F.array_join(desc_notes, ",")).otherwise("")})
     return df.withColumn("status", _status((F.col("title_notes") == "") & (F.col("desc_notes") == ""))).drop(
-        "_tdup", "_ddup", "_allowed", "_offers")
+        "_tdup", "_ddup", "_allowed", "_offers", "_shown")
 
 
 def validate_alts(rows: DataFrame, ratio: bool = True) -> DataFrame:

@@ -102,3 +102,16 @@ def test_export_writes_every_table(spark, tmp_path):
     K.write_tables(tables, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "pages_product")).count() == 1
     assert {r["table_name"]: r["rows"] for r in K.count_tables(tables).collect()}["full_audit"] == 1
+
+
+def test_suggestions_are_judged_as_they_will_show(spark):
+    core, desc = "x" * 45, "d" * 130
+    rows = [("s", 1, "a", core, desc, "old", "", "", "", "title,desc", " | Shop", "plain"),
+            ("s", 2, "b", "y" * 37 + " | Shop name", desc + "e", "old", "", "", "", "title,desc", " | Shop name", "plain"),
+            ("s", 3, "c", "z" * 36 + " discount", desc + "f", "old", "", "", "", "title,desc", " | Shop", "Summer deals"),
+            ("s", 4, "d", "w" * 36 + " discount", desc + "g", "old", "", "", "", "title,desc", " | Shop", "plain")]
+    df = spark.createDataFrame(rows, "site string, seq long, id string, title string, description string, current_title string, current_desc string, "
+                                     "source_text string, fixed_title string, need string, suffix string, name string")
+    got = {r["id"]: r["title_notes"] for r in T.validate_suggestions(df, ratio=False).collect()}
+    assert got == {"a": "", "b": "title_length:49", "c": "", "d": "promo"}
+    assert {r["id"]: r["title_notes"] for r in T.validate_suggestions(df.drop("suffix", "name"), ratio=False).collect()}["a"] == "title_length:45"
