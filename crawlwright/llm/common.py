@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,18 @@ def lower_ascii(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut (without a copy) where the texts of a binary column reach ``most`` bytes: what a task turns into Python
+    objects at a time is then bounded by that, or by one text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        parts = np.cumsum(sizes.astype(np.int64) + 64) // most
+        edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def blocks_for(df: DataFrame, size: Column, block_bytes: int) -> int:
     """How many blocks of about ``block_bytes`` the rows need."""
     total = df.agg(F.sum(size).alias("n")).first()["n"] or 0

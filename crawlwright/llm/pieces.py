@@ -14,11 +14,14 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlwright.llm.common import slices, utf8
+
 BATCH_BYTES = 1 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -91,18 +94,6 @@ def _loaded(model: bytes):
     return rebuild(model), reference, surfaces(model)
 
 
-def _batches(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text) > BATCH_BYTES:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
-
-
 PIECES = T.StructType([T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                        T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType()),
                        T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -120,25 +111,27 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, reference, surface = _loaded(model)
-        for batch in batches:
+        for batch in slices(batches, 0, BATCH_BYTES):
             raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            rows = []
-            for part in _batches([t.decode("utf-8", "replace") for t in raw]):
-                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                truth = reference.encode(part, num_threads=1)
-                same = [a == b for a, b in zip(ids, truth)]
-                ids = truth if not all(same) else ids
-                rows += [{"n_pieces": len(i), "ids_sha256": hashlib.sha256(array("i", i).tobytes()).hexdigest(), "parity": p,
-                          "round_trip": b"".join(map(surface.__getitem__, i)), "ids": i if keep_ids else None} for i, p in zip(ids, same)]
-            for row, text in zip(rows, raw):
-                back = row["round_trip"]  # the decoder takes the dummy prefix away
-                row["round_trip"] = (back[1:] if prefix and back.startswith(b" ") else back) == text
-            pieces = pa.array(rows, pa.struct([("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("parity", pa.bool_()),
-                                               ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))]))
+            texts = [t.decode("utf-8", "replace") for t in raw]
+            ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            truth = reference.encode(texts, num_threads=1)
+            same = [a == b for a, b in zip(ids, truth)]
+            ids = truth if not all(same) else ids
+            packed = [array("i", i) for i in ids]
+            back = [b"".join(map(surface.__getitem__, i)) for i in ids]
+            back = [b[1:] if prefix and b.startswith(b" ") else b for b in back]  # the decoder takes the dummy prefix away
+            counts = np.array([len(i) for i in packed], np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32),
+                                             np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(i, np.int32) for i in packed]]))
+            pieces = pa.StructArray.from_arrays(
+                [pa.array(counts), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in packed], pa.string()), pa.array(same, pa.bool_()),
+                 pa.array([b == t for b, t in zip(back, raw)], pa.bool_()), lists if keep_ids else pa.nulls(len(raw), pa.list_(pa.int32()))],
+                names=["n_pieces", "ids_sha256", "parity", "round_trip", "ids"])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pieces], names=[*batch.schema.names[1:], "pieces"])
 
     kept = [c for c in docs.columns if c != "pieces"]
-    source = docs.select(F.col("text").alias("_pieces_of"), *kept)
+    source = docs.select(utf8("text").alias("_pieces_of"), *kept)
     return source.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], T.StructField("pieces", PIECES)]))
 
 

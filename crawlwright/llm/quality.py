@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlwright.llm.common import utf8
+from crawlwright.llm.common import slices, utf8
 from crawlwright.llm.tokens import hashed, text_of
 
 BUCKETS = 1 << 12
@@ -120,7 +120,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, sample_rows: int
         "doc_id", F.col("grade").cast("int").alias("grade"), "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             found = [features(text_of(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0].astype(np.int16) for f in found], pa.list_(pa.int16())),
                                               pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))],
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep: int = 1, least: float = 0.
     weights = model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0):
             value = np.array([float(weights[at] @ x) for at, x in (features(text_of(t)) for t in b.column(0).cast(pa.binary()).to_pylist())])
             tails = model.tails(value.reshape(-1))
             tail = tails[:, keep - 1]
@@ -150,4 +150,4 @@ def score(docs: DataFrame, model: OrdinalModel, keep: int = 1, least: float = 0.
 
     kept = [c for c in docs.columns if c != "quality_score"]
     schema = docs.select(*kept).limit(0).withColumn("quality_score", F.expr("cast(null as struct<expected_grade:double,tail:double,kept:boolean>)")).schema
-    return docs.select(F.col("text").alias("_quality_of"), *kept).mapInArrow(run, schema)
+    return docs.select(utf8("text").alias("_quality_of"), *kept).mapInArrow(run, schema)

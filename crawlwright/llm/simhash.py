@@ -15,19 +15,21 @@ Equal fingerprints are folded first, so copies of a text cost one row however ma
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from crawlwright.llm.common import stash, utf8
+from crawlwright.llm.common import slices, stash, utf8
 
 SHINGLE_WORDS = 3
 SEED = 42
 CHUNK = 1 << 14
+TASK_ROWS = 20_000
 
 
 def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
@@ -48,9 +50,11 @@ def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_key, text) -> (doc_id, text_key, fp), a few texts at a time."""
+    for b in slices(batches, 2):
+        fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
 
 def signed(value: int) -> int:
@@ -76,6 +80,8 @@ def cells(counts):
 
 def links(fps: DataFrame) -> DataFrame:
     """``(fp)`` distinct -> ``(a, b)``, a < b: links that connect whatever is within two bits of each other."""
+    # a fingerprint is a few bytes here and about 49 rows below, so tasks go by fingerprints and not by bytes
+    fps = fps.repartition(max(1, -(-fps.count() // TASK_ROWS)), "fp")
     placed = fps.select("fp", F.explode(cells(segment_counts(F.col("fp")))).alias("cell")).where("cell is not null")
     full = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     full = stash(full, "simhash-cells")
@@ -115,7 +121,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     such rows alone has a null id.  ``text_key`` is a hash of the text that tells rows with one doc_id apart.  An empty table
     gives an empty result.  Other columns are not read.
     """
-    marked = stash(docs.select("doc_id", F.xxhash64("text").alias("text_key"), _fingerprints(utf8("text")).alias("fp")), "simhash-fingerprints")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8("text").alias("text"))
+    marked = stash(rows.mapInArrow(fingerprints, "doc_id bigint, text_key bigint, fp bigint"), "simhash-fingerprints")
     fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     stars = components(links(fps.select("fp")))
     rooted = fps.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlwright.llm.common import utf8
+from crawlwright.llm.common import slices, utf8
 from crawlwright.llm.tokens import WORD, hashed, text_of
 
 BUCKETS = 1 << 20
@@ -108,7 +108,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
 
 def _map(rows: DataFrame, each, schema: str, names: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             columns = each(b.column(0).to_pylist(), [text_of(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
     return rows.mapInArrow(run, schema)
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        for b in batches:
+        for b in slices(batches, 1):
             found = [own.passages(text_of(t)) for t in b.column(1).to_pylist()]
             p = own.probability(np.array([sum(w for *_, w in f) for f in found], float))
             rows = [[{"start": a, "end": e, "worth": float(w)} for a, e, w in f] for f in found]

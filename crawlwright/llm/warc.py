@@ -21,7 +21,7 @@ from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlwright.llm.common import blocks_for, scratch_path, stash
+from crawlwright.llm.common import blocks_for, scratch_path, slices, stash
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 1 << 30  # a task starts a new archive beyond this
@@ -104,7 +104,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(root, recursive=True)
         out, at, name = None, 0, ""
         try:
-            for batch in batches:
+            for batch in slices(batches, 2):
                 rows = []
                 for r in batch.to_pylist():
                     if out is None or at >= ARCHIVE_BYTES:
