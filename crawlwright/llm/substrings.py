@@ -35,7 +35,7 @@ from crawlwright.llm.common import blocks_for
 WINDOW = 50
 LEVELS = 4
 LEAST_INTERVAL = 12  # words; windows whose boundary depends on fewer are keyed by all their words instead
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 NO_ID = -(1 << 63)
 BLOCK, DOC = "_repeats_block", "_repeats_doc"
 _U = np.uint64
