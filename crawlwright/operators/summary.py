@@ -95,13 +95,49 @@ def image_counters(unique: DataFrame) -> DataFrame:
         (F.count("*") - modern).alias("img_legacy"), F.round(modern / F.count("*") * 100, 1).alias("img_modern_pct"))
 
 
+def format_counters(unique: DataFrame) -> DataFrame:
+    """Unique images of a site by format; formats outside the known ones count as ``img_format_other``."""
+    fmt = F.coalesce("image_format", F.lit(""))
+    counts = {f"img_format_{f}": F.count_if(fmt == f) for f in K.IMAGE_FORMATS}
+    counts["img_format_other"] = F.count_if(~fmt.isin(*K.IMAGE_FORMATS))
+    return unique.groupBy("site").agg(*[c.alias(n) for n, c in counts.items()])
+
+
+#: H3 counter -> its name in the summary
+COVERAGE = (("products_live", "visible_products"), ("sitemap_total", "sitemap_products"), ("sitemap_live", "sitemap_live"),
+            ("products_unlisted", "not_indexed_count"), ("sitemap_dead", "dead_count"), ("sitemap_unreachable", "sitemap_unreachable"),
+            ("orphan_pages", "hidden_count"), ("scroll_only_products", "scroll_only_count"), ("unlisted_pages", "unlisted_count"),
+            ("unlisted_suppressed", "unlisted_suppressed"), ("indexed_pct", "indexed_pct"))
+ORPHAN_TYPES = tuple(t for t in K.PAGE_TYPES if t not in ("product", "broken"))
+
+
+def coverage_counters(coverage: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
+    """J1, coverage part: the H3 report under its summary names, and the orphan rows by page type."""
+    out = coverage.select("site", *[F.col(c).alias(n) for c, n in COVERAGE])
+    if orphans is None:
+        return out
+    by_type = orphans.groupBy("site").agg(*[F.count_if(F.col("page_type") == t).alias(f"orphan_{t}") for t in ORPHAN_TYPES])
+    return out.join(by_type, "site", "left")
+
+
 def compute_summary(masked: DataFrame, unique_images: DataFrame | None = None, coverage: DataFrame | None = None,
-                    redirects: DataFrame | None = None, platforms: DataFrame | None = None) -> DataFrame:
-    """One wide row per site.  Every part is one pass over its table; the joins see one row per site."""
+                    redirects: DataFrame | None = None, platforms: DataFrame | None = None, orphans: DataFrame | None = None,
+                    deduped: DataFrame | None = None, formats: bool = False) -> DataFrame:
+    """One wide row per site.  Every part is one pass over its table; the joins see one row per site.
+
+    ``coverage`` is the report of H3 and ``orphans`` its orphan rows, ``redirects`` the counters of I2, ``deduped`` the per-site
+    report of G1, which tells the canonicals that are broken.
+    """
     out = page_counters(masked, platforms)
-    for part in (image_counters(unique_images) if unique_images is not None else None, coverage, redirects):
+    parts = [image_counters(unique_images) if unique_images is not None else None,
+             format_counters(unique_images) if formats and unique_images is not None else None,
+             coverage_counters(coverage, orphans) if coverage is not None else None, redirects,
+             deduped.select("site", "canon_broken") if deduped is not None else None]
+    for part in parts:
         if part is not None:
             out = out.join(part, "site", "left")
+    if coverage is not None:
+        out = out.na.fill(100.0, ["indexed_pct"])
     return out.na.fill(0)
 
 

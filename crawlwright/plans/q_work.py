@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 from crawlwright.functions.urls import image_format
+from crawlwright.operators import dedupe as DD
 from crawlwright.operators import grading as G
+from crawlwright.operators import graph as H
 from crawlwright.operators import images as I
 from crawlwright.operators import pages as P
+from crawlwright.operators import redirects as R
 from crawlwright.operators import summary as S
 from crawlwright.operators import texts as T
 from crawlwright.operators import worklists as W
@@ -202,6 +205,86 @@ def _(spark, d):
     return S.diagnosis_points(summary(spark, d))
 
 
+# --- the whole summary: every part of J1 -------------------------------------------------------------------------
+# headings that say something else, canonicals that all point home on every other site, and old addresses of moved pages
+_H1 = "CASE seq % 9 WHEN 0 THEN '' WHEN 1 THEN 'zzz qqq' ELSE title END"
+_CANON = """CASE WHEN right(site, 1) IN ('1', '3', '5', '7', '9') AND seq % 3 <> 0 THEN concat('https://', site, '.example.com/')
+    ELSE '' END"""
+_MOVED = """SELECT site, seq, available, fetch_code, final_url, page_type AS link_type, in_map, linked, 'sitemap' AS source,
+    CASE WHEN final_url <> '' THEN concat('https://', site, '.example.com/old-', seq) ELSE url END AS req_url,
+    CASE WHEN final_url = '' THEN '' WHEN seq % 26 = 0 THEN '302 → 200' ELSE '301 → 200' END AS chain FROM {audit}"""
+view("whole_pages", f"""SELECT site, count(*) FILTER (available AND title <> '' AND h1 <> '' AND len(h) > 0 AND len(list_intersect(t, h)) * 2 < len(h))
+      AS h1_mismatch, coalesce(sum(slots) FILTER (available), 0)::BIGINT AS image_slots FROM (
+    SELECT *, list_distinct({D.toks('title')}) AS t, list_distinct({D.toks('h1')}) AS h FROM (SELECT *, {_H1} AS h1 FROM audit_mask)
+      LEFT JOIN (SELECT site, page_url AS url, count(*) AS slots FROM fx_audit_images GROUP BY 1, 2) USING (site, url)) GROUP BY site""")
+view("whole_formats", f"""SELECT site, {', '.join(_cnt(f'img_format_{f}', f"image_format = '{f}'") for f in K.IMAGE_FORMATS)},
+    count(*) FILTER (image_format NOT IN {D.inlist(K.IMAGE_FORMATS)}) AS img_format_other FROM aimg_uni GROUP BY site""")
+view("whole_cover", f"""SELECT site, products_live AS visible_products, sitemap_total AS sitemap_products, sitemap_live,
+    products_unlisted AS not_indexed_count, sitemap_dead AS dead_count, sitemap_unreachable, orphan_pages AS hidden_count,
+    scroll_only_products AS scroll_only_count, CASE WHEN partial THEN 0 ELSE unl END AS unlisted_count,
+    CASE WHEN partial THEN unl ELSE 0 END AS unlisted_suppressed,
+    CASE WHEN products_live > 0 THEN round((products_live - products_unlisted)::DOUBLE / products_live * 100, 1) ELSE 100.0 END AS indexed_pct,
+    {', '.join(f'orphan_{t}' for t in S.ORPHAN_TYPES)} FROM audit_cov JOIN (
+      SELECT site, {', '.join(_cnt(f'orphan_{t}', f"in_map AND available AND NOT linked AND page_type = '{t}'") for t in S.ORPHAN_TYPES)}
+      FROM fx_audit GROUP BY site) USING (site)""")
+view("whole_moved", """SELECT site, count(*) FILTER (available AND starts_with(chain, '301')) AS redirects_permanent,
+    count(*) FILTER (available AND starts_with(chain, '302')) AS redirects_temporary,
+    count(*) FILTER (fetch_code = 'deleted_home') AS redirects_home, count(*) FILTER (fetch_code IN ('http_404', 'http_410')) AS not_found_pages,
+    count(*) FILTER (in_map) AS redirects_in_sitemap, count(*) AS redirects_total
+    FROM (%s) WHERE fetch_code IN ('http_404', 'http_410', 'deleted_home') OR (available AND final_url <> '') GROUP BY site"""
+     % _MOVED.replace("{audit}", "fx_audit"))
+view("whole_one", f"""SELECT site, available, CASE WHEN canonical_url <> '' THEN {D.key('canonical_url')} ELSE url_key END AS ck FROM (
+    SELECT *, row_number() OVER (PARTITION BY site, url_key ORDER BY NOT available, has_lang, seq) AS rn FROM (
+      SELECT *, {_CANON} AS canonical_url, {D.parts('url')} FROM fx_audit)) WHERE rn = 1""")
+view("whole_canon", """SELECT site, CASE WHEN n >= 10 AND dup > n * 0.5 THEN dup ELSE 0 END AS canon_broken FROM (
+    SELECT site, count(*) AS n, count(*) - count(DISTINCT ck) AS dup FROM whole_one WHERE available GROUP BY site)""")
+_parts = {"whole_formats": [f"img_format_{f}" for f in (*K.IMAGE_FORMATS, "other")],
+          "whole_cover": [n for _, n in S.COVERAGE] + [f"orphan_{t}" for t in S.ORPHAN_TYPES],
+          "whole_moved": ["redirects_permanent", "redirects_temporary", "redirects_home", "not_found_pages", "redirects_in_sitemap",
+                          "redirects_total"], "whole_canon": ["canon_broken"]}
+view("summary_whole", f"""SELECT summary_all.*, h1_mismatch, image_slots,
+    {', '.join(f'coalesce({c}, 0) AS {c}' for cs in _parts.values() for c in cs)}
+    FROM summary_all JOIN whole_pages USING (site) {' '.join(f'LEFT JOIN {t} USING (site)' for t in _parts)}""")
+
+
+def whole_summary(spark, d):
+    """J1 with all its parts: pages with headings and image slots, images, coverage, redirects and canonicals."""
+    a = cut(V.fx_audit(spark, d).select("site", "seq", "url", "page_type", "available", "fetch_code", "in_map", "linked", "final_url"))
+    pages = masked(spark, d).withColumns({
+        "h1_match": G.title_h1_match(F.col("title"), F.expr(_H1)), "total_images": F.expr("seq % 3 + 1")})
+    sitemap = a.select("site").distinct().withColumn("partial", F.col("site").isin("src1", "src2"))
+    _, deduped = DD.dedupe_pages(a.select("site", "seq", "url", "available", F.expr(_CANON).alias("canonical_url")))
+    return S.compute_summary(pages, unique(spark, d), H.coverage_report(a, sitemap),
+                             R.redirect_stats(R.redirect_report(spark.sql(_MOVED, audit=a))), site_platforms(spark, d),
+                             H.coverage_tables(a, sitemap)["orphan"], deduped, formats=True)
+
+
+@query("j1_summary_whole", "SELECT * FROM summary_whole")
+def _(spark, d):
+    return whole_summary(spark, d)
+
+
+_whole = ", ".join([*_metrics.split(", "), "h1_mismatch", "image_slots", *[c for cs in _parts.values() for c in cs]])
+
+
+@query("j1_summary_whole_long", f"""SELECT site, metric, value FROM (SELECT site, {', '.join(f'{m}::DOUBLE AS {m}' for m in _whole.split(', '))}
+    FROM summary_whole) UNPIVOT (value FOR metric IN ({_whole}))""")
+def _(spark, d):
+    return S.summary_long(whole_summary(spark, d))
+
+
+_found = {"h1_mismatch": "h1_mismatch", "canon_broken": "canon_broken", "hidden_count": "hidden_count"}
+
+
+@query("j8_diagnosis_whole", f"""SELECT site, ord::BIGINT AS ord, code, n::BIGINT AS n,
+      CASE WHEN code = 'missing_alts' AND total_images > 0 THEN round(n::DOUBLE / total_images * 100, 1) END AS share_pct,
+      CASE WHEN score < 60 THEN 'substantial_gap' WHEN score < 80 THEN 'partly_optimised' ELSE 'good_level' END AS closing
+    FROM summary_whole, LATERAL (VALUES {', '.join(f"({i + 1}, '{c}', {_found.get(c, e)})" for i, (c, e) in enumerate(zip(S.DIAGNOSIS, _diag)))})
+      v(ord, code, n) WHERE n > 0""")
+def _(spark, d):
+    return S.diagnosis_points(whole_summary(spark, d))
+
+
 @query("j9_health_split", """SELECT site, element, good::BIGINT AS good, improve::BIGINT AS improve, fix::BIGINT AS fix,
       round_even(good::DOUBLE / greatest(good + improve + fix, 1) * 100, 0)::BIGINT AS good_pct FROM summary_all, LATERAL (VALUES
       ('titles', live_pages - bad_titles, bad_titles - critical_titles, critical_titles),
