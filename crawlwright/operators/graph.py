@@ -151,14 +151,20 @@ def declared_vs_found(listings: DataFrame, listing_products: DataFrame) -> DataF
                      F.greatest(F.col("declared_count") - found, F.lit(0)).cast("bigint").alias("missing"))
 
 
-def structured_report(audit: DataFrame, category_rows: DataFrame) -> DataFrame:
-    """H5: per-site counters of structured data against what the pages show."""
-    p = audit.where(F.col("available") & (F.col("page_type") == "product"))
+def _declared_gaps() -> tuple[Column, Column, Column]:
+    """H5, per product page: (declared name, does the shown name share no word with it, are there fewer images than declared)."""
     declared, shown = F.trim(F.coalesce("declared_name", F.lit(""))), F.trim(F.coalesce("display_name", F.lit("")))
     dt, st = tokens(declared), tokens(shown)
     name_gap = (declared != "") & (shown != "") & (F.size(dt) > 0) & ~F.coalesce(F.arrays_overlap(dt, st), F.lit(False))
     img_gap = ((declared != "") & (F.coalesce("declared_images", F.lit(0)) > 0)
                & (F.coalesce("total_images", F.lit(0)) < F.col("declared_images")))
+    return declared, name_gap, img_gap
+
+
+def structured_report(audit: DataFrame, category_rows: DataFrame) -> DataFrame:
+    """H5: per-site counters of structured data against what the pages show."""
+    p = audit.where(F.col("available") & (F.col("page_type") == "product"))
+    declared, name_gap, img_gap = _declared_gaps()
     prod = p.groupBy("site").agg(
         F.count("*").alias("found_products"), F.count_if(declared == "").alias("no_jsonld"),
         F.count_if(name_gap).alias("name_mismatch"), F.count_if(img_gap).alias("image_gap"))
@@ -174,6 +180,15 @@ def structured_report(audit: DataFrame, category_rows: DataFrame) -> DataFrame:
                      .alias("coverage_pct"))
 
 
+def structured_tables(audit: DataFrame, category_rows: DataFrame) -> dict[str, DataFrame]:
+    """H5: the rows behind the counters."""
+    p = audit.where(F.col("available") & (F.col("page_type") == "product"))
+    _, name_gap, img_gap = _declared_gaps()
+    return {"image_gap": p.where(img_gap).select("site", "seq", "url", "declared_images", F.coalesce("total_images", F.lit(0)).alias("total_images")),
+            "name_gap": p.where(name_gap).select("site", "seq", "url", "declared_name", "display_name"),
+            "category_counters": category_rows}
+
+
 def pagination_needed(audit: DataFrame, sitemap_report: DataFrame) -> DataFrame:
     """H6: per site, does the slow listing walk have to run, and why."""
     keyed = audit.select("site", "available", "page_type", "declared_count", url_key(F.col("url")).alias("key"))

@@ -7,7 +7,10 @@ from crawlwright.operators import graph as H
 from crawlwright.operators import images as I
 from crawlwright.plans import duck as D
 from crawlwright.plans import views as V
-from crawlwright.plans.registry import query
+from crawlwright.plans import q_graph as QG
+from crawlwright.plans import q_work as QW
+from crawlwright.plans.registry import ORACLES, query
+from crawlwright.session import cut
 from crawlwright.sources import feeds as FD
 from crawlwright.sources import sinks as K
 from crawlwright.sources import sitemaps as S
@@ -135,3 +138,22 @@ def _(spark, d):
     return K.count_tables(K.export_tables(a, images, H.coverage_tables(a)))
 
 
+@query("a13_export_bundle", ORACLES["a13_export_tables"] + f"""
+    UNION ALL SELECT 'image_gap', count(*) FILTER (declared_name <> '' AND declared_images > 0 AND total_images < declared_images)
+      FROM ({QG._STR.replace('{products}', 'fx_products')})
+    UNION ALL SELECT 'name_gap', count(*) FILTER (declared_name = 'zzz qqq') FROM ({QG._STR.replace('{products}', 'fx_products')})
+    UNION ALL SELECT 'category_counters', count(*) FROM decl_rows
+    UNION ALL SELECT 'titles', count(*) FILTER (title_fix) FROM audit_mask
+    UNION ALL SELECT 'descs', count(*) FILTER (desc_fix) FROM audit_mask
+    UNION ALL SELECT 'alt_missing', count(*) FILTER (alt_status = 'alt_missing') FROM aimg_uni
+    UNION ALL SELECT 'alt_weak', count(*) FILTER (alt_status NOT IN ('alt_ok', 'alt_missing')) FROM aimg_uni
+    UNION ALL SELECT 'broken', count(*) FILTER (NOT available AND fetch_code = 'http_404') FROM fx_audit
+    UNION ALL SELECT 'redirect_import', count(*) FILTER (reason = '' AND regexp_matches(site, '[02468]$')) FROM imp_rows""")
+def _(spark, d):
+    """Every output of A13: pages by type, images, coverage, structured data, work lists and the import file."""
+    audit, images = QW.silver(spark, d), cut(QW.unique(spark, d))
+    products = spark.sql(QG._STR.replace("SELECT site,", "SELECT site, url,"), products=V.fx_products(spark, d))
+    dead = cut(QG.import_input(spark, d).select("site", "seq", "url", "link_type", "available", "fetch_code", "chain", "in_map", "linked",
+                                                "final_url", "suggested_url", F.lit("").alias("found_on"), F.lit("").alias("suggestion_conf")))
+    work = K.work_tables(audit, images, dead, QG.site_platforms(spark, d))
+    return K.count_tables(K.export_tables(audit, images, H.coverage_tables(audit), H.structured_tables(products, QG.declared(spark, d)), work))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 from crawlwright.functions.rank import number_rows
+from crawlwright.operators import redirects as R
+from crawlwright.operators import worklists as W
 
 
 def append_history(scans: DataFrame, rows: DataFrame, path: str) -> None:
@@ -65,6 +67,17 @@ def write_chunked_csv(df: DataFrame, path: str, group: list[str], seq: str, stem
      .write.mode("overwrite").partitionBy(*group, "file_name").option("header", True).csv(path))
 
 
+def work_tables(masked: DataFrame, unique_images: DataFrame, dead: DataFrame, platforms: DataFrame) -> dict[str, DataFrame]:
+    """The work lists of J5 and the import file of I8, the latter for sites whose platform takes one.
+
+    ``masked`` is the graded audit with its fix masks; ``dead`` the audit with the place and destination of dead links.
+    """
+    takes = platforms.where(F.col("platform").isin(*K.REDIRECT_PLATFORMS)).select("site").distinct()
+    return {"titles": W.titles_list(masked), "descs": W.descs_list(masked),
+            "alt_missing": W.image_list(unique_images, ("alt_missing",)), "alt_weak": W.image_list(unique_images, K.ALT_WEAK),
+            "broken": R.broken_links(dead, platforms), "redirect_import": R.redirect_import(dead.join(takes, "site", "left_semi"))[0]}
+
+
 def export_tables(audit: DataFrame, images: DataFrame, coverage: dict[str, DataFrame] | None = None,
                   structured: dict[str, DataFrame] | None = None, work: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Every named output of an audit."""
