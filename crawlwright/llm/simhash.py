@@ -50,10 +50,10 @@ def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fingerprints(batches: Iterator[pa.RecordBatch], words_per_shingle: int = SHINGLE_WORDS) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_key, text) -> (doc_id, text_key, fp), a few texts at a time."""
     for b in slices(batches, 2):
-        fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t, words_per_shingle) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
 
@@ -113,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fingerprint, component_id, text_key)`` for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included.  Null and empty texts have fingerprint
@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     gives an empty result.  Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8("text").alias("text"))
-    marked = stash(rows.mapInArrow(fingerprints, "doc_id bigint, text_key bigint, fp bigint"), "simhash-fingerprints")
+    marked = stash(rows.mapInArrow(lambda batches: fingerprints(batches, words_per_shingle), "doc_id bigint, text_key bigint, fp bigint"), "simhash-fingerprints")
     fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     stars = components(links(fps.select("fp")))
     rooted = fps.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -131,13 +131,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose component holds a smaller doc_id: one document of each group stays.
 
     A row without a doc_id goes if its component has a numbered document and stays otherwise.  Equal rows with one doc_id are
     one document and stay together.
     """
-    gone = (near_duplicates(docs).where("component_id is not null and (doc_id is null or component_id < doc_id)")
+    gone = (near_duplicates(docs, words_per_shingle).where("component_id is not null and (doc_id is null or component_id < doc_id)")
             .select(F.col("doc_id").alias("_gone_doc"), F.col("text_key").alias("_gone_text")).distinct())
     own = F.xxhash64(docs["text"])
     return docs.join(gone, (own == F.col("_gone_text")) & docs["doc_id"].eqNullSafe(F.col("_gone_doc")), "left_anti")
