@@ -24,7 +24,7 @@ from crawlwright.llm.common import slices, utf8
 
 BATCH_BYTES = 1 << 20
 UNIGRAM, BPE = 1, 2
-NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+NORMAL, UNKNOWN, USER = 1, 2, 4
 
 
 def default_model() -> str:
@@ -66,32 +66,21 @@ def rebuild(model: bytes):
     return out
 
 
-def read_model(path: str | None) -> tuple[bytes, bool]:
-    """(the model, does it put a space before every text)"""
-    from sentencepiece import sentencepiece_model_pb2 as pb
+def read_model(path: str | None) -> bytes:
     with open(path or default_model(), "rb") as f:
-        model = f.read()
-    proto = pb.ModelProto()
-    proto.ParseFromString(model)
-    return model, proto.normalizer_spec.add_dummy_prefix
+        return f.read()
 
 
-def surfaces(model: bytes) -> list[bytes]:
-    """The bytes that each id stands for: a piece with spaces for ▁, one byte for a byte piece, none for a control piece."""
-    from sentencepiece import sentencepiece_model_pb2 as pb
-    proto = pb.ModelProto()
-    proto.ParseFromString(model)
-    byte = {f"<0x{b:02X}>": bytes([b]) for b in range(256)}
-    special = {CONTROL: b"", UNKNOWN: proto.trainer_spec.unk_surface.encode()}
-    return [special.get(p.type, byte[p.piece] if p.type == BYTE else p.piece.replace("▁", " ").encode()) for p in proto.pieces]
+def round_trips(tokenizer, ids: list[list[int]], raw: list[bytes]) -> list[bool]:
+    """Does decoding the ids give the bytes of the text?"""
+    return [back.encode() == text for back, text in zip(tokenizer.decode_batch(ids, skip_special_tokens=False), raw)]
 
 
 @lru_cache(maxsize=2)
 def _loaded(model: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     import sentencepiece
-    reference = sentencepiece.SentencePieceProcessor(model_proto=model)
-    return rebuild(model), reference, surfaces(model)
+    return rebuild(model), sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
 PIECES = T.StructType([T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()),
@@ -107,10 +96,10 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
     A null text is like an empty one: no pieces, no ids.  Bytes that are not UTF-8 are read as U+FFFD and fail the round trip.
     Whole texts are encoded.  All columns are kept (``pieces`` is replaced); ``ids`` is null without ``keep_ids``.
     """
-    model, prefix = read_model(model_path)
+    model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, reference, surface = _loaded(model)
+        tokenizer, reference = _loaded(model)
         for batch in slices(batches, 0, BATCH_BYTES):
             raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             texts = [t.decode("utf-8", "replace") for t in raw]
@@ -119,14 +108,13 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
             same = [a == b for a, b in zip(ids, truth)]
             ids = truth if not all(same) else ids
             packed = [array("i", i) for i in ids]
-            back = [b"".join(map(surface.__getitem__, i)) for i in ids]
-            back = [b[1:] if prefix and b.startswith(b" ") else b for b in back]  # the decoder takes the dummy prefix away
+            back = round_trips(tokenizer, ids, raw)
             counts = np.array([len(i) for i in packed], np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32),
                                              np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(i, np.int32) for i in packed]]))
             pieces = pa.StructArray.from_arrays(
                 [pa.array(counts), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in packed], pa.string()), pa.array(same, pa.bool_()),
-                 pa.array([b == t for b, t in zip(back, raw)], pa.bool_()), lists if keep_ids else pa.nulls(len(raw), pa.list_(pa.int32()))],
+                 pa.array(back, pa.bool_()), lists if keep_ids else pa.nulls(len(raw), pa.list_(pa.int32()))],
                 names=["n_pieces", "ids_sha256", "parity", "round_trip", "ids"])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pieces], names=[*batch.schema.names[1:], "pieces"])
 
@@ -137,12 +125,12 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
 
 def decode_ids(docs: DataFrame, ids: str = "ids", model_path: str | None = None) -> DataFrame:
     """``docs`` with a column ``decoded``: the text of an array of ids; a null array gives null, an empty one ''."""
-    model, _ = read_model(model_path)
+    model = read_model(model_path)
 
     @F.pandas_udf(T.StringType())
     def decode(column):
         import pandas as pd
-        tokenizer, *_ = _loaded(model)
+        tokenizer, _ = _loaded(model)
         known = [i is not None for i in column]
         back = iter(tokenizer.decode_batch([[int(x) for x in i] for i in column if i is not None], skip_special_tokens=False))
         return pd.Series([next(back) if k else None for k in known])
