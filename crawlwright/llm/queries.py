@@ -169,3 +169,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlwright.llm.topk import search
     return search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.alignment import align_texts
+    return align_texts(table(spark, sf_dir, "documents"))[0]
+
+
+@query("op13_minhash")
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.oddsketch import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
