@@ -181,3 +181,73 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crawlwright.llm.oddsketch import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _plus(state: str, cost: str, edit: str) -> str:
+    """A way (nine digits of cost, then the audit) with one more edit."""
+    return f"(printf('%09d', substr({state}, 1, 9)::INTEGER + {cost}) || substr({state}, 10) || '{edit}')"
+
+
+def _close(table_name: str) -> str:
+    """Ways to the four states with inserted rows: e nothing yet, s a system row, u a user waits for its answer, p pairs are complete."""
+    return f"""SELECT * REPLACE (least(p, {_plus('u', '3', 'I')}) AS p)
+               FROM (SELECT * REPLACE (least(u, {_plus('e', '3', 'I')}, {_plus('s', '3', 'I')}, {_plus('p', '3', 'I')}) AS u) FROM {table_name})"""
+
+
+_STAY = "CASE WHEN cut THEN 3 ELSE 0 END"
+_ANY = "CASE WHEN NOT gone THEN least({}) END"
+_KEEP = "CASE WHEN NOT gone AND initial = '{}' THEN least({}) END"
+
+
+@query("op11_repair", rf"""
+WITH RECURSIVE
+crc AS (SELECT list(c ORDER BY n) AS t FROM (
+  SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM (SELECT unnest(range(256)) AS n))),
+source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS name FROM conversations),
+harmed AS (
+  SELECT *, xor(4294967295, list_reduce([4294967295] || name, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS harm FROM source, crc),
+placed AS (
+  SELECT conv_id, turn, unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM harmed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM placed),
+seen AS (
+  SELECT *, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS two,
+         regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM numbered),
+judged AS (
+  SELECT *, last = '' AS blank, last <> '' AND again AS duplicate, last NOT IN ('', '.', '!', '?') AND NOT again AS cut, last = '' OR again AS gone FROM seen),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(blank::INTEGER)::BIGINT AS blank,
+         sum(duplicate::INTEGER)::BIGINT AS duplicate, sum(cut::INTEGER)::BIGINT AS truncated,
+         sum((two IS NOT NULL AND two NOT IN ('su', 'ua', 'au'))::INTEGER)::BIGINT AS illegal, count(*)::BIGINT AS n_rows FROM judged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, '000000000' AS e, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS p FROM figures
+  UNION ALL
+  SELECT conv_id, next, {_plus('e', '4', 'D')}, least({_plus('s', '4', 'D')}, {_KEEP.format('s', _plus('e', _STAY, 'K'))}),
+         least({_plus('u', '4', 'D')}, {_KEEP.format('u', ', '.join(_plus(x, _STAY, 'K') for x in 'esp'))}, {_ANY.format(', '.join(_plus(x, f'3 + {_STAY}', 'R') for x in 'esp'))}),
+         least({_plus('p', '4', 'D')}, {_KEEP.format('a', _plus('u', _STAY, 'K'))}, {_ANY.format(_plus('u', f'3 + {_STAY}', 'R'))})
+  FROM (SELECT w.*, j.pos AS next, j.initial, j.cut, j.gone FROM ({_close('walk')}) w
+        JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.pos = w.pos + 1)),
+ends AS (
+  SELECT conv_id, substr(way, 1, 9)::BIGINT AS cost, substr(way, 10) AS audit
+  FROM (SELECT w.conv_id, least(e, p) AS way FROM ({_close('walk')}) w JOIN figures f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n_rows = w.pos)),
+edits AS (
+  SELECT conv_id, audit, i, audit[i] AS edit, len(regexp_replace(audit[1:i], 'I', '', 'g')) AS pos, len(regexp_replace(audit[1:i], 'D', '', 'g')) AS place,
+         len(regexp_replace(audit, 'D', '', 'g')) % 2 AS odd
+  FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS i FROM ends)),
+repaired AS (
+  SELECT conv_id, count(*)::BIGINT AS n_repaired, sha256(string_agg(line, chr(10) ORDER BY i)) AS digest
+  FROM (SELECT x.conv_id, i, CASE WHEN edit = 'K' THEN role WHEN (place + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                             || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+        FROM edits x LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM x.conv_id AND j.pos = x.pos WHERE edit <> 'D') GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256,
+       coalesce(n_rows, 0) AS n_rows, coalesce(n_repaired, 0) AS n_repaired
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crawlwright.llm.repair import damaged, repair_conversations
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
