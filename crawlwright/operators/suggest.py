@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from crawlwright import constants as K
 
-from crawlwright.functions.text import folded_set, literal_array, strip, text, word_tokens
-from crawlwright.functions.urls import add_url_parts, decisive_from, slug_from, url_key
+from crawlwright.functions.text import folded_set, literal_array, strip, text, tokens, word_tokens
+from crawlwright.functions.urls import add_url_parts, decisive_from, percent_decode, slug_from, url_key
 from crawlwright.operators.redirects import is_broken
 
 VARIANTS = folded_set(K.VARIANT_WORDS)
@@ -41,37 +41,58 @@ def _allowed_array(btype, generic):
     return out.otherwise(literal_array(ALLOWED_OTHER))
 
 
-def suggest_alternatives(audit: DataFrame) -> DataFrame:
-    """I4, token part: ``(site, seq, suggested_url, suggestion_conf)`` for dead links that have a live relative.
-
-    The work is an inverted-index join, kept small in three exact ways: tokens of over a third of the pages are
-    dropped; pages with the same type and token set are one candidate (the first of them), dead links with the same
-    question are asked once; and a match is looked up through rare tokens first.
-    """
-    from crawlwright.session import cut
-
+def _candidates(audit: DataFrame) -> DataFrame:
+    """``(site, seq, url, ctype, k_low, toks)``: live pages of content types with their words."""
     live = audit.where(F.col("available") & F.col("page_type").isin(*K.CONTENT_TYPES)
                        & (F.trim(text(F.col("final_url"))) == "") & F.coalesce("indexable", F.lit(True)))
     live = add_url_parts(live.select("site", "seq", "url", "page_type", "display_name"), "url", "k_")
-    cands = live.select("site", "seq", "url", F.col("page_type").alias("ctype"), "k_low",
-                        F.array_sort(_page_tokens(slug_from(F.col("k_segs")), F.col("display_name"))).alias("toks"))
-    # the candidate table is read four times below: parse and cut the URLs once
-    cands = cut(cands)
-    total = cands.groupBy("site").agg(F.count("*").alias("n_cands"))
+    return live.select("site", "seq", "url", F.col("page_type").alias("ctype"), "k_low",
+                       F.array_sort(_page_tokens(slug_from(F.col("k_segs")), F.col("display_name"))).alias("toks"))
+
+
+def _common_words(cands: DataFrame, total: DataFrame) -> DataFrame:
+    """``(site, common)``: words of more than a third of the pages; their shares bound the array by 3 x the mean words per page."""
     dfreq = (cands.select("site", F.explode("toks").alias("t")).groupBy("site", "t").agg(F.count("*").alias("df"))
              .join(total, "site").where(F.col("df") > F.greatest(F.lit(3.0), F.col("n_cands") * 0.33)))
-    # tokens of more than a third of the pages: their shares bound the array by 3 x the mean tokens per page
-    common = dfreq.groupBy("site").agg(F.collect_list("t").alias("common"))
-    none = F.array().cast("array<string>")
+    return dfreq.groupBy("site").agg(F.collect_list("t").alias("common"))
 
+
+def _dead_links(audit: DataFrame, total: DataFrame, common: DataFrame) -> DataFrame:
+    """Dead links of sites with live pages: words asked for, category id, phrase, and whether the link is a generic one."""
+    none = F.array().cast("array<string>")
     broken = add_url_parts(audit.where(is_broken()).select("site", "seq", "url", "link_type"), "url", "k_")
+    slug = slug_from(F.col("k_segs"))
     broken = broken.join(total.select("site"), "site", "left_semi").join(common, "site", "left").withColumns({
         "cid": F.try_element_at(_category_id(F.col("k_low")), F.lit(-1)),
-        "want": F.array_sort(F.array_except(_page_tokens(slug_from(F.col("k_segs"))), F.coalesce("common", none))),
+        "want": F.array_sort(F.array_except(_page_tokens(slug), F.coalesce("common", none))),
+        "phrase": F.array_sort(word_tokens(slug)), "n_words": F.size(F.filter(tokens(slug), lambda t: ~t.rlike(r"^\p{Nd}+$"))),
         "link_type": F.coalesce("link_type", F.when(decisive_from(F.col("k_low")) == "", "unknown").otherwise(decisive_from(F.col("k_low"))))})
-    broken = broken.withColumn("generic", (decisive_from(F.col("k_low")) == "") & (F.col("link_type") != "product"))
+    return broken.withColumn("generic", (decisive_from(F.col("k_low")) == "") & (F.col("link_type") != "product"))
+
+
+def _questions(broken: DataFrame) -> DataFrame:
+    open_ = broken.where(F.size("want") > 0).select(
+        "site", "seq", "want", "phrase", "n_words", "generic", _allowed_array(F.col("link_type"), F.col("generic")).alias("allowed"))
+    open_ = open_.withColumn("core", F.array_except("want", literal_array(VARIANTS)))
+    return open_.withColumn("base", F.when(F.size("core") > 0, F.col("core")).otherwise(F.col("want")))
 
-    broken = cut(broken)
+
+def suggest_alternatives(audit: DataFrame, spelling: bool = False) -> DataFrame:
+    """I4: ``(site, seq, suggested_url, suggestion_conf)`` for dead links that have a live relative.
+
+    The work is an inverted-index join, kept small in three exact ways: tokens of over a third of the pages are
+    dropped; pages with the same type and token set are one candidate (the first of them), dead links with the same
+    question are asked once; and a match is looked up through rare tokens first.  With ``spelling``, links that share
+    no word with any live page are answered by the closest spelling (``operators.spelling``).
+    """
+    from crawlwright.operators.spelling import closest_spelling
+    from crawlwright.session import cut
+
+    # the candidate table is read several times below: parse and cut the URLs once
+    cands = cut(_candidates(audit))
+    total = cands.groupBy("site").agg(F.count("*").alias("n_cands"))
+    common = _common_words(cands, total)
+    broken = cut(_dead_links(audit, total, common))
 
     # a category id survives any rename: the first live category with that id is certain
     by_id = (cands.where("ctype = 'category'").select("site", "seq", "url", F.explode(_category_id(F.col("k_low"))).alias("cid"))
@@ -80,18 +101,31 @@ def suggest_alternatives(audit: DataFrame) -> DataFrame:
     certain = broken.where(F.col("id_url").isNotNull()).select(
         "site", "seq", F.col("id_url").alias("suggested_url"), F.lit("high").alias("suggestion_conf"))
 
-    open_ = broken.where(F.col("id_url").isNull() & (F.size("want") > 0)).select(
-        "site", "seq", "want", "generic", _allowed_array(F.col("link_type"), F.col("generic")).alias("allowed"))
-    open_ = open_.withColumn("core", F.array_except("want", literal_array(VARIANTS)))
-    open_ = open_.withColumn("base", F.when(F.size("core") > 0, F.col("core")).otherwise(F.col("want")))
+    open_ = _questions(broken.where(F.col("id_url").isNull()))
     ask = ["site", "want", "generic", "allowed"]
     asked = open_.select(*ask, "base").distinct()
-    answers = _best_candidates(asked, cands, common)
-    found = open_.join(answers, ask).select("site", "seq", "suggested_url", "suggestion_conf")
+    pairs = _word_matches(asked, cands, common)
+    found = open_.join(_best_candidates(pairs), ask).select("site", "seq", "suggested_url", "suggestion_conf")
+    if spelling:
+        unmet = open_.join(_met(asked, cands, common, pairs), ask, "left_anti").where("n_words >= 2")
+        phrased = ["site", "phrase", "allowed"]
+        spelt = closest_spelling(unmet.select(*phrased).distinct(), cands.select("site", "ctype", "seq", "url", "toks"))
+        found = found.unionByName(unmet.join(spelt, phrased).select("site", "seq", "suggested_url", F.lit("medium").alias("suggestion_conf")))
     return certain.unionByName(found)
 
 
-def _best_candidates(asked: DataFrame, cands: DataFrame, common: DataFrame) -> DataFrame:
+def _met(asked: DataFrame, cands: DataFrame, common: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Questions that some live page answers by a word, however weakly: those have no fallback."""
+    ask = ["site", "want", "generic", "allowed"]
+    known = (cands.join(common, "site", "left").select("site", "ctype", F.explode(F.array_except("toks", F.coalesce("common", F.array().cast("array<string>")))).alias("t"))
+             .distinct())
+    probes = asked.select(*ask, F.explode("base").alias("t"))
+    by_word = probes.join(known, ["site", "t"]).where(F.array_contains("allowed", F.col("ctype")) & ~(F.col("generic") & (F.col("ctype") == "product")))
+    return by_word.select(*ask).unionByName(pairs.select(*ask)).distinct()
+
+
+def _word_matches(asked: DataFrame, cands: DataFrame, common: DataFrame) -> DataFrame:
+    """Questions with the live pages that may answer them by shared words."""
     none = F.array().cast("array<string>")
     offers = (cands.join(common, "site", "left").select(
         "site", "ctype", "seq", "url", F.array_except("toks", F.coalesce("common", none)).alias("ct"))
@@ -126,7 +160,11 @@ def _best_candidates(asked: DataFrame, cands: DataFrame, common: DataFrame) -> D
     pairs = (probes.where(pos > 0).withColumns({
         "hit": hit, "score": hit / n_base, "variant": variant, "pos": pos}))
     g = F.col("generic")
-    pairs = pairs.where(~(g & (F.col("ctype") == "product") & ((F.col("hit") < 3) | (F.col("score") < 0.75))))
+    return pairs.where(~(g & (F.col("ctype") == "product") & ((F.col("hit") < 3) | (F.col("score") < 0.75))))
+
+
+def _best_candidates(pairs: DataFrame) -> DataFrame:
+    g = F.col("generic")
     prio = (F.when(~g, 0).when((F.col("ctype") == "blog") & (F.col("score") >= 0.99), 3)
             .when(F.col("ctype") == "category", 2).when(F.col("ctype").isin("blog", "info"), 1).otherwise(0))
     order = F.struct((-prio).alias("a"), (-F.col("score")).alias("b"), (-F.col("hit")).alias("c"),
@@ -189,8 +227,7 @@ def _first_slug_size(words):
 def url_change_reasons(products: DataFrame) -> DataFrame:
     """I11, first half: products whose slug is a copy, a code, another product's name or has a stray number."""
     df = products.where(F.col("available") & (F.col("page_type") == "product"))
-    segs = F.filter(F.split(F.regexp_replace(F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))),
-                                             r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), "/"), lambda s: s != "")
+    segs = F.filter(F.split(F.regexp_replace(percent_decode(F.col("url")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), "/"), lambda s: s != "")
     df = df.withColumn("segs", segs).where(F.size("segs") > 0).withColumn("idx", _slug_position(F.col("segs")))
     df = df.withColumns({"seg": F.element_at("segs", F.col("idx")), "name": strip(F.col("display_name"))})
     df = df.withColumns({"own": F.array_sort(word_tokens(F.col("name"))), "st": F.array_sort(word_tokens(F.col("seg")))})
