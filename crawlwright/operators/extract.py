@@ -163,57 +163,80 @@ def is_content_picture(picture: Column) -> Column:
 # --- JSON-LD ---------------------------------------------------------------------------------------
 _TEXTS = ("name", "sku", "brand", "category", "description")
 DECLARED = StructType([StructField("types", ArrayType(StringType())), *[StructField(n, StringType()) for n in _TEXTS],
-                       StructField("images", ArrayType(StringType())), StructField("offers", BooleanType()), StructField("items", LongType())])
+                       StructField("images", ArrayType(StringType())), StructField("offers", BooleanType()), StructField("items", LongType()), StructField("broken", BooleanType())])
+MOST_ITEMS = 1 << 31  # a larger number of items, or an infinite one, is no count
 
 
 def _objects(value) -> Iterator[dict]:
-    """A JSON value's objects: each before those inside it, later siblings first."""
-    if isinstance(value, dict):
-        yield value
-        value = list(value.values())
-    if isinstance(value, list):
-        for inner in reversed(value):
-            yield from _objects(inner)
+    """A JSON value's objects: each before those inside it, later siblings first; nesting may be of any depth."""
+    open_ = [value]
+    while open_:
+        value = open_.pop()
+        if isinstance(value, dict):
+            yield value
+            value = list(value.values())
+        if isinstance(value, list):
+            open_.extend(value)
+
+
+def _clean(value: str) -> str:
+    """JSON may spell half of a surrogate pair, which is no text."""
+    return value.encode("utf-8", "replace").decode()
 
 
 def _kinds(node) -> set[str]:
     kind = node.get("@type") if isinstance(node, dict) else None
-    return {str(k) for k in (kind if isinstance(kind, list) else [kind]) if k}
+    return {_clean(str(k)) for k in (kind if isinstance(kind, list) else [kind]) if k}
 
 
 def _string(value, key: str | None = None) -> str:
     value = value.get(key) if key and isinstance(value, dict) else value
-    return "" if value is None or isinstance(value, (dict, list)) else str(value)
+    return "" if value is None or isinstance(value, (dict, list)) else _clean(str(value))
+
+
+def _listed(value) -> list:
+    return value if isinstance(value, list) else []
 
 
 def _declared(blocks) -> dict:
-    values = []
+    values, broken = [], False
     for block in blocks if blocks is not None else ():
         try:
             values.append(json.loads(block))
         except (ValueError, RecursionError):
-            continue
+            broken = True
     outer = [n for v in values for n in (v if isinstance(v, list) else [v]) if isinstance(n, dict)]
-    outer += [n for o in outer if isinstance(o.get("@graph"), list) for n in o["@graph"]]
+    outer += [n for o in outer for n in _listed(o.get("@graph"))]
     nodes = [n for v in values for n in _objects(v)]
     of_kind = lambda *kinds: (n for n in nodes if _kinds(n).intersection(kinds))
     product = next(of_kind("Product"), {})
     pictures = product.get("image") or []
     pictures = [p.get("url") or p.get("contentUrl") if isinstance(p, dict) else p for p in (pictures if isinstance(pictures, list) else [pictures])]
-    trails = [[_string(i["item"] if isinstance(i.get("item"), dict) else i, "name").strip() for i in n.get("itemListElement") or [] if isinstance(i, dict)]
+    trails = [[_string(i["item"] if isinstance(i.get("item"), dict) else i, "name").strip() for i in _listed(n.get("itemListElement")) if isinstance(i, dict)]
               for n in of_kind("BreadcrumbList")]
     trails = [[name for name in t if name] for t in trails]
     counts = [n.get("numberOfItems") for n in of_kind("ItemList", "CollectionPage")]
     return {"types": sorted(set().union(*map(_kinds, outer))), "name": _string(product.get("name")) if isinstance(product.get("name"), str) else "",
             "sku": _string(product.get("sku")), "brand": _string(product.get("brand"), "name").strip(),
             "category": next((t[-2] for t in trails if len(t) > 1), ""), "description": _string(product.get("description")),
-            "images": [p.strip() for p in pictures if isinstance(p, str) and p.strip()], "offers": bool(product.get("offers")),
-            "items": next((int(c) for c in counts if isinstance(c, (int, float)) and c > 0), None)}
+            "images": [_clean(p).strip() for p in pictures if isinstance(p, str) and p.strip()], "offers": bool(product.get("offers")),
+            "items": next((int(c) for c in counts if isinstance(c, (int, float)) and 0 < c < MOST_ITEMS), None), "broken": broken}
+
+
+EMPTY = {"types": [], **dict.fromkeys(_TEXTS, ""), "images": [], "offers": False, "items": None, "broken": True}
+
+
+def declared(blocks) -> dict:
+    """The facts of a page's JSON-LD; a page that defeats the reader has none and says so, and stops no other page."""
+    try:
+        return _declared(blocks)
+    except Exception:  # noqa: BLE001
+        return EMPTY
 
 
 @F.pandas_udf(DECLARED)
 def declared_facts(blocks: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_declared(b) for b in blocks], columns=[f.name for f in DECLARED.fields]).astype({"items": "Int64"})
+    return pd.DataFrame([declared(b) for b in blocks], columns=[f.name for f in DECLARED.fields]).astype({"items": "Int64"})
 
 
 def plain_text(c: Column) -> Column:
@@ -287,7 +310,7 @@ def read_pages_html(pages: DataFrame) -> DataFrame:
         said["brand"].alias("brand"), said["category"].alias("category"),
         plain_text(either(said["description"], either(og_text, own_text))).alias("product_desc"),
         F.array_distinct(F.transform(said["images"], clean_image_url)).alias("product_images"), said["offers"].alias("offers"),
-        said["items"].cast("int").alias("item_count"), F.length("html").alias("html_chars"))
+        said["items"].cast("int").alias("item_count"), F.length("html").alias("html_chars"), said["broken"].alias("ld_error"))
 
 
 def page_audit(facts: DataFrame) -> DataFrame:

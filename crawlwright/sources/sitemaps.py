@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import gzip
+import codecs
+import re
+import zlib
 from collections.abc import Iterator
 from itertools import count
 
@@ -18,30 +20,64 @@ from crawlwright.operators.urlsets import preferred_url
 from crawlwright.session import cut
 
 LOC = r"(?is)<loc>\s*(.*?)\s*</loc>"
-FILE_SCHEMA = "site string, file_url string, pos bigint, text string"
-
-
-def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bytes to text for one file at a time; gzip is told by its magic number."""
+FILE_SCHEMA = "site string, file_url string, pos bigint, text string, error string"
+PART_CHARS = 4 << 20
+
+
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[tuple[bytes, str | None]]:
+    """The bytes of a file, a step at a time, gzip (told by its magic number, several members too) unpacked; last why it broke off, if it did."""
+    if data[:2] != b"\x1f\x8b":
+        yield from ((data[at:at + step], None) for at in range(0, len(data), step))
+        return
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            while not member.eof:
+                out = member.decompress(data, step)
+                data = member.unconsumed_tail
+                if out:
+                    yield out, None
+                elif not data and not member.eof:
+                    yield b"", "truncated_gzip"
+                    return
+        except zlib.error:
+            yield b"", "corrupt_gzip"
+            return
+        data = member.unused_data
+
+
+def sitemap_parts(data: bytes, most: int = PART_CHARS) -> Iterator[tuple[str, str | None]]:
+    """(text, error) of parts of about ``most`` characters, cut behind a record, so that no address is split."""
+    decode, held = codecs.getincrementaldecoder("utf-8")("ignore").decode, ""
+    for raw, error in inflated(data):
+        held += decode(raw)
+        if error:
+            yield held, error
+            return
+        if len(held) >= most:
+            ends = [m.end() for m in re.finditer(r"(?i)</loc\s*>", held)] or [m.start() for m in re.finditer("<", held)][-1:] or [len(held)]
+            yield held[:ends[-1]], None
+            held = held[ends[-1]:]
+    yield held, None
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for raw in pdf["content"]:
-            data = bytes(raw)
-            if data[:2] == b"\x1f\x8b":
-                try:
-                    data = gzip.decompress(data)
-                except (OSError, EOFError):
-                    pass
-            out.append(data.decode("utf-8", "ignore"))
-        yield pd.DataFrame({"site": pdf["site"], "file_url": pdf["file_url"], "pos": 0, "text": out})
+        for site, file_url, raw in zip(pdf["site"], pdf["file_url"], pdf["content"]):
+            for pos, (part, error) in enumerate(sitemap_parts(bytes(raw))):
+                yield pd.DataFrame({"site": [site], "file_url": [file_url], "pos": [pos], "text": [part], "error": [error]}).astype({"error": object})
 
 
 def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """A3: landed sitemap files ``<site>/<name>`` (plain or gzip) as ``(site, file_url, pos, text)``."""
+    """A3: landed sitemap files ``<site>/<name>`` (plain or gzip) as ``(site, file_url, pos, text, error)``.
+
+    A large file comes in several parts, unpacked piece by piece.  A gzip file that breaks off or is corrupt keeps what could be
+    read; its last part says why (``truncated_gzip``, ``corrupt_gzip``).  Files without a byte give no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("site"),
                          F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file_url"), "content")
-    return files.mapInPandas(_inflate, FILE_SCHEMA)
+    return files.mapInPandas(_read, FILE_SCHEMA)
 
 
 def is_sitemap_text(c):
@@ -98,8 +134,9 @@ def fail_reason():
 
 def _judged(fetches: DataFrame) -> DataFrame:
     ok = (F.col("status") == 200) & ~F.coalesce("challenge", F.lit(False)) & is_sitemap_text(F.col("text"))
-    ok = F.coalesce(ok, F.lit(False))
-    return fetches.withColumns({"ok": ok, "reason": F.when(~ok, fail_reason())})
+    error = F.col("error") if "error" in fetches.columns else F.lit(None).cast("string")
+    ok = F.coalesce(ok, F.lit(False)) & error.isNull()
+    return fetches.withColumns({"ok": ok, "reason": F.when(~ok, F.coalesce(error, fail_reason()))})
 
 
 def sitemap_read_report(fetches: DataFrame, urls: DataFrame) -> DataFrame:
@@ -112,7 +149,7 @@ def sitemap_read_report(fetches: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def sitemap_fail_reasons(fetches: DataFrame) -> DataFrame:
-    """Failures per site and reason."""
+    """Failures per site and reason; a file whose reading broke off (``error``) fails for that."""
     return _judged(fetches).where("NOT ok").groupBy("site", "reason").agg(F.count("*").alias("files"))
 
 
