@@ -19,7 +19,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from crawlwright.llm.common import slices, stash, utf8
 from crawlwright.llm.pieces import read_model
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MEMO_BYTES = 24 << 20  # of chunks that a worker remembers from block to block
 AT_ONCE = 4096
 CUT = re.compile(r"(?<=\S)(?= +[^ ])")
@@ -106,11 +106,17 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.counts: list[np.ndarray] = []  # per batch of new chunks: rows of a, b, groups, links; -1 links where the bytes differ
+        self.counts: list[np.ndarray] = [np.zeros((4, 0), np.int64)]  # of a, b, groups, links; -1 links where the bytes differ
+        self.links: list[np.ndarray] = [np.zeros(0, np.int64)]  # id pairs, chunk after chunk
         self.said: list[bytes] = []
-        self.links: list[np.ndarray] = []
         self.held = 0
 
+    def whole(self, parts: list[np.ndarray]) -> np.ndarray:
+        """What was kept batch by batch, as one array."""
+        if len(parts) > 1:
+            parts[:] = [np.concatenate(parts, axis=-1)]
+        return parts[0]
+
     def keys(self, text: str) -> list[str]:
         """The chunks of space + text, each without its leading space."""
         if not self.cut:
@@ -124,7 +130,7 @@ class Aligner:
         known, fresh, out = self.known, [], []
         for text in texts:
             keys = self.keys(text)
-            numbers = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
+            numbers = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
             for i in np.flatnonzero(numbers < 0).tolist():
                 key = keys[i]
                 number = known.get(key)
@@ -152,10 +158,11 @@ class Aligner:
         a_ids, a_n = flat([e.ids for e in found])
         spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64).reshape(-1, 2)
         protos = [p.pieces for p in self.b.encode(keys, return_type="proto", num_threads=1)]
-        b_ids, b_n = flat([[p.id for p in pieces] for pieces in protos])
-        b_from = np.fromiter((p.begin for pieces in protos for p in pieces), np.int64) + 1
-        b_to = np.fromiter((p.end for pieces in protos for p in pieces), np.int64) + 1
-        b_from[starts_of(b_n)[b_n > 0]] = 0  # the mark before a chunk is its leading space
+        b_n = np.fromiter(map(len, protos), np.int64, len(protos))
+        b_ids, b_to = np.array([x for pieces in protos for p in pieces for x in (p.id, p.end)], np.int64).reshape(-1, 2).T
+        b_to = b_to + 1  # the mark before a chunk is its leading space
+        b_from = np.concatenate(([0], b_to))[:len(b_to)]  # a span begins where the one before ends
+        b_from[starts_of(b_n)[b_n > 0]] = 0
         # characters to bytes
         points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
         place = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))
@@ -176,7 +183,7 @@ class Aligner:
         n_links = np.searchsorted(cuts, ends, "right") - np.searchsorted(cuts, start, "right")
         n_groups = np.searchsorted(shared, ends, "right") - np.searchsorted(shared, start, "right")
         self.counts.append(np.stack((a_n, b_n, n_groups, np.where(good, n_links, -1))))
-        self.links.extend(np.split(pairs, np.cumsum(n_links)[:-1]))
+        self.links.append(pairs)
         self.said.extend(self.spell(a_ids, a_end, a_n, b_ids, b_end, b_n, shared))
 
     @staticmethod
@@ -231,8 +238,7 @@ class Block:
                 texts.append("")
                 whole.append(False)
         numbers = aligner.numbered(texts)
-        counts = np.concatenate([*aligner.counts], axis=1)
-        aligner.counts = [counts]
+        counts = aligner.whole(aligner.counts)
         for good, own in zip(whole, numbers):
             sums = counts[:, own].sum(axis=1) if good and (counts[3, own] >= 0).all() else None
             self.rows.append(np.zeros(4, np.int64) if sums is None else sums)
@@ -245,10 +251,14 @@ class Block:
     def batches(self, aligner: Aligner) -> Iterator[pa.RecordBatch]:
         """A row per text with its chunks, then a row with the id pairs of the block and those of each chunk."""
         lengths = np.fromiter(map(len, self.chunks), np.int64, len(self.chunks))
-        used, codes, times = np.unique(np.concatenate([np.zeros(0, np.int64), *self.chunks]), return_inverse=True, return_counts=True)
-        links = [aligner.links[i] for i in used.tolist()]
-        sizes = np.fromiter(map(len, links), np.int64, len(links))
-        pairs, of_chunks = np.unique(np.concatenate([np.zeros(0, np.int64), *links]), return_inverse=True)
+        numbers = np.concatenate([np.zeros(0, np.int64), *self.chunks])
+        times = np.bincount(numbers)
+        used = np.flatnonzero(times)
+        times, codes = times[used], (np.cumsum(times > 0) - 1)[numbers]
+        held = np.maximum(aligner.whole(aligner.counts)[3], 0)
+        sizes = held[used]
+        at = np.repeat(starts_of(held)[used] - starts_of(sizes), sizes) + np.arange(sizes.sum())
+        pairs, of_chunks = np.unique(aligner.whole(aligner.links)[at], return_inverse=True)
         counts = np.bincount(of_chunks, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
         firsts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         n = len(self.ids)
@@ -258,7 +268,8 @@ class Block:
         names = [c.split()[0] for c in FOUND.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([self.number] * n, pa.int64()), pa.array(self.ids, pa.int64()), *(pa.array(rows[:, i]) for i in range(4)),
                                           pa.array(self.digests, pa.string()), pa.array(packed, pa.binary()), *none], names=names)
-        one = [pa.array([pairs.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())),
+        ends = pa.array([0, len(pairs)], pa.int32())
+        one = [pa.ListArray.from_arrays(ends, pa.array(pairs)), pa.ListArray.from_arrays(ends, pa.array(counts)),
                pa.array([of_chunks.astype("<i4").tobytes()], pa.binary()), pa.array([firsts.tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), *(pa.nulls(1, pa.int64()) for _ in range(5)), pa.nulls(1, pa.string()),
                                           pa.nulls(1, pa.binary()), *one], names=names)
