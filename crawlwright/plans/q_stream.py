@@ -6,6 +6,7 @@ from crawlwright.operators.dedupe import resume_store_latest
 from crawlwright.plans.registry import query
 from crawlwright.sources.tables import read_table
 from crawlwright.streaming import jobs as S
+from crawlwright.streaming import scans as SC
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 PAGES = "page_id bigint, url string, html string"
@@ -49,6 +50,22 @@ def _(spark, d):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "first_sign")})
 
 
+@query("s2_stream_scan_alerts", f"""SELECT site, min(ts) AS scan_start, count(*) FILTER (fetch_code = 'http_429') AS rejects,
+      count(*) FILTER (fetch_code = 'deleted_home') AS home_redirects, min(ts) FILTER (fetch_code IN ('http_429', 'deleted_home')) AS first_sign
+    FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY site ORDER BY ts, seq) AS scan FROM (
+      SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY site ORDER BY ts, seq) > INTERVAL 2 HOUR, true) AS opens FROM ({_EV})))
+    GROUP BY site, scan HAVING count(*) FILTER (fetch_code = 'http_429') >= 3 OR count(*) FILTER (fetch_code = 'deleted_home') >= 5""")
+def _(spark, d):
+    folder, key = S.job_folder(spark, "s2s"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, SC.STORE)
+    try:
+        df = S.read_after(S.append_table(SC.scan_alerts(log_stream(spark, d), 7200), folder), spark, folder)
+    finally:
+        spark.conf.set(key, before)
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("scan_start", "first_sign")})
+
+
 _H = """count(*) AS fetches, count(*) FILTER (fetch_code = 'ok') AS ok, count(*) FILTER (fetch_code IN ('http_404', 'http_410')) AS gone,
     count(*) FILTER (fetch_code = 'http_429') AS rate_limited, count(*) FILTER (fetch_code = 'http_503') AS server_error,
     count(*) FILTER (fetch_code = 'conn_failed') AS connection"""
