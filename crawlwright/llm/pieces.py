@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from crawlwright.llm.common import slices, utf8
 
 BATCH_BYTES = 1 << 20
+REMEMBERED = 1 << 17
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER = 1, 2, 4
 
@@ -32,8 +34,12 @@ def default_model() -> str:
     return os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
-def rebuild(model: bytes):
-    """A ``tokenizers.Tokenizer`` with the behaviour of a serialised SentencePiece model."""
+def rebuild(model: bytes, own_ids: bool = False):
+    """A ``tokenizers.Tokenizer`` with the behaviour of a serialised SentencePiece model.
+
+    With ``own_ids`` it decodes what it has encoded and replaces markers once a text, not once a piece: no encoding spells a
+    marker in byte pieces, so the order makes no difference.
+    """
     from sentencepiece import sentencepiece_model_pb2 as pb
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
@@ -61,7 +67,8 @@ def rebuild(model: bytes):
     steps += [normalizers.Replace(" ", "▁")] if norm.escape_whitespaces else []
     out.normalizer = normalizers.Sequence(steps)
     out.add_tokens([AddedToken(p.piece, normalized=False) for p in pieces if p.type == USER])
-    undo = [decoders.Replace("▁", " "), decoders.ByteFallback(), decoders.Fuse()]
+    marks, joined = decoders.Replace("▁", " "), [decoders.ByteFallback(), decoders.Fuse()]
+    undo = [*joined, marks] if own_ids and any(p.piece == "▁" for p in pieces) else [marks, *joined]
     out.decoder = decoders.Sequence(undo + ([decoders.Strip(" ", 1, 0)] if norm.add_dummy_prefix else []))
     return out
 
@@ -77,10 +84,16 @@ def round_trips(tokenizer, ids: list[list[int]], raw: list[bytes]) -> list[bool]
 
 
 @lru_cache(maxsize=2)
-def _loaded(model: bytes):
+def _loaded(model: bytes, own_ids: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     import sentencepiece
-    return rebuild(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    return rebuild(model, own_ids), sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+@lru_cache(maxsize=2)
+def _known(model: bytes) -> dict[bytes, tuple[int, str, bool, bool]]:
+    """What a worker remembers of texts, by 128-bit names: copies are encoded, compared and decoded once.  At most ``REMEMBERED``."""
+    return {}
 
 
 PIECES = T.StructType([T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()),
@@ -94,14 +107,20 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
     ``ids_sha256`` is over the ids as little-endian 32-bit numbers; ``parity`` tells whether sentencepiece gives the same ids
     and ``round_trip`` whether decoding the ids gives the text.  Should parity fail for a text, its ids are sentencepiece's.
     A null text is like an empty one: no pieces, no ids.  Bytes that are not UTF-8 are read as U+FFFD and fail the round trip.
-    Whole texts are encoded.  All columns are kept (``pieces`` is replaced); ``ids`` is null without ``keep_ids``.
+    Whole texts are encoded; copies of a text are worked on once where a worker still knows them (by a 128-bit name).  All columns are kept (``pieces`` is replaced); ``ids`` is null without ``keep_ids``.
     """
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, reference = _loaded(model)
+        tokenizer, reference = _loaded(model, own_ids=True)
+        known = {} if keep_ids else _known(model)
         for batch in slices(batches, 0, BATCH_BYTES):
-            raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            if keep_ids or len(known) > REMEMBERED:
+                known.clear()
+            texts_of = batch.column(0).cast(pa.binary()).to_pylist()
+            names = [xxhash.xxh3_128_digest(t or b"") for t in texts_of]
+            fresh = {name: t or b"" for name, t in zip(names, texts_of) if name not in known}
+            raw = list(fresh.values())
             texts = [t.decode("utf-8", "replace") for t in raw]
             ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             truth = reference.encode(texts, num_threads=1)
@@ -109,13 +128,15 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, keep_ids: bool
             ids = truth if not all(same) else ids
             packed = [array("i", i) for i in ids]
             back = round_trips(tokenizer, ids, raw)
-            counts = np.array([len(i) for i in packed], np.int64)
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32),
-                                             np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(i, np.int32) for i in packed]]))
-            pieces = pa.StructArray.from_arrays(
-                [pa.array(counts), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in packed], pa.string()), pa.array(same, pa.bool_()),
-                 pa.array(back, pa.bool_()), lists if keep_ids else pa.nulls(len(raw), pa.list_(pa.int32()))],
-                names=["n_pieces", "ids_sha256", "parity", "round_trip", "ids"])
+            known.update((name, (len(i), hashlib.sha256(i.tobytes()).hexdigest(), s, b)) for name, i, s, b in zip(fresh, packed, same, back))
+            count, digest, parity, trip = ([*x] for x in zip(*map(known.__getitem__, names)))
+            lists = pa.nulls(len(names), pa.list_(pa.int32()))
+            if keep_ids:
+                own = dict(zip(fresh, packed))
+                flat = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(own[name], np.int32) for name in names]])
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(count))).astype(np.int32), flat)
+            pieces = pa.StructArray.from_arrays([pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(parity, pa.bool_()), pa.array(trip, pa.bool_()), lists],
+                                                names=["n_pieces", "ids_sha256", "parity", "round_trip", "ids"])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pieces], names=[*batch.schema.names[1:], "pieces"])
 
     kept = [c for c in docs.columns if c != "pieces"]
