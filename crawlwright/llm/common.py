@@ -57,3 +57,13 @@ def blocks_for(df: DataFrame, size: Column, block_bytes: int) -> int:
     """How many blocks of about ``block_bytes`` the rows need."""
     total = df.agg(F.sum(size).alias("n")).first()["n"] or 0
     return max(1, -(-int(total) // block_bytes))
+
+
+def one_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen`` (doc_id and other columns, few rows) with one text per doc_id: the one with the least hash, as bytes.
+
+    Texts of a doc_id that repeats are compared by hash before anything is moved, so a task sends one row per doc_id at most.
+    """
+    text = utf8("text")
+    found = docs.select("doc_id", F.xxhash64(text).alias("name"), text.alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", "name").alias("text")).join(F.broadcast(chosen), "doc_id")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlwright.llm.common import slices, utf8
+from crawlwright.llm.common import one_each, slices, utf8
 from crawlwright.llm.tokens import hashed, text_of
 
 BUCKETS = 1 << 12
@@ -113,11 +113,13 @@ def grade_of(labels: DataFrame) -> Column:
 
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int = 3, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fit on at most ``sample_rows`` rows of ``ratings`` (doc_id, grade 0 to levels - 1); several ratings of a text: the lowest."""
+    """Fit on at most ``sample_rows`` rows of ``ratings`` (doc_id, grade 0 to levels - 1); several ratings of a text: the lowest.
+
+    Of several rows with one doc_id the one with the least hash of its text stands for it.
+    """
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, levels - 1)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # at most sample_rows pairs of numbers
-    rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", F.col("grade").cast("int").alias("grade"), "text")
+    rows = one_each(docs, chosen).select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlwright.llm.common import slices, utf8
+from crawlwright.llm.common import one_each, slices, stash, utf8
 from crawlwright.llm.tokens import WORD, hashed, text_of
 
 BUCKETS = 1 << 20
@@ -102,8 +102,7 @@ class ToxicModel:
 def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # at most sample_rows pairs of numbers
-    return docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(chosen), "doc_id").select(
-        F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "text")
+    return stash(one_each(docs, chosen).select(F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "text"), "toxicity-sample")
 
 
 def _map(rows: DataFrame, each, schema: str, names: list[str]) -> DataFrame:
@@ -129,6 +128,8 @@ def _counts(labels: list[int], texts: list[str]) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
     """Fit on at most ``sample_rows`` rows of ``labels`` (doc_id, label); several labels of a text: the highest.
 
+    Of several rows with one doc_id the one with the least hash of its text stands for it.  The sample is written once and read
+    from there.
     With one class only, every text gets that class's side of 0.5.
     """
     rows = _sample(docs, labels, sample_rows)

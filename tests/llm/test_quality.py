@@ -45,3 +45,21 @@ def test_edges(spark, data):
     for part, kept in (("grade is null", True), ("grade = 2", True), ("grade = 0", False)):
         model = quality.train(docs, rated.where(part))
         assert {r["quality_score"]["kept"] for r in quality.score(df, model).collect()} == {kept}
+
+
+def test_sample_bound_holds_for_repeated_ids(spark, monkeypatch):
+    """3,000 rows with one doc_id give one row of the sample."""
+    from crawlwright.llm import common
+    docs = spark.createDataFrame([(7, f"text {i} of one id") for i in range(3000)] + [(i, f"other text {i}") for i in range(8, 40)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(7, 40)], "doc_id bigint, label int")
+    sizes, plain = [], common.one_each
+
+    def counted(*args):
+        out = plain(*args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(quality, "one_each", counted)
+    quality.train(docs, known.withColumnRenamed('label', 'grade'), sample_rows=10)
+    assert sizes == [10]
+    assert common.one_each(docs, known).where("doc_id = 7").count() == 1

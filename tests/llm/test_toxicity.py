@@ -62,3 +62,21 @@ def test_edges(spark, data):
     clean = toxicity.train(docs, known.where("label = 0"))
     assert {r["predicted"] for r in toxicity.score(df, clean).collect()} == {0}
     assert toxicity.train(docs, known.where("label is null")).counts.sum() == 0
+
+
+def test_sample_bound_holds_for_repeated_ids(spark, monkeypatch):
+    """3,000 rows with one doc_id give one row of the sample."""
+    from crawlwright.llm import common
+    docs = spark.createDataFrame([(7, f"text {i} of one id") for i in range(3000)] + [(i, f"other text {i}") for i in range(8, 40)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(7, 40)], "doc_id bigint, label int")
+    sizes, plain = [], common.one_each
+
+    def counted(*args):
+        out = plain(*args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(toxicity, "one_each", counted)
+    toxicity.train(docs, known, sample_rows=10)
+    assert sizes == [10]
+    assert common.one_each(docs, known).where("doc_id = 7").count() == 1
