@@ -5,10 +5,12 @@
   A pair at the limit of 0.8 shares no key with a probability of (1 - 0.8^5)^53 < 1e-9, more similar pairs with less.
 * Odd sketch: every (permutation, value) flips one bit of a bitmap.  The population count of two bitmaps' XOR grows with the
   share of differing samples; a pair is dropped above the count that a pair at the limit passes with a probability of 1e-9
-  (``most_flips`` computes it from the chain of bit flips), and by set sizes that exclude the limit.
+  (``most_flips`` computes it from the chain of bit flips).
+* A second odd sketch has all members of the set.  Its XOR has at most as many bits as the sets have differing members, and the
+  sizes bound how many a link may have: up to some 2,000 members this drops nearly all pairs below the limit, and never a link.
 * Links: what remains is decided by the intersection of the whole sets.
-* No group is expanded into pairs.  Rounds of stars: a bucket's most central member (it shares most keys with others) meets the
-  members, those that its component holds leave the bucket, and the next round takes the rest.  Then the members outside a
+* No group is expanded into pairs.  Rounds of stars: every document meets the most central member (it shares most keys with
+  others) that any of its buckets has; whoever met a bucket's centre leaves the bucket for the next round.  Then the members outside a
   bucket's main component meet all others of the bucket by their bitmaps, in blocks, so that no link between two components
   is lost; a bucket that one component holds costs nothing.
 """
@@ -29,14 +31,15 @@ from crawlwright.llm.simhash import components
 SHINGLE_WORDS = 2
 LEAST_PERCENT = 80
 ROWS, BANDS = 5, 53
-BITS = 512
+BITS, BITS_OF_ALL = 512, 2048
 MISS = 1e-9
 STAR_ROUNDS = 4
 BUCKET_BLOCK = 512
 CHUNK = 1 << 12
 WORDS_AT_ONCE = 1 << 16
 _U = np.uint64
-WORDS_OF_SKETCH = [f"s{i}" for i in range(BITS // 64)]
+OF_SAMPLES, OF_ALL = [f"s{i}" for i in range(BITS // 64)], [f"x{i}" for i in range(BITS_OF_ALL // 64)]
+SKETCHES = OF_SAMPLES + OF_ALL
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,20 +81,24 @@ def shingle_hashes(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> np.nd
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
+def parities(values: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap in which every value has flipped one bit."""
+    odd = (np.bincount((mixed(values) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, odd sketch) of a set that is not empty."""
+    """(band keys, odd sketch of the samples) of a set that is not empty."""
     least = np.full(ROWS * BANDS, _U(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(hashes), CHUNK):
         np.minimum(least, (hashes[at:at + CHUNK, None] * TIMES + PLUS).min(axis=0), out=least)
     keys = np.arange(1, BANDS + 1, dtype=_U)
     for column in least.reshape(BANDS, ROWS).T:
         keys = mixed(keys * _U(0x9E3779B97F4A7C15) + column)
-    places = mixed(least + np.arange(ROWS * BANDS, dtype=_U) * _U(0x9E3779B97F4A7C15)) & _U(BITS - 1)
-    odd = (np.bincount(places.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(odd, bitorder="little").view("<i8")
+    return keys.view(np.int64), parities(least + np.arange(ROWS * BANDS, dtype=_U) * _U(0x9E3779B97F4A7C15), BITS)
 
 
-MARKED = ", ".join(["doc_id long, t1 long, t2 long, high long, low long, n long, keys array<long>", *(f"{s} long" for s in WORDS_OF_SKETCH)])
+MARKED = ", ".join(["doc_id long, t1 long, t2 long, high long, low long, n long, keys array<long>", *(f"{s} long" for s in SKETCHES)])
 
 
 def signatures(batches: Iterator[pa.RecordBatch], words_per_shingle: int) -> Iterator[pa.RecordBatch]:
@@ -102,8 +109,8 @@ def signatures(batches: Iterator[pa.RecordBatch], words_per_shingle: int) -> Ite
         for text in b.column(3).to_pylist():
             hashes = shingle_hashes(text, words_per_shingle)
             name = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist()
-            keys, sketch = signature(hashes) if len(hashes) else (None, np.zeros(len(WORDS_OF_SKETCH), np.int64))
-            rows.append((*name, len(hashes), keys, *sketch.tolist()))
+            keys, sketch = signature(hashes) if len(hashes) else (None, np.zeros(len(OF_SAMPLES), np.int64))
+            rows.append((*name, len(hashes), keys, *sketch.tolist(), *parities(hashes, BITS_OF_ALL).tolist()))
         high, low, n, keys, *sketch = zip(*rows)
         yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, pa.int64()) for x in (high, low, n)), pa.array(keys, pa.list_(pa.int64())),
                                           *(pa.array(x, pa.int64()) for x in sketch)], names=names)
@@ -116,15 +123,16 @@ def set_rows(batches: Iterator[pa.RecordBatch], words_per_shingle: int) -> Itera
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(members, pa.list_(pa.int64()))], names=["node", "members"])
 
 
-def flips(a: str, b: str) -> Column:
+def flips(words: list[str], a: str, b: str) -> Column:
     """Differing bits of two odd sketches."""
-    return sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in WORDS_OF_SKETCH), F.lit(0))
+    return sum((F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in words), F.lit(0))
 
 
 def may_link(percent: int, most: int, a: str = "a_", b: str = "b_") -> Column:
-    """Can the sizes and the sketches belong to a link?"""
+    """Can the sizes and the sketches belong to a link?  A link has at most (100 - p) / (100 + p) of both sizes as differing members."""
     least, largest = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (100 * least >= percent * largest) & (flips(a, b) <= most)
+    differing = (100 + percent) * flips(OF_ALL, a, b) <= (100 - percent) * (least + largest)
+    return (100 * least >= percent * largest) & (flips(OF_SAMPLES, a, b) <= most) & differing
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -135,7 +143,7 @@ class Linker:
     """Links between nodes ``(node, n, s0..)`` from buckets ``(key, node)``."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
-        self.narrow = nodes.select("node", "n", *WORDS_OF_SKETCH)
+        self.narrow = nodes.select("node", "n", *SKETCHES)
         self.sets, self.percent, self.most = sets, percent, most_flips(percent / 100)
 
     def sifted(self, pairs: DataFrame) -> DataFrame:
@@ -158,30 +166,37 @@ def rooted(met: DataFrame, stars: DataFrame) -> DataFrame:
     return met.drop("root").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def star_round(left: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame]:
-    """(links, buckets with their centre): the most central member of each bucket meets the others of other components."""
-    centre = left.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("centre"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                     F.max_by("root", F.struct("score", "node")).alias("centre_root")).where("r0 <> r1").select("key", "centre", "centre_root")
+def star_round(left: DataFrame, linker: Linker) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, buckets with their centre, whom each node met): each node meets the most central of its buckets' centres that is in
+    another component."""
+    rank = F.struct("score", "node")
+    centre = left.groupBy("key").agg(F.max_by("node", rank).alias("centre"), F.max("score").alias("centre_score"), F.max_by("root", rank).alias("centre_root"),
+                                     F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").drop("r0", "r1")
     centre = stash(centre, "odd-centres")
-    pairs = left.join(centre, "key").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return stash(linker.confirmed(linker.sifted(pairs)), "odd-links"), centre
+    nearest = left.join(centre, "key").where("root <> centre_root").groupBy("node").agg(F.max_by("centre", F.struct("centre_score", "centre")).alias("centre"))
+    nearest = stash(nearest, "odd-nearest")
+    pairs = nearest.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return stash(linker.confirmed(linker.sifted(pairs)), "odd-links"), centre, nearest
 
 
 def rest_links(met: DataFrame, linker: Linker) -> DataFrame:
     """Links between what different components still hold of a bucket: the members outside its main component meet the others.
 
-    Large buckets are cut into blocks of about ``BUCKET_BLOCK`` members; a pair of blocks is one join key.
+    Large buckets are cut into blocks of about ``BUCKET_BLOCK`` members; a pair of blocks is one join key.  Two members that share
+    several buckets are compared for links in the first of those that are looked at here.
     """
     main = met.groupBy("key").agg(F.max_by("root", F.struct("score", "node")).alias("main"), F.min("root").alias("r0"), F.max("root").alias("r1"),
                                   F.count("*").alias("m")).where("r0 <> r1").select("key", "main", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    rows = met.select("key", "node", "root").join(main, "key").join(linker.narrow, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = stash(met.select("key", "node", "root").join(main, "key"), "odd-mixed")
+    keys = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a key per band at most
+    rows = rows.join(keys, "node").join(linker.narrow, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = stash(rows, "odd-rest")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     few = prefixed(rows.where("root <> main").withColumns({"i": F.col("own")}).select("*", every.alias("j")), "a_")
     all_of = prefixed(rows.withColumns({"j": F.col("own")}).select("*", every.alias("i")), "b_")
     met_once = (F.col("b_root") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))
     on = ((F.col("a_key") == F.col("b_key")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j")) & (F.col("a_root") != F.col("b_root"))
-          & met_once & may_link(linker.percent, linker.most))
+          & met_once & may_link(linker.percent, linker.most) & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")))
     pairs = few.join(all_of, on).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     return linker.confirmed(pairs)
 
@@ -201,14 +216,14 @@ def cluster(nodes: DataFrame, texts: DataFrame, percent: int, words_per_shingle:
     links, stars = None, nodes.sparkSession.createDataFrame([], "node long, root long")
     left = met = stash(rooted(met, stars), "odd-buckets")
     for _ in range(STAR_ROUNDS):
-        found, centre = star_round(left, linker)
-        if centre.isEmpty():
+        found, centre, nearest = star_round(left, linker)
+        if found.isEmpty():
             break
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            stars = components(links)
-        peeled = rooted(left, stars).join(rooted(centre.select("key", F.col("centre").alias("node")), stars).select("key", F.col("root").alias("of_centre")), "key")
-        left = stash(peeled.where("root <> of_centre").drop("of_centre"), "odd-left")
+        links = found if links is None else links.unionByName(found)
+        stars = components(links)
+        of_centre = rooted(centre.select("key", F.col("centre").alias("node")), stars).select("key", F.col("node").alias("centre"), F.col("root").alias("of_centre"))
+        peeled = rooted(left, stars).join(nearest.withColumnRenamed("centre", "tried"), "node", "left").join(of_centre, "key")
+        left = stash(peeled.where("root <> of_centre AND NOT centre <=> tried").drop("centre", "of_centre", "tried"), "odd-left")
     found = stash(rest_links(rooted(met, stars), linker), "odd-rest-links")
     if not found.isEmpty():
         stars = components(found if links is None else links.unionByName(found))
@@ -227,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, words_per_shi
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
     marked = stash(rows.mapInArrow(lambda batches: signatures(batches, words_per_shingle), MARKED), "odd-signatures")
     folded = marked.where("n > 0").groupBy("high", "low").agg(
-        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t1", "t2")).alias("of"), F.first(F.struct("n", "keys", *WORDS_OF_SKETCH)).alias("x"))
+        F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "t1", "t2")).alias("of"), F.first(F.struct("n", "keys", *SKETCHES)).alias("x"))
     nodes = stash(folded.select(F.monotonically_increasing_id().alias("node"), "high", "low", "first", "of.*", "x.*"), "odd-nodes")
     stars = cluster(nodes, rows, percent, words_per_shingle)
     placed = nodes.select("node", "high", "low", "first").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
