@@ -255,11 +255,11 @@ def _signal(types: Column, marks: Column, og_type: Column) -> Column:
     return out
 
 
-def read_pages_html(pages: DataFrame) -> DataFrame:
-    """One row per page with every fact, arrays nested: D1's page table before grading."""
+def read_pages_html(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page with every fact, arrays nested: D1's page table before grading.  Columns in ``keep`` come along."""
     cols = [c if c in pages.columns else F.lit("").alias(c) for c in ("site", "page_id", "url", "html", "robots_header")]
     url, bare = F.col("url"), F.col("_bare")
-    df = pages.select(*cols).withColumn("html", text(F.col("html")))
+    df = pages.select(*cols, *keep).withColumn("html", text(F.col("html")))
     df = df.withColumn("_bare", F.regexp_replace("html", "(?s)<!--.*?-->", " "))
     # stage by stage, so that what many facts need is computed once
     df = df.withColumns({
@@ -294,7 +294,7 @@ def read_pages_html(pages: DataFrame) -> DataFrame:
     types = F.concat_ws(" ", F.transform(F.filter(F.col("_any"), lambda t: t.rlike(r"(?i)\sitemtype")), lambda t: attr(t, "itemtype")))
     either = lambda a, b: F.when(a != "", a).otherwise(b)
     return df.select(
-        "site", "page_id", "url", html_title(bare).alias("title"), squeeze(either(own_text, og_text)).alias("meta_desc"),
+        *keep, "site", "page_id", "url", html_title(bare).alias("title"), squeeze(either(own_text, og_text)).alias("meta_desc"),
         F.when(canonical != "", resolve_href(url, canonical)).otherwise("").alias("canonical"),
         either(either(first_filled(h1(without(F.col("_seen"), "header|nav"))), first_filled(h1(F.col("_seen")))),
                squeeze(meta(metas, "property", "og:title"))).alias("h1"),
@@ -313,12 +313,12 @@ def read_pages_html(pages: DataFrame) -> DataFrame:
         said["items"].cast("int").alias("item_count"), F.length("html").alias("html_chars"), said["broken"].alias("ld_error"))
 
 
-def page_audit(facts: DataFrame) -> DataFrame:
-    """The page table: grades, canonical state, language and excerpt."""
+def page_audit(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The page table: grades, canonical state, language and excerpt.  Columns in ``keep`` come along."""
     same = url_key(F.col("canonical")) == url_key(F.col("url"))
     title_len, desc_len = F.length("title").cast("bigint"), F.length("meta_desc").cast("bigint")
     return facts.select(
-        "site", "page_id", "url", "title", title_len.alias("title_len"), grade_length(title_len, K.TITLE_BOUNDS).alias("title_status"),
+        *keep, "site", "page_id", "url", "title", title_len.alias("title_len"), grade_length(title_len, K.TITLE_BOUNDS).alias("title_status"),
         "meta_desc", desc_len.alias("desc_len"), grade_length(desc_len, K.DESC_BOUNDS).alias("desc_status"),
         F.col("h1").alias("display_name"), title_h1_match(F.col("title"), F.col("h1")).alias("h1_match"),
         (~F.col("noindex")).alias("indexable"), "html_signal", F.col("word_count").cast("bigint").alias("word_count"),

@@ -14,7 +14,7 @@ from crawlwright.plans.duck import view
 
 # The projection views use SQL that means the same in both engines: take it from the Spark view.
 for _name in ("fx_images", "fx_fetch_log", "fx_audit", "fx_sitemaps", "fx_sitemap_index", "fx_sitemap_fetches",
-              "fx_robots", "fx_feed", "fx_products", "fx_urls", "fx_suggestions", "fx_html"):
+              "fx_robots", "fx_feed", "fx_products", "fx_urls", "fx_suggestions", "fx_html", "fx_crawl"):
     _src = inspect.getsource(getattr(V, _name))
     _m = re.search(r'_sql\(spark, d, (r?)"""(.*?)"""', _src, re.S)
     _sql = _m.group(2) if _m.group(1) else _m.group(2).encode().decode("unicode_escape")

@@ -241,3 +241,39 @@ def fx_html(spark: SparkSession, d: str) -> DataFrame:
             '.example.com\\/products\\/emb-', p_partkey, '"}};</script><div class="load-more"></div></body></html>')
             AS html
         FROM {part}""", part="part")
+
+
+def fx_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """Every landed page with its fetch, on five sites and one that holds a third of all, with the head and the pictures a shop writes."""
+    return _sql(spark, d, r"""
+        SELECT site, page_id, url, status, listed, product, descr, final_url, canon,
+          CASE WHEN status <> 200 OR final_url = url THEN NULL WHEN page_id % 23 <> 5 AND page_id % 2 = 0 THEN 302 ELSE 301 END AS first_hop,
+          concat('<meta name="description" content="', descr, '"><link rel="canonical" href="', canon, '">',
+            CASE site WHEN 's1.example.com' THEN '<link rel="preload" href="https://media.zid.sa/a.css">'
+              WHEN 's2.example.com' THEN '<link rel="preload" href="https://cdn.shopify.com/a.css">' ELSE '' END,
+            CASE WHEN indexable THEN '' ELSE '<meta name="robots" content="noindex">' END,
+            CASE WHEN product THEN concat('<script type="application/ld+json">{{"@type":"Product","name":"Lamp number ', page_id % 60,
+              '","image":["https://cdn.example.com/i/', page_id, '.jpg"]}}</script><img src="https://cdn.example.com/i/', page_id, '.jpg" alt="',
+              CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'photo' WHEN 2 THEN concat('Lamp number ', page_id % 60, ' azure copper shade')
+                ELSE concat('Lamp number ', page_id % 60) END,
+              '"><img src="https://cdn.example.com/i/', page_id, '_800x.jpg" alt="Side view">')
+              ELSE concat('<img src="https://cdn.example.com/b/', page_id, '.png" alt="Story picture ', page_id % 30, '">') END,
+            CASE WHEN page_id % 2 = 0 THEN concat('<img src="https://cdn.example.com/banner.webp" alt="Big sale banner"><a href="/products/item-lamp-',
+              page_id + 9, '">more</a>') ELSE '' END, body) AS html, indexable
+        FROM (SELECT *, CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 41 = 1 THEN concat('https://', site, '/')
+                WHEN site = 's4.example.com' THEN concat('https://', site, '/collections/all')
+                WHEN page_id % 7 = 2 THEN concat('https://', site, '/products/item-lamp-', page_id - page_id % 50) ELSE final_url END AS canon
+          FROM (SELECT *, CASE WHEN status <> 200 THEN url WHEN page_id % 23 = 5 THEN concat('https://', site, '/')
+                  WHEN page_id % 19 = 4 THEN concat(url, '-moved') ELSE url END AS final_url
+            FROM (SELECT page_id, body, site, page_id % 8 IN (1, 2, 3, 7) AS product, page_id % 4 <> 3 AS listed, page_id % 14 <> 3 AS indexable,
+                CASE WHEN page_id % 29 = 0 THEN 404 WHEN page_id % 31 = 0 THEN 429 WHEN page_id % 37 = 0 THEN 503 ELSE 200 END AS status,
+                CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Our best lamps' WHEN 2 THEN concat('Lamps of series ', page_id % 40,
+                  ' with shades in many colours, made by hand and sent within two days to every town of the country') ELSE
+                  concat('Number ', page_id, ' of our lamps has a warm light, a long cord and a shade that keeps its colour for years') END AS descr,
+                concat('https://', site, CASE page_id % 8 WHEN 0 THEN concat('/', w) WHEN 3 THEN concat('/products/Blue_Bolt-', page_id)
+                  WHEN 4 THEN concat('/categories/', w, '-', page_id) WHEN 5 THEN concat('/blog/', w, '-', page_id)
+                  WHEN 6 THEN concat('/pages/', w, '-', page_id) WHEN 7 THEN concat('/products/item-lamp-', page_id - page_id % 50)
+                  ELSE concat('/products/item-lamp-', page_id) END) AS url
+              FROM (SELECT page_id, coalesce(html, '') AS body, CASE WHEN regexp_extract(coalesce(html, ''), '<a href="/([A-Za-z]+)"', 1) = '' THEN 'start' ELSE regexp_extract(coalesce(html, ''), '<a href="/([A-Za-z]+)"', 1) END AS w,
+                  CASE WHEN page_id % 3 = 0 THEN 'hot.example.com' ELSE concat('s', page_id % 5, '.example.com') END AS site FROM {pages}))))""",
+                pages="pages")
