@@ -26,29 +26,28 @@ from crawlwright.session import cut
 from crawlwright.sources import runs
 from crawlwright.sources.sitemaps import collect_sitemap_urls, sitemap_locs
 
-FETCH = ("req_url", "status", "content_type", "final_url", "hops")
-OUTCOME = ("fetch_code", "available", "moved", "final_url", "chain")
+FETCH = ("req_url", "status", "content_type", "final_url", "hops", "home_url")
+OUTCOME = ("fetch_code", "available", "moved", "final_url", "chain", "home_url")
 SAID = ("title", "meta_desc", "display_name", "declared_name", "sku", "declared_brand", "category", "product_desc", "excerpt", "html_signal")
 COUNTED = ("word_count", "total_images", "declared_images")
 
 
-def read_facts(landed: DataFrame, homes: DataFrame) -> DataFrame:
-    """A2 and D1-D5 in one pass over the HTML.
+def read_facts(landed: DataFrame) -> DataFrame:
+    """A2 and D1-D5 in one pass over the HTML, without a shuffle.
 
-    ``landed``: site, page_id, url (requested), html, status, content_type, final_url, hops.  Addresses in a page are relative to
-    where it was served.  A null or empty final address means the requested one.
+    ``landed``: site, page_id, url (requested), html, status, content_type, final_url, hops, home_url.  Addresses in a page are
+    relative to where it was served.  A null or empty final address means the requested one.
     """
     served = F.when(text(F.col("final_url")) != "", F.col("final_url")).otherwise(F.col("url"))
     pages = landed.withColumns({"req_url": F.col("url"), "url": clean_url(served), "final_url": served})
     facts = X.read_pages_html(pages, FETCH).withColumn("canonical_url", F.col("canonical"))
-    return R.classify_fetch(facts, homes).drop("canonical_url", "status", "content_type", "hops")
+    return R.classify_fetch(facts).drop("canonical_url", "status", "content_type", "hops")
 
 
-def page_rows(facts: DataFrame, homes: DataFrame, sitemap_keys: DataFrame, links: DataFrame) -> DataFrame:
+def page_rows(facts: DataFrame, sitemap_keys: DataFrame, links: DataFrame) -> DataFrame:
     """Raw page rows: D1's columns, outcome, C1's type and the F2 flags.  Pages that did not answer say nothing (empty texts, zero counts)."""
     up = F.col("available")
     df = X.page_audit(facts, ("req_url", *OUTCOME)).withColumnsRenamed({"page_id": "seq", "brand": "declared_brand"})
-    df = df.join(homes, "site", "left")
     df = df.withColumns({"url": F.when(up, F.col("url")).otherwise(clean_url(F.col("req_url"))),
                          **{c: F.when(up, F.col(c)).otherwise("") for c in SAID},
                          **{c: F.when(up, F.col(c)).otherwise(0).cast("bigint") for c in COUNTED},
@@ -87,16 +86,21 @@ def run_audit(spark: SparkSession, landed: DataFrame, sitemap_files: DataFrame,
     def keep(name: str, df: DataFrame) -> DataFrame:
         return runs.write_table(df, path, name, run)
 
-    homes = landed.select("site").distinct().withColumn("home_url", F.concat(F.lit("https://"), "site", F.lit("/"))) if homes is None else homes
+    root = F.concat(F.lit("https://"), "site", F.lit("/"))
+    if homes is None:
+        landed = landed.withColumn("home_url", root)
+    else:
+        known = homes.select("site", F.col("home_url").alias("_home_url"))
+        landed = landed.join(known, "site", "left").withColumn("home_url", F.coalesce("_home_url", root)).drop("_home_url")
     platforms = keep("platforms", detect_platform(landed.select(
         "site", F.col("page_id").alias("seq"), "html", F.lit("").alias("headers"), "url")))
-    facts = keep("facts", read_facts(landed, homes))
+    facts = keep("facts", read_facts(landed))
     live = facts.where("available")
     links, images = keep("links", X.page_link_rows(live)), keep("images", X.page_images(live))
     keep("next_pages", X.listing_next(live))
     locs = sitemap_locs(sitemap_files).select("site", F.col("pos").alias("seq"), "loc")
     listed = keep("sitemap_urls", collect_sitemap_urls(locs))
-    pages = keep("pages", page_rows(facts, homes, listed.select("site", F.col("url_key").alias("key")), links))
+    pages = keep("pages", page_rows(facts, listed.select("site", F.col("url_key").alias("key")), links))
 
     redirects = keep("redirects", R.redirect_report(pages))
     kept, canonicals = DD.dedupe_pages(pages)

@@ -14,14 +14,13 @@ from crawlwright.functions.urls import (clean_url, match_path, normalize_url, pa
 ARROW = " → "
 
 
-def classify_fetch(fetch_log: DataFrame, sites: DataFrame) -> DataFrame:
+def classify_fetch(fetch_log: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """A2: outcome code, moved flag, final URL and redirect chain of every request.
 
     ``fetch_log``: site, seq, req_url, status, content_type, final_url, hops array<int>, canonical_url.
-    ``sites``: site, home_url.
+    ``sites``: site, home_url; without it every row carries its ``home_url``, and nothing is shuffled.
     """
     had = [c for c in fetch_log.columns if c not in ("fetch_code", "available", "moved", "chain", "final_url")]
-    homes = sites.select("site", url_key(normalize_url(F.col("home_url"))).alias("_home"))
     known = F.struct(
         F.col("_home").alias("home"), url_key(clean_url(F.col("req_url"))).alias("req_key"),
         clean_url(F.col("final_url")).alias("final"),
@@ -51,7 +50,9 @@ def classify_fetch(fetch_log: DataFrame, sites: DataFrame) -> DataFrame:
             F.when(~quiet & (gone_home | k["moved"]), k["final"]).otherwise("").alias("final_url"),
             F.when(quiet | ((c == K.FETCH_OK) & ~k["moved"]), "").otherwise(chain).alias("chain"))
 
-    df = fetch_log.join(homes, "site", "left").withColumn("_r", let(known, judge))
+    home = url_key(normalize_url(F.col("home_url"))).alias("_home")
+    df = fetch_log.withColumn("_home", home) if sites is None else fetch_log.join(sites.select("site", home), "site", "left")
+    df = df.withColumn("_r", let(known, judge))
     return df.select(*had, *[F.col("_r")[n].alias(n) for n in ("fetch_code", "available", "moved", "final_url", "chain")])
 
 
