@@ -69,7 +69,8 @@ def test_audit_of_odd_pages(spark, tmp_path):
         ("y.com", 2, None, None, None, None, None, None)], LANDED)
     maps = spark.createDataFrame([("x.com", "m", 0, "<urlset><loc>https://x.com/products/two</loc><loc>https://x.com/gone</loc></urlset>"),
                                   ("x.com", "m", 1, None)], MAPS)
-    out = run_audit(spark, landed, maps, str(tmp_path), "one", AT)
+    homes = spark.createDataFrame([("x.com", "https://x.com/"), ("z.com", "https://z.com/shop")], "site string, home_url string")
+    out = run_audit(spark, landed, maps, str(tmp_path), "one", AT, homes)
     audit = {(r["site"], r["seq"]): r for r in out["audit"].collect()}
     codes = {k[1]: r["fetch_code"] for k, r in audit.items() if k[0] == "x.com"}
     assert codes == {1: "ok", 2: "ok", 3: "http_404", 4: "deleted_home", 5: "ok", 6: "conn_failed"}
