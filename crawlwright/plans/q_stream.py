@@ -26,7 +26,9 @@ def log_stream(spark, d):
     FROM ({_EV}) WHERE fetch_code IN ('ok', 'http_404', 'http_410') AND ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR) WHERE rn = 1""")
 def _(spark, d):
     folder = S.job_folder(spark, "s1")
-    store = S.read_after(S.start_resume_store(log_stream(spark, d), folder), spark, folder).drop("batch")
+    log = log_stream(spark, d)
+    S.start_resume_store(log, folder).awaitTermination()
+    store = S.resume_store(log, folder).read(spark)
     now = read_table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
     return resume_store_latest(store, now).select("site", "key", "seq", "fetch_code")
 
@@ -99,5 +101,7 @@ def _(spark, d):
 @query("s5_stream_link_counts", "SELECT site, dst_key, count(*) AS n_pages FROM page_links GROUP BY 1, 2")
 def _(spark, d):
     folder = S.job_folder(spark, "s5")
-    S.start_versions(S.link_counts(S.landing_stream(spark, d, PAGES, "pages.parquet")), folder).awaitTermination()
-    return S.newest_versions(spark, folder, ["site", "dst_key"])
+    counts = S.link_counts(S.landing_stream(spark, d, PAGES, "pages.parquet"))
+    store = S.link_count_store(counts, folder)
+    store.start(counts, "update").awaitTermination()
+    return store.read(spark)

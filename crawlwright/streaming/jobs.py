@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crawlwright import constants as K
-from crawlwright.functions.rank import first_per
 from crawlwright.operators.pages import page_facts, page_links
 from crawlwright.session import ensure_checkpoint_dir
+from crawlwright.streaming.store import KeyedStore
 
 
 def landing_stream(spark: SparkSession, folder: str, schema: str, glob: str | None = None, files_per_batch: int = 1000
@@ -45,20 +45,19 @@ def first_results(log: DataFrame) -> DataFrame:
     return (log.withWatermark("ts", f"{K.RESUME_SECONDS} seconds").dropDuplicatesWithinWatermark(["site", "key"]))
 
 
-def latest_in_batch(batch: DataFrame) -> DataFrame:
-    ok = (F.col("fetch_code") == K.FETCH_OK) | F.col("fetch_code").isin(*K.GONE_CODES)
-    return first_per(batch.where(ok), ["site", "key"], [-F.col("seq")])
+def usable(log: DataFrame) -> DataFrame:
+    """Results that a later scan may take over: success or gone."""
+    return log.where((F.col("fetch_code") == K.FETCH_OK) | F.col("fetch_code").isin(*K.GONE_CODES))
 
 
-def start_resume_store(log: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """S1, last wins: every batch appends one row per key; ``resume_store_latest`` over the table is the store.
+def resume_store(log: DataFrame, folder: str, **options) -> KeyedStore:
+    """S1, last wins: the newest row per key by ``seq``; merges drop what is older than a result may be.  ``resume_store_latest`` over
+    ``read`` is the store at a given time.  ``seq`` follows ``ts`` within a key."""
+    return KeyedStore(folder, log.schema, ["site", "key"], "seq", retain=("ts", K.RESUME_SECONDS), **options)
 
-    A batch is written under its own number, so a replayed batch replaces itself.
-    """
-    def write(batch: DataFrame, number: int) -> None:
-        latest_in_batch(batch).write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
-    return (log.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress")
-            .trigger(**(trigger or {"availableNow": True})).start())
+
+def start_resume_store(log: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    return resume_store(log, folder).start(usable(log), **trigger)
 
 
 # --- S2 -----------------------------------------------------------------------------------------------
@@ -119,6 +118,11 @@ def link_counts(pages: DataFrame) -> DataFrame:
     return page_links(pages).groupBy("site", "dst_key").agg(F.count("*").alias("n_pages"))
 
 
+def link_count_store(counts: DataFrame, folder: str, **options) -> KeyedStore:
+    """The newest count per target; start it in update mode, so a batch writes the targets that changed."""
+    return KeyedStore(folder, counts.schema, ["site", "dst_key"], **options)
+
+
 def read_after(query: StreamingQuery, spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
     """Wait for an ``availableNow`` run and read its table."""
     query.awaitTermination()
