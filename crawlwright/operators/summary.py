@@ -189,12 +189,16 @@ def template_reading_checks(audit: DataFrame, images: DataFrame) -> DataFrame:
             .select("site", F.col("c.check").alias("check"), F.col("c.n").cast("bigint").alias("n")))
 
 
-def self_checks(facts: DataFrame) -> DataFrame:
+def self_checks(facts: DataFrame, signs: DataFrame | None = None) -> DataFrame:
     """``(site, ord, check, level, value)`` from one wide fact row per site.
 
     Needs: platform, total_urls, partial, files_ok, live_pages, unreachable_pages, suspicious_home, home_suspicious,
-    template_issues, store_total, products, unclassified, product_pages, products_with_images.
+    template_issues, store_total, products, unclassified, product_pages, products_with_images.  Where facts have them, these get rows
+    of their own: retry_aborted (a warning, so it changes the verdict), auto_gentle, cache_hits, template_images; null counts as no.
+    With ``signs`` (J3) every sign of a misread template is a warning of its own, all at the place of ``template``, and
+    template_issues is not needed; sites without signs pass if any page was tried.
     """
+    facts = facts if signs is None else facts.join(signs.select("site", F.lit(True).alias("_signs")).distinct(), "site", "left")
     n_ok = F.col("live_pages")
     tried = n_ok + F.col("unreachable_pages") + F.col("suspicious_home")
     pct = F.round(F.try_divide(n_ok, tried) * 100, 1)
@@ -206,6 +210,17 @@ def self_checks(facts: DataFrame) -> DataFrame:
     def row(name: str, shown: Column, level: Column, value: Column) -> Column:
         return F.struct(F.lit(name).alias("check"), F.when(shown, level).alias("level"), value.cast("double").alias("value"))
     yes = F.lit(True)
+
+    def told(name: str, column: str, level: str) -> list[Column]:
+        if column not in facts.columns:
+            return []
+        n = F.coalesce(F.col(column).cast("bigint"), F.lit(0))
+        return [row(name, n > 0, F.lit(level), n)]
+
+    if signs is None:
+        template = row("template", yes, F.when(F.col("template_issues") > 0, "warn").otherwise("pass"), F.col("template_issues"))
+    else:
+        template = row("template", F.col("_signs").isNull() & (tried > 0), F.lit("pass"), F.lit(0))
     rows = [
         row("platform", yes, F.when(F.col("platform").isin(*K.SUPPORTED_PLATFORMS), "pass").otherwise("warn"), F.lit(None)),
         row("sitemap", yes, F.when(F.col("total_urls") == 0, "warn").when(F.col("partial"), "warn")
@@ -213,18 +228,28 @@ def self_checks(facts: DataFrame) -> DataFrame:
         row("crawl_size", yes, F.when(n_ok < 5, "fail").otherwise("pass"), n_ok),
         row("completeness", tried > 0, F.when(pct < 85, "fail").when(pct < 97, "warn").otherwise("pass"), pct),
         row("home_redirects", F.col("home_suspicious"), F.lit("fail"), F.col("suspicious_home")),
-        row("template", yes, F.when(F.col("template_issues") > 0, "warn").otherwise("pass"), F.col("template_issues")),
+        *told("retry_stopped", "retry_aborted", "warn"),
+        template,
         row("counts_match", yes, F.when((F.coalesce("store_total", F.lit(0)) > 0) & (F.abs(gap) > tolerance) & (gap > 0), "warn")
             .otherwise("pass"), gap),
+        *told("gentle_mode", "auto_gentle", "pass"),
+        *told("resumed", "cache_hits", "pass"),
+        *told("template_images", "template_images", "pass"),
         row("products_found", (n_ok >= 2) | (F.col("products") > 0), F.when(F.col("products") == 0, "fail").otherwise("pass"),
             F.col("products")),
         row("classification", n_ok > 0, F.when(unk > 25, "fail").when(unk > 10, "warn").otherwise("pass"), F.round(unk, 1)),
         row("product_images", F.col("product_pages") >= 3, F.when(pics == 0, "fail").when(pics < 60, "warn").otherwise("pass"),
             F.round(pics, 1)),
     ]
-    return (facts.select("site", F.posexplode(F.array(*rows)).alias("ord", "c")).where("c.level IS NOT NULL")
-            .select("site", F.col("ord").cast("bigint").alias("ord"), F.col("c.check").alias("check"), F.col("c.level").alias("level"),
-                    F.col("c.value").alias("value")))
+    checks = (facts.select("site", F.posexplode(F.array(*rows)).alias("ord", "c")).where("c.level IS NOT NULL")
+              .select("site", F.col("ord").cast("bigint").alias("ord"), F.col("c.check").alias("check"), F.col("c.level").alias("level"),
+                      F.col("c.value").alias("value")))
+    if signs is None:
+        return checks
+    place = 5 + len(told("", "retry_aborted", ""))
+    warnings = signs.join(facts.select("site"), "site", "left_semi").select(
+        "site", F.lit(place).cast("bigint").alias("ord"), "check", F.lit("warn").alias("level"), F.col("n").cast("double").alias("value"))
+    return checks.unionByName(warnings)
 
 
 def verdicts(checks: DataFrame) -> DataFrame:

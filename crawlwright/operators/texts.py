@@ -128,13 +128,18 @@ def validate_suggestions(rows: DataFrame, ratio: bool = True) -> DataFrame:
         "_tdup", "_ddup", "_allowed", "_offers", "_shown")
 
 
+def _own_alt_notes(a: Column) -> tuple[Column, ...]:
+    """What an alt text shows on its own."""
+    return (_length_note(a, K.ALT_MIN_SUGGESTED, K.ALT_MAX, "alt"), F.when(text(a).rlike(edges(K.ALT_IMAGE_OF_PATTERN)), "says_image"),
+            F.when(_promo(a, F.lit(False), F.lit(False)), "promo"))
+
+
 def validate_alts(rows: DataFrame, ratio: bool = True) -> DataFrame:
     """K3.  ``rows``: site, page_url, seq, image_url, alt, current_alt."""
     df = _repeats(rows, ["site", "page_url"], "alt", "_dup")
     a = F.col("alt")
     notes = F.array_compact(F.array(
-        _length_note(a, K.ALT_MIN_SUGGESTED, K.ALT_MAX, "alt"), F.when(text(a).rlike(edges(K.ALT_IMAGE_OF_PATTERN)), "says_image"),
-        F.when(_promo(a, F.lit(False), F.lit(False)), "promo"), F.when(copied(a, F.col("current_alt"), ratio), "copied"),
+        *_own_alt_notes(a), F.when(copied(a, F.col("current_alt"), ratio), "copied"),
         F.when(F.col("_dup"), "duplicate")))
     df = df.withColumn("alt_notes", F.array_join(notes, ",")).drop("_dup")
     return df.withColumn("status", _status(F.col("alt_notes") == ""))
@@ -175,6 +180,22 @@ def apply_edits(saved: DataFrame, edits: DataFrame, kind: str = "title", suffixe
     return df.withColumn("status", F.when(F.col("_changed"), _status(ok)).otherwise(F.col("status"))).select(*saved.columns)
 
 
+def apply_alt_edits(saved: DataFrame, edits: DataFrame) -> DataFrame:
+    """K5 for pictures: upsert edited alt texts, check each on its own (length, "image of", promotion) and mark it.
+
+    ``saved``: site, id (the picture), alt, alt_notes, status, edited.  ``edits``: site, id, seq, text; the last per picture counts, a null
+    text empties the alt, and an edit that changes nothing leaves the row as it is.
+    """
+    new = first_per(edits.select("site", "id", "seq", strip(text(F.col("text"))).alias("_new")), ["site", "id"], [-F.col("seq")]).drop("seq")
+    a = F.col("_new")
+    changed = a.isNotNull() & (a != text(F.col("alt")))
+    notes = F.array_join(F.array_compact(F.array(*_own_alt_notes(a))), ",")
+    df = saved.join(new, ["site", "id"], "left").withColumns({
+        "alt": F.when(changed, a).otherwise(F.col("alt")), "alt_notes": F.when(changed, notes).otherwise(F.col("alt_notes")),
+        "status": F.when(changed, _status(notes == "")).otherwise(F.col("status")), "edited": F.coalesce("edited", F.lit(False)) | changed})
+    return df.select(*saved.columns)
+
+
 def keep_edited(saved: DataFrame) -> DataFrame:
     """K5: what a regeneration keeps."""
     return saved.where(F.coalesce("edited", F.lit(False)))
@@ -225,6 +246,24 @@ def compact_file(work: DataFrame, suggestions: DataFrame, field: str = "title")
                      "proposed", "note")
 
 
+def alts_before_after(items: DataFrame, suggestions: DataFrame, only_found: bool = True) -> DataFrame:
+    """F9 for pictures: the pictures that need a text (``items_from_images``) with the proposed alt, its length, its state and the note.
+
+    ``suggestions``: site, id (the picture), alt, alt_notes; one row per picture.
+    """
+    s = suggestions.select("site", F.col("id").alias("image_url"), F.col("alt").alias("_alt"), F.col("alt_notes").alias("_notes"))
+    p, note = text(F.col("_alt")), text(F.col("_notes"))
+    df = items.join(s, ["site", "image_url"], "inner" if only_found else "left")
+    state = F.when(p == "", "not_generated").when(note == "", "ok").otherwise("needs_review")
+    return df.withColumns({"proposed": p, "proposed_len": F.when(p != "", F.length(p)).cast("bigint"), "proposal_state": state, "note": note}).drop("_alt", "_notes")
+
+
+def compact_alt_file(items: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """name, page, picture, current and new alt of every picture with a proposal."""
+    df = alts_before_after(items, suggestions).where("proposed <> ''")
+    return df.select("site", "seq", "name", F.col("page_url").alias("url"), "image_url", text(F.col("alt")).alias("current"), "proposed", "note")
+
+
 def client_sample(rows: DataFrame, needed: DataFrame) -> DataFrame:
     """K8: a few accepted texts per site, by priority, no name twice and no two alike.
 

@@ -272,8 +272,12 @@ def page_name(columns) -> Column:
             .otherwise(F.element_at(F.split(path, "/"), -1)))
 
 
+MATERIAL = ("excerpt", "product_desc", "category", "declared_brand")
+
+
 def items_from_scan(titles: DataFrame, descs: DataFrame, audit: DataFrame) -> DataFrame:
-    """F8: pages that need a text, what they need, and the facts of the page."""
+    """F8: pages that need a text, what they need, and the facts of the page: what the audit knows of ``excerpt``, ``product_desc``,
+    ``category`` and ``declared_brand`` comes along as material for the text, empty where a page or the audit has none."""
     need = titles.select("site", "url", F.lit("title").alias("f")).unionByName(
         descs.select("site", "url", F.lit("desc").alias("f")))
     need = need.groupBy("site", "url").agg(F.array_sort(F.collect_set("f")).alias("need"))      # one or two values
@@ -281,7 +285,8 @@ def items_from_scan(titles: DataFrame, descs: DataFrame, audit: DataFrame) -> Da
     df = need.join(facts, ["site", "url"], "left")
     fixed = F.when(F.array_contains("need", "title"), text(F.col("fixed_title"))).otherwise("")
     return df.select("site", "url", "seq", "page_type", page_name(df.columns).alias("name"), text(F.col("title")).alias("title"),
-                     text(F.col("meta_desc")).alias("meta_desc"), F.array_join("need", ",").alias("need"), fixed.alias("fixed_title"))
+                     text(F.col("meta_desc")).alias("meta_desc"), F.array_join("need", ",").alias("need"), fixed.alias("fixed_title"),
+                     *[(text(F.col(c)) if c in df.columns else F.lit("")).alias(c) for c in MATERIAL])
 
 
 def items_from_images(lists: DataFrame, audit: DataFrame) -> DataFrame:
@@ -291,5 +296,5 @@ def items_from_images(lists: DataFrame, audit: DataFrame) -> DataFrame:
     facts = first_per(audit.select("site", "url", "seq", "page_type", "display_name"), ["site", "url"], [F.col("seq")])
     facts = facts.select("site", F.col("url").alias("page_url"), page_name(facts.columns).alias("name"), "page_type")
     return one.join(facts, ["site", "page_url"], "left").select(
-        "site", "image_url", "page_url", text(F.col("name")).alias("name"), text(F.col("page_type")).alias("page_type"), "alt")
+        "site", "image_url", "page_url", text(F.col("name")).alias("name"), text(F.col("page_type")).alias("page_type"), "alt", "seq")
 

@@ -137,7 +137,7 @@ _TIMAGES = """SELECT concat('s', l_orderkey % 4) AS site, concat('https://x/', l
     ELSE concat('https://c/', l_orderkey, '-', l_linenumber, '.jpg') END AS image_url FROM {lineitem} WHERE l_orderkey % 4 <> 3 OR l_orderkey % 3 = 0"""
 
 
-@query("j3_template_reading_checks", f"""WITH a AS ({_TAUDIT.replace('{lineitem}', 'lineitem')}), i AS ({_TIMAGES.replace('{lineitem}', 'lineitem')}),
+view("j3_signs", f"""WITH a AS ({_TAUDIT.replace('{lineitem}', 'lineitem')}), i AS ({_TIMAGES.replace('{lineitem}', 'lineitem')}),
     f AS (SELECT site, count(*) AS p, count(*) - count(*) FILTER (url IN (SELECT page_url FROM i)) AS noimg,
         max(tn) FILTER (title <> '') AS tt, max(dn) FILTER (meta_desc <> '') AS td FROM (SELECT *, count(*) OVER (PARTITION BY site, title) AS tn,
         count(*) OVER (PARTITION BY site, meta_desc) AS dn FROM a) GROUP BY 1),
@@ -145,6 +145,9 @@ _TIMAGES = """SELECT concat('s', l_orderkey % 4) AS site, concat('https://x/', l
     SELECT site, name AS "check", v AS n FROM f JOIN g USING (site), LATERAL (VALUES ('fewer_images_than_products', n, p >= 10 AND n < p),
       ('products_without_images', noimg, p >= 10 AND noimg > p * 0.3), ('truncated_image_urls', cut, cut > 0),
       ('one_title_on_most_pages', tt, p >= 20 AND tt > p * 0.5), ('one_description_on_most_pages', td, p >= 20 AND td > p * 0.5)) c(name, v, hit) WHERE hit""")
+
+
+@query("j3_template_reading_checks", """SELECT site, "check", n FROM j3_signs""")
 def _(spark, d):
     li = read_table(spark, d, "lineitem")
     return S.template_reading_checks(spark.sql(_TAUDIT, lineitem=li), spark.sql(_TIMAGES, lineitem=li))
@@ -190,6 +193,33 @@ def _(spark, d):
     return S.verdicts(S.self_checks(facts(spark, d)))
 
 
+_TOLD = """SELECT *, files_ok % 2 = 1 AS retry_aborted, total_urls % 3 = 0 AS auto_gentle, total_urls % 4 AS cache_hits, files_ok % 5 AS template_images FROM {f}"""
+view("self_chk_whole", f"""SELECT site, CASE WHEN ord < 5 THEN ord WHEN ord = 6 THEN 7 ELSE ord + 4 END AS ord, "check", level, value FROM self_chk WHERE "check" <> 'template'
+    UNION ALL SELECT site, o, c, lv, v FROM ({_TOLD.replace('{f}', '(' + _FACTS.replace('{orders}', 'orders') + ')')}), LATERAL (VALUES
+      (5, 'retry_stopped', 'warn', retry_aborted::INT), (8, 'gentle_mode', 'pass', auto_gentle::INT), (9, 'resumed', 'pass', cache_hits),
+      (10, 'template_images', 'pass', template_images), (6, 'template', 'pass', CASE WHEN live_pages + unreachable_pages + suspicious_home > 0
+        AND site NOT IN (SELECT site FROM j3_signs) THEN 0 ELSE -1 END)) t(o, c, lv, v) WHERE v > 0 OR (c = 'template' AND v = 0)
+    UNION ALL SELECT site, 6, "check", 'warn', n FROM j3_signs WHERE site IN (SELECT site FROM self_chk)""")
+
+
+def whole_checks(spark, d):
+    told = spark.sql(_TOLD, f=facts(spark, d))
+    li = read_table(spark, d, "lineitem")
+    return S.self_checks(told, S.template_reading_checks(spark.sql(_TAUDIT, lineitem=li), spark.sql(_TIMAGES, lineitem=li)))
+
+
+@query("j4_self_checks_whole", """SELECT site, ord::BIGINT AS ord, "check", level, value::DOUBLE AS value FROM self_chk_whole""")
+def _(spark, d):
+    return whole_checks(spark, d)
+
+
+@query("j4_verdicts_whole", """SELECT site, count(*) FILTER (level = 'fail') AS fails, count(*) FILTER (level = 'warn') AS warns,
+    CASE WHEN count(*) FILTER (level = 'fail') > 0 THEN 'blocked' WHEN count(*) FILTER (level = 'warn') > 0 THEN 'review' ELSE 'ready' END AS verdict
+    FROM self_chk_whole GROUP BY 1""")
+def _(spark, d):
+    return S.verdicts(whole_checks(spark, d))
+
+
 _diag = ["CASE WHEN coalesce(total_images, 0) > 0 THEN missing_alts ELSE 0 END", "weak_alts", "title_symbols", "title_brand_only", "title_dup",
          "desc_same", "critical_titles", "greatest(bad_titles - critical_titles, 0)", "critical_descs", "greatest(bad_descs - critical_descs, 0)",
          "url_clone", "dup_content", "noindex_pages", "0", "0", "canon_missing", "0", "redirect_qty", "internal_fix_qty",
@@ -550,6 +580,17 @@ def _(spark, d):
         "site", "image_url", "page_url", "page_type", "alt")
 
 
+_MATERIAL = """SELECT *, left(title, 12) AS excerpt, CASE WHEN page_type = 'product' THEN meta_desc END AS product_desc, lang AS category, upper(site) AS declared_brand FROM {m}"""
+
+
+@query("f8_items_from_scan_facts", f"""SELECT site, url, arg_min(title, seq) AS title, arg_min(meta_desc, seq) AS meta_desc, coalesce(arg_min(excerpt, seq), '') AS excerpt,
+    coalesce(arg_min_null(product_desc, seq), '') AS product_desc, coalesce(arg_min_null(category, seq), '') AS category, arg_min(declared_brand, seq) AS declared_brand
+    FROM ({_MATERIAL.replace('{m}', 'audit_mask')}) GROUP BY 1, 2 HAVING bool_or(title_fix OR desc_fix)""")
+def _(spark, d):
+    m = spark.sql(_MATERIAL, m=silver(spark, d))
+    return W.items_from_scan(m.where("title_fix"), m.where("desc_fix"), m).select("site", "url", "title", "meta_desc", *W.MATERIAL)
+
+
 def suggestions(spark, d):
     return V.fx_suggestions(spark, d).withColumns({"seq": F.col("conv_id") * 100000 + F.col("seq"), "need": F.lit("title,desc"),
                                                    "fixed_title": F.lit("")})
@@ -617,6 +658,39 @@ _ITEMS = """SELECT source AS site, doc_id AS seq, concat('d', doc_id) AS id, CAS
     CASE WHEN doc_id % 6 = 0 THEN 'Privacy Policy' ELSE '' END AS fixed_title FROM {documents}"""
 
 
+# one proposal per picture: its first slot's
+_SAVED_ALTS = f"""SELECT site, image_url AS id, min(seq) AS seq, min_by(alt, seq) AS alt FROM ({_ALTS}) GROUP BY 1, 2"""
+_own = f"""array_to_string(list_filter([CASE WHEN length(alt) NOT BETWEEN 10 AND 125 THEN 'alt_length:' || length(alt) END,
+    CASE WHEN regexp_matches(alt, '(?i)^\\s*(image|photo|picture)([^\\p{{L}}\\p{{N}}_]|$)') THEN 'says_image' END,
+    CASE WHEN {D.has('alt', K.SUGGESTION_PROMO_PATTERN)} THEN 'promo' END], lambda x: x IS NOT NULL), ',')"""
+view("alt_saved", f"""SELECT site, id, seq, alt, notes AS alt_notes, CASE WHEN notes = '' THEN 'ok' ELSE 'review' END AS status
+    FROM (SELECT *, {_own} AS notes FROM ({_SAVED_ALTS.replace('{images}', 'fx_audit_images').replace('min_by', 'arg_min')}))""")
+
+
+def saved_alts(spark, d):
+    """Proposals as K5 keeps them: every text goes through an edit of an empty row, which checks it on its own."""
+    new = spark.sql(_SAVED_ALTS, images=V.fx_audit_images(spark, d))
+    empty = new.select("site", "id", "seq", F.lit("").alias("alt"), F.lit("alt_length:0").alias("alt_notes"), F.lit("review").alias("status"), F.lit(False).alias("edited"))
+    return T.apply_alt_edits(empty, new.select("site", "id", "seq", F.col("alt").alias("text"))).withColumn("edited", F.lit(False))
+
+
+@query("k5_apply_alt_edits", f"""SELECT id, alt, notes AS alt_notes, CASE WHEN notes = '' THEN 'ok' ELSE 'review' END AS status, e AS edited FROM (
+    SELECT *, CASE WHEN e THEN {_own} ELSE alt_notes END AS notes FROM (SELECT id, e, alt_notes, CASE WHEN e THEN nt ELSE alt END AS alt
+      FROM (SELECT *, seq % 3 = 0 AND nt <> alt AS e FROM (SELECT *, CASE seq % 2 WHEN 0 THEN alt ELSE trim('Photo ' || alt) END AS nt FROM alt_saved))))""")
+def _(spark, d):
+    saved = saved_alts(spark, d)
+    edits = saved.where("seq % 3 = 0").selectExpr("site", "id", "seq", "CASE seq % 2 WHEN 0 THEN alt ELSE concat(' Photo ', alt, ' ') END AS text")
+    older = edits.withColumns({"seq": F.col("seq") - 1, "text": F.lit("older edit")})
+    return T.apply_alt_edits(saved, edits.unionByName(older)).select("id", "alt", "alt_notes", "status", "edited")
+
+
+@query("f9_compact_alt_file", """SELECT i.site, i.image_url, i.page_url AS url, i.alt AS current, s.alt AS proposed, s.alt_notes AS note
+    FROM (SELECT * FROM aimg_uni WHERE alt_status <> 'alt_ok') i JOIN alt_saved s ON s.site = i.site AND s.id = i.image_url WHERE s.alt <> ''""")
+def _(spark, d):
+    items = W.items_from_images(unique(spark, d).where("alt_status <> 'alt_ok'"), V.fx_audit(spark, d))
+    return T.compact_alt_file(items, saved_alts(spark, d)).select("site", "image_url", "url", "current", "proposed", "note")
+
+
 @query("k4_plan_batches", f"""SELECT id, (row_number() OVER (PARTITION BY site ORDER BY seq) - 1) // 20 AS batch FROM ({_ITEMS.replace('{documents}', 'documents')})
     WHERE seq % 4 <> 0 AND NOT (need = 'title' AND fixed_title <> '')""")
 def _(spark, d):

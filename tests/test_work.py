@@ -115,3 +115,43 @@ def test_suggestions_are_judged_as_they_will_show(spark):
     got = {r["id"]: r["title_notes"] for r in T.validate_suggestions(df, ratio=False).collect()}
     assert got == {"a": "", "b": "title_length:49", "c": "", "d": "promo"}
     assert {r["id"]: r["title_notes"] for r in T.validate_suggestions(df.drop("suffix", "name"), ratio=False).collect()}["a"] == "title_length:45"
+
+
+def test_alt_edits(spark):
+    schema = "site string, id string, alt string, alt_notes string, status string, edited boolean"
+    saved = spark.createDataFrame([("s", "a", "a wooden bowl", "", "ok", False), ("s", "b", "Photo of it all", "copied", "review", False),
+                                   ("s", "c", None, "", "review", None), ("s", "d", "a second bowl", "", "ok", False)], schema)
+    edits = spark.createDataFrame([("s", "a", 1, "older text of it"), ("s", "a", 2, " a bowl of dark wood "), ("s", "b", 3, "Photo of it all"),
+                                   ("s", "c", 4, "Image of a bowl"), ("s", "d", 5, None), ("s", "none", 6, "not saved")], "site string, id string, seq long, text string")
+    got = {r["id"]: tuple(r)[2:] for r in T.apply_alt_edits(saved, edits).collect()}
+    assert got == {"a": ("a bowl of dark wood", "", "ok", True), "b": ("Photo of it all", "copied", "review", False),
+                   "c": ("Image of a bowl", "says_image", "review", True), "d": ("", "alt_length:0", "review", True)}
+
+
+def test_alt_file(spark):
+    items = spark.createDataFrame([("s", "i1", "p", "Bowl", "product", "bad", 1), ("s", "i2", "p", "Bowl", "product", None, 2), ("s", "i3", "p", "Bowl", "product", "", 3)],
+                                  "site string, image_url string, page_url string, name string, page_type string, alt string, seq long")
+    sug = spark.createDataFrame([("s", "i1", "a wooden bowl", ""), ("s", "i2", "", ""), ("t", "i3", "of another site", "")],
+                                "site string, id string, alt string, alt_notes string")
+    assert [tuple(r) for r in T.compact_alt_file(items, sug).collect()] == [("s", 1, "Bowl", "p", "i1", "bad", "a wooden bowl", "")]
+    states = {r["image_url"]: (r["proposal_state"], r["proposed_len"]) for r in T.alts_before_after(items, sug, only_found=False).collect()}
+    assert states == {"i1": ("ok", 13), "i2": ("not_generated", None), "i3": ("not_generated", None)}
+
+
+def test_checks_that_a_scan_tells(spark):
+    from crawlwright.operators import summary as S
+    base = "'salla' AS platform, 50L AS total_urls, false AS partial, 1L AS files_ok, 50L AS live_pages, 0L AS unreachable_pages, 0L AS suspicious_home, " \
+           "false AS home_suspicious, 0L AS template_issues, 40L AS store_total, 40L AS products, 0L AS unclassified, 40L AS product_pages, 40L AS products_with_images"
+    facts = spark.sql(f"SELECT 'a' AS site, {base}, true AS retry_aborted, true AS auto_gentle, 7L AS cache_hits, 3L AS template_images "
+                      f"UNION ALL SELECT 'b', {base}, NULL, false, 0L, NULL UNION ALL SELECT 'c', {base}, false, false, 0L, 0L")
+    signs = spark.createDataFrame([("c", "truncated_image_urls", 4), ("c", "one_title_on_most_pages", 30), ("gone", "truncated_image_urls", 1)], "site string, check string, n long")
+    checks = S.self_checks(facts, signs)
+    got = {}
+    for r in checks.orderBy("site", "ord", "check").collect():
+        got.setdefault(r["site"], []).append((r["check"], r["level"], r["value"]))
+    assert set(got) == {"a", "b", "c"}
+    assert {("retry_stopped", "warn", 1.0), ("gentle_mode", "pass", 1.0), ("resumed", "pass", 7.0), ("template_images", "pass", 3.0), ("template", "pass", 0.0)} <= set(got["a"])
+    assert not {c[0] for c in got["b"]} & {"retry_stopped", "gentle_mode", "resumed", "template_images"}
+    assert [c for c in got["c"] if c[1] == "warn"] == [("one_title_on_most_pages", "warn", 30.0), ("truncated_image_urls", "warn", 4.0)]
+    assert {r["site"]: r["verdict"] for r in S.verdicts(checks).collect()} == {"a": "review", "b": "ready", "c": "review"}
+    assert S.self_checks(facts.drop("retry_aborted", "auto_gentle", "cache_hits", "template_images")).where("site = 'a'").count() == 9
