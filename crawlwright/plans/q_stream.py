@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from crawlwright.operators.dedupe import resume_store_latest
+from crawlwright.plans import views as V
 from crawlwright.plans.registry import query
 from crawlwright.sources.tables import read_table
 from crawlwright.streaming import jobs as S
 from crawlwright.streaming import scans as SC
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+MARKUP = "site string, page_id bigint, url string, html string"
 PAGES = "page_id bigint, url string, html string"
 CODE = """CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN 'deleted_home' WHEN event_type <> 'error' THEN 'ok'
     WHEN event_id % 5 = 0 THEN 'http_404' WHEN event_id % 5 = 1 THEN 'http_410' WHEN event_id % 5 = 2 THEN 'http_429'
@@ -98,6 +100,20 @@ def _(spark, d):
     return S.read_after(S.append_table(out, folder), spark, folder).select("page_id", "url_key", "title", "title_len", "title_status")
 
 
+@query("s4_stream_page_tables", """SELECT p_partkey AS page_id, p_name || ' store' AS title, p_name || ' & ' || lower(p_type) AS meta_desc,
+    p_partkey::VARCHAR AS sku, p_partkey % 9 <> 0 AS indexable, 3::BIGINT AS n_images, 1::BIGINT AS n_missing_alts, 4::BIGINT AS n_links,
+    'https://cdn.example.com/i/' || p_partkey || '.jpg' AS first_image FROM part""")
+def _(spark, d):
+    folder = S.job_folder(spark, "s4p")
+    V.fx_html(spark, d).withColumn("site", F.concat("site", F.lit(".example.com"))).write.parquet(f"{folder}/in")
+    S.start_page_audit(S.landing_stream(spark, f"{folder}/in", MARKUP), folder).awaitTermination()
+    images = S.audited(spark, folder, "images").groupBy(F.col("seq").alias("page_id")).agg(
+        F.count("*").alias("n_images"), F.count_if(F.col("alt_status") == "alt_missing").alias("n_missing_alts"), F.min_by("image_url", "image_pos").alias("first_image"))
+    links = S.audited(spark, folder, "links").groupBy("page_id").agg(F.count("*").alias("n_links"))
+    pages = S.audited(spark, folder, "pages").select("page_id", "title", "meta_desc", "sku", "indexable")
+    return pages.join(images, "page_id", "left").join(links, "page_id", "left")
+
+
 @query("s5_stream_link_counts", "SELECT site, dst_key, count(*) AS n_pages FROM page_links GROUP BY 1, 2")
 def _(spark, d):
     folder = S.job_folder(spark, "s5")

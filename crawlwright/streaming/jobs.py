@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crawlwright import constants as K
+from crawlwright.operators import extract as X
 from crawlwright.operators.pages import page_facts, page_links
 from crawlwright.session import ensure_checkpoint_dir
 from crawlwright.streaming.store import KeyedStore
@@ -97,6 +98,42 @@ def audit_stream(pages: DataFrame) -> DataFrame:
     return page_facts(pages)
 
 
+PAGE_TABLES = {"pages": X.page_audit, "images": X.page_images, "links": X.page_link_rows}
+
+
+def start_page_audit(pages: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Full extraction and grades of arriving pages (``site``, ``page_id``, ``url``, ``html``): tables ``pages`` (D1), ``images`` (D2) and
+    ``links`` (D3), read with ``audited``.
+
+    The HTML of a batch is read once, into scratch files of which two batches' worth are kept; the three tables come from those.  The
+    row in ``batches`` is written last, so the tables of a batch appear together, and a batch that was replayed appears once.
+    """
+    spark = pages.sparkSession
+
+    def done(number: int) -> None:
+        spark.createDataFrame([(number,)], "done long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not spark.read.parquet(f"{folder}/batches").where(F.col("done") == number).isEmpty():
+            return
+        scratch = f"{folder}/facts/slot={number % 2}"
+        X.read_pages_html(batch).write.mode("overwrite").parquet(scratch)
+        facts = spark.read.parquet(scratch)
+        for name, build in PAGE_TABLES.items():
+            build(facts).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        done(number)
+
+    done(-1)  # no batch yet
+    return (pages.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress")
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def audited(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of ``start_page_audit``, with ``batch``: the rows of finished batches."""
+    finished = spark.read.parquet(f"{folder}/batches").select(F.col("done").alias("batch"))
+    return spark.read.parquet(f"{folder}/{name}").withColumn("batch", F.col("batch").cast("long")).join(finished, "batch", "left_semi")
+
+
 def start_versions(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Update-mode table: every batch writes the rows that changed under its own number, so a replayed batch replaces itself and
     windows that are still open are in the table as well."""

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from crawlwright.streaming import jobs as S
 
 LOG = "site string, key string, seq bigint, ts timestamp, fetch_code string"
@@ -33,3 +35,22 @@ def test_alerts_count_refusals_only(spark):
     assert S.reject_alerts(log).count() == 0
     log = spark.createDataFrame([(*r, r[2] == 1) for r in rows((1, 0, "http_429"), (2, 0, "ok"), (3, 0, "http_429"))], LOG + ", challenge boolean")
     assert S.reject_alerts(log).first()["rejects"] == 3
+
+
+def test_page_tables_over_restarts_equal_the_batch_job(spark, tmp_path, sf):
+    from crawlwright.operators import extract as X
+    from crawlwright.plans import views as V
+    schema, folder = "site string, page_id long, url string, html string", str(tmp_path / "out")
+    odd = spark.createDataFrame([("s1.example.com", -1, "https://s1.example.com/x", None), ("s1.example.com", -2, "https://s1.example.com/y", "")], schema)
+    pages = V.fx_html(spark, sf).where("page_id <= 90").withColumn("site", F.concat("site", F.lit(".example.com"))).select(*odd.columns).unionByName(odd)
+    for n in range(3):
+        pages.where(F.pmod("page_id", F.lit(3)) == n).coalesce(1).write.parquet(str(tmp_path / f"in/b{n}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        S.start_page_audit(stream, folder).awaitTermination()
+    S.PAGE_TABLES["links"](X.read_pages_html(pages)).write.parquet(f"{folder}/links/batch=99")  # broke off before its commit
+    facts = X.read_pages_html(pages).cache()
+    for name, build in S.PAGE_TABLES.items():
+        want = sorted(map(str, build(facts).collect()))
+        got = S.audited(spark, folder, name)
+        assert {r["batch"] for r in got.select("batch").distinct().collect()} == {0, 1, 2}
+        assert sorted(map(str, got.select(*build(facts).columns).collect())) == want and want
