@@ -49,8 +49,8 @@ class KeyedStore:
 
     # --- reading --------------------------------------------------------------------------------------
     def done(self, spark: SparkSession) -> int:
-        """The last committed batch; -1 before the first."""
-        rows = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(f"{self.folder}/state")
+        """The last committed batch; -1 before the first.  A state row that is being written over while this reads is not the newest."""
+        rows = spark.read.schema(STATE).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(f"{self.folder}/state")
         return rows.agg(F.max("batch")).first()[0]
 
     def parts(self, batch: int) -> list[str]:
