@@ -20,13 +20,12 @@ from crawlwright.session import ensure_checkpoint_dir
 from crawlwright.streaming.store import KeyedStore
 
 
-def landing_stream(spark: SparkSession, folder: str, schema: str, glob: str | None = None, files_per_batch: int = 1000
+def landing_stream(spark: SparkSession, folder: str, schema: str, table: str | None = None, files_per_batch: int = 1000
                    ) -> DataFrame:
-    """A stream over landed parquet files."""
+    """A stream over landed parquet files: all of a folder, or one table of it, which is a file or a folder of files (a plain path
+    must be a folder, a pattern may meet either)."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{{{table}}}" if table else folder)
 
 
 def job_folder(spark: SparkSession, name: str) -> str:

@@ -54,3 +54,18 @@ def test_page_tables_over_restarts_equal_the_batch_job(spark, tmp_path, sf):
         got = S.audited(spark, folder, name)
         assert {r["batch"] for r in got.select("batch").distinct().collect()} == {0, 1, 2}
         assert sorted(map(str, got.select(*build(facts).columns).collect())) == want and want
+
+
+def test_a_table_of_many_files_is_streamed_whole(spark, tmp_path, sf):
+    from crawlwright.plans import q_stream as Q
+    from crawlwright.plans.registry import QUERIES
+    def table(folder, schema, name, out):
+        return sorted(map(str, S.read_after(S.append_table(S.landing_stream(spark, folder, schema, name), out), spark, out).collect()))
+
+    parts = str(tmp_path / "in")
+    for name, schema in (("pages", Q.PAGES), ("events", Q.EVENTS)):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{parts}/{name}.parquet")
+        got, want = (table(folder, schema, f"{name}.parquet", str(tmp_path / f"{kind}-{name}")) for kind, folder in (("parts", parts), ("file", sf)))
+        assert got == want != []
+    for name in ("s4_stream_page_audit", "s5_stream_link_counts"):
+        assert sorted(map(str, QUERIES[name](spark, parts).collect())) == sorted(map(str, QUERIES[name](spark, sf).collect()))
