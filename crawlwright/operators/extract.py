@@ -41,20 +41,33 @@ def tags(html: Column, names: str) -> Column:
 def attr(tag: Column, name: str) -> Column:
     """An attribute's decoded value; '' if it is missing."""
     pattern = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return decode_entities(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    found = decode_entities(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    return F.when(~_names(tag, F.lit(name)), "").otherwise(found)
+
+
+def _names(tag: Column, name: Column) -> Column:
+    """Whether a tag may have the attribute: most tags lack most attributes, and a pattern costs more than this."""
+    return F.contains(F.lower(tag), name)
 
 
 def _attr_named(tag: Column, name: Column) -> Column:
     """An attribute whose name is a column: one expression for a whole list of names."""
     pattern = F.concat(F.lit(r"(?i)\s"), name, F.lit(r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""))
-    return decode_entities(F.regexp_replace(F.coalesce(F.try_element_at(F.regexp_extract_all(tag, pattern, F.lit(1)), F.lit(1)), F.lit("")),
-                                            """^["']|["']$""", ""))
+    found = decode_entities(F.regexp_replace(F.coalesce(F.try_element_at(F.regexp_extract_all(tag, pattern, F.lit(1)), F.lit(1)), F.lit("")),
+                                             """^["']|["']$""", ""))
+    return F.when(~_names(tag, name), "").otherwise(found)
 
 
 def first_filled(values: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(values, lambda v: v != ""), F.lit(1)), F.lit(""))
 
 
+def one_row_each(df: DataFrame, keep: list[str], values: Column, name: str) -> DataFrame:
+    """``keep`` with a row per value.  An inner explode would have Spark test the size of ``values`` first, which computes a list read
+    from HTML once more for every step that it is made of."""
+    return df.select(*keep, F.posexplode_outer(values).alias("_pos", name)).where(F.col("_pos").isNotNull()).drop("_pos")
+
+
 def without(html: Column, names: str) -> Column:
     """The page without the elements of the given names."""
     return F.regexp_replace(html, rf"(?is)<({names})(?=[\s/>]){TAG_REST}.*?</\1\s*>", " ")
@@ -336,8 +349,8 @@ def page_images(facts: DataFrame) -> DataFrame:
     without any."""
     stems = F.transform("product_images", lambda u: image_stem(u))
     df = classify_pages(facts, signal=F.col("html_signal")).select(
-        "site", F.col("url").alias("page_url"), "page_type", F.col("page_id").alias("seq"), stems.alias("_stems"),
-                      F.explode("images").alias("i"))
+        "site", F.col("url").alias("page_url"), "page_type", F.col("page_id").alias("seq"), stems.alias("_stems"), "images")
+    df = one_row_each(df, ["site", "page_url", "page_type", "seq", "_stems"], F.col("images"), "i")
     url = clean_image_url(F.col("i.src"))
     df = df.select("site", "page_url", "page_type", "seq", F.col("i.pos").cast("bigint").alias("image_pos"),
                    url.alias("image_url"), F.col("i.alt").alias("alt"), image_format(F.col("i.src")).alias("image_format"),
@@ -355,7 +368,7 @@ def page_link_rows(facts: DataFrame) -> DataFrame:
     known = F.array_union(F.transform("hrefs", lambda u: clean_url(u)), clean)
     whole = F.filter(clean, lambda u: ~u.endswith("-") | ~F.exists(known, lambda o: (o != u) & o.startswith(u)))
     links = F.array_union(F.transform("hrefs", lambda u: clean_url(u)), whole)
-    df = facts.select("site", "page_id", "url", F.explode(links).alias("dst_url")).distinct()
+    df = one_row_each(facts, ["site", "page_id", "url"], links, "dst_url").distinct()
     df = df.where(crawl_reject_reason(F.col("dst_url"), site_host) == "")
     return df.select("site", "page_id", url_key(F.col("url")).alias("src_key"), "dst_url", url_key(F.col("dst_url")).alias("dst_key"))
 
@@ -363,7 +376,7 @@ def page_link_rows(facts: DataFrame) -> DataFrame:
 def listing_next(facts: DataFrame) -> DataFrame:
     """Next-page links of listing pages, query string kept."""
     site_host = norm_host_of(F.col("site"))
-    df = facts.select("site", "page_id", "url", "scroll_marker", F.explode("next_pages").alias("next_url"))
+    df = one_row_each(facts, ["site", "page_id", "url", "scroll_marker"], F.col("next_pages"), "next_url")
     return df.where(crawl_reject_reason(clean_url(F.col("next_url")), site_host) == "")
 
 

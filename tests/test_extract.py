@@ -67,3 +67,13 @@ def test_sitemap_files(spark, tmp_path):
     (site / "c.xml").write_text("sorry")
     got = {(r["file_url"], r["loc"]) for r in SM.sitemap_locs(SM.read_sitemap_files(spark, str(tmp_path))).collect()}
     assert got == {("s.com/a.xml.gz", "https://s.com/a?x=1&y=2"), ("s.com/b.xml", "https://s.com/b")}
+
+
+def test_lists_read_from_html_are_computed_once_and_on_many_tasks(spark, sf):
+    from crawlwright.plans import views as V
+    pages = V.fx_html(spark, sf)
+    assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    facts = X.read_pages_html(pages)
+    for rows in (X.page_images(facts), X.page_link_rows(facts), X.listing_next(facts)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate posexplode" in plan and "Filter ((size(" not in plan
