@@ -77,3 +77,8 @@ def test_image_rows_carry_the_page_type_and_resized_copies_count_once(spark):
     assert {(r["declared_images"], r["offers"]) for r in X.page_audit(facts).collect()} == {(1, True)}
     plain = X.read_pages_html(df.withColumn("html", F.lit('<img src="/a.jpg">')))
     assert {r["seq"]: r["page_type"] for r in X.page_images(plain).collect()} == {1: "blog", 2: "product"}
+
+
+def test_a_fetch_log_in_one_file_is_classified_on_many_tasks(spark, sf):
+    from crawlwright.plans import views as V
+    assert V.fx_fetch_log(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
