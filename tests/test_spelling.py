@@ -55,6 +55,23 @@ def test_join_equals_every_pair(spark):
     assert 20 < len(want) < len(asked)
 
 
+def test_close_pairs_are_few_and_hold_every_close_one():
+    """Words of few syllables share letter triples with most others: only close pairs may leave a block."""
+    rng = random.Random(5)
+    syllables = ["an", "the", "on", "re", "tion", "en", "er", "ing"]
+    words = sorted({"".join(rng.choice(syllables) for _ in range(rng.randint(2, 5))) for _ in range(900)})
+    pages = [sorted(rng.sample(words, 3)) for _ in range(700)] + [sorted(rng.sample(words, 7))]
+    asked = [sorted(w[:-1] for w in p) for p in pages[:150]] + [sorted(w + "x" for w in pages[-1])]
+    i, j = SP.close_pairs(asked, pages)
+    got = set(zip(i.tolist(), j.tolist()))
+    every = [(x, y) for x, a in enumerate(asked) for y, b in enumerate(pages)]
+    both = lambda x, y: len(" ".join(asked[x])) + len(" ".join(pages[y]))
+    close = {(x, y) for x, y in every if not set(asked[x]) & set(pages[y])
+             and both(x, y) - 2 * slow_lcs(" ".join(asked[x]), " ".join(pages[y])) <= SP.DIFFER * both(x, y) + 1e-9}
+    assert len(close) >= 150 and close <= got
+    assert all(set(asked[x]) & set(pages[y]) or len(" ".join(asked[x])) > 64 for x, y in got - close)
+
+
 def test_fallback_only_where_no_word_is_shared(spark):
     df = live_and_dead(spark, [("/products/flared-abayas-cotton", "product", ""), ("/categories/winter-jackets", "category", ""), ("/blog/flared-abayos-kotton", "blog", "")],
                        [("/products/flaredd-abayaz-coton", "product"), ("/products/kotton", "product"), ("/products/flared-nothing", "product"), ("/categories/wintr-jacket", "category")])
