@@ -86,3 +86,11 @@ def test_no_pattern_runs_per_token(spark):
     """A title may hold thousands of tokens: one pass over the text finds them."""
     plan = spark.range(1).select(T.tokens(F.concat(F.lit("a b "), F.col("id")))[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan and not re.search(r"lambdafunction\(regexp_replace", plan)
+
+
+def test_numbered_slugs_are_found_in_every_spelling(spark):
+    """Only URLs that may end in a number are parsed: encoded dashes, queries, parameters and final slashes are among them."""
+    urls = ["x-12", "x", "y-3/", "y", "z-4?q=1", "z", "w%2D5", "w", "v-123", "v", "u-7;a", "u", "t-\n8", "t", "x-12/c100"]
+    rows = [("s", i, True, "t", "d", f"https://a.com/p/{u}") for i, u in enumerate(urls)] + [("s", 98, True, "t", "d", None), ("s", 99, True, "t", "d", "")]
+    df = spark.createDataFrame(rows, "site string, seq bigint, available boolean, title string, meta_desc string, url string")
+    assert sorted(r.seq for r in G.page_flags(df).where("_has_parent").collect()) == [0, 2, 4, 10]
