@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from crawlwright.operators import grading as G
 from crawlwright.operators import images as I
 from crawlwright.operators import summary as S
 from crawlwright.operators.grading import grade_alt
@@ -57,3 +60,46 @@ def test_template_reading(spark):
 def test_grade_alt_adds_length(spark):
     df = spark.createDataFrame([("  a  b ",)], "alt string")
     assert grade_alt(df).first()["alt_len"] == 3
+
+
+def wrong_product_input(spark):
+    products = ["copper lamp azure shade", "walnut chair low back", "marble table round top", "linen sofa deep seat", "glass vase tall neck"]
+    prods = spark.createDataFrame([("s", f"{B}/products/p{i}", i, n, True, "product") for i, n in enumerate(products)],
+                                  "site string, url string, seq long, name string, available boolean, page_type string")
+    # picture i0 is on two pages: the first slot is the page's own, of the second nobody knows, the third is known to be another's
+    rows = [("s", 0, f"{B}/products/p0", "product", "i0", products[1], True, "alt_ok"),
+            ("s", 1, f"{B}/products/p0", "product", "i0", products[1], None, "alt_ok"),
+            ("s", 2, f"{B}/products/p0", "product", "i0", products[1], False, "alt_ok"),
+            ("s", 3, f"{B}/blog/x", "blog", "i0", products[1], None, "alt_ok"),
+            ("s", 4, f"{B}/products/p2", "product", "i1", products[3], None, "alt_duplicate"),
+            ("s", 5, f"{B}/products/p2", "product", "i2", products[2], None, "alt_ok")]
+    return spark.createDataFrame(rows, SCHEMA), prods
+
+
+def test_a_slot_of_unknown_origin_is_not_judged_by_another_of_the_same_picture(spark):
+    images, prods = wrong_product_input(spark)
+    got = I.wrong_product_alts(images, prods, names(spark)).orderBy("seq").collect()
+    assert [r["alt_status"] for r in got] == ["alt_wrong_product", "alt_ok", "alt_ok", "alt_ok", "alt_wrong_product", "alt_ok"]
+    assert sorted(r["seq"] for r in I.wrong_product_slots(images, prods, names(spark)).collect()) == [0, 4]
+
+
+def test_token_rules_run_over_distinct_alts_and_not_over_slots(spark):
+    images, prods = wrong_product_input(spark)
+    store = spark.createDataFrame([("s", "copper")], "site string, name string")
+    for df in (I.store_name_alts(images, store), I.wrong_product_alts(images, prods, store)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "regexp" not in plan and "rlike" not in plan and "lambda" not in plan
+
+
+def test_repeated_alts_get_the_grades_of_single_ones(spark):
+    alts = ["  a  b ", None, "", "  ", "image", "copper lamp azure shade", "copper lamp azure shade", "a.jpg"]
+    df = spark.createDataFrame(list(enumerate(alts)), "seq long, alt string")
+    assert G.grade_repeated_alts(df).orderBy("seq").collect() == grade_alt(df).orderBy("seq").collect()
+
+
+def test_vocabulary_of_counted_names(spark):
+    rows = [("s", "product", "lamp copper"), ("s", "product", "lamp azure")] * 3 + [("s", "product", "vase")] * 2 + [("s", "product", "-")]
+    each = spark.createDataFrame(rows, "site string, page_type string, display_name string")
+    counted = each.groupBy("site", "page_type", "display_name").agg(F.count("*").alias("n"))
+    one, many = G.name_vocabulary(counted, pages="n").first(), G.name_vocabulary(each).first()
+    assert sorted(one["vocab"]) == sorted(many["vocab"]) == ["azure", "copper", "lamp", "vase"]
